@@ -9,8 +9,9 @@ concentration of independent samples.
 
 Bands of ``ROWS`` coordinates are hashed; documents that share a band are
 compared. Documents with the same set are one representative beforehand. In a
-bucket every member is compared with its smallest id, the hub. Members that
-the links leave outside the hub's component are then compared with all members
+bucket every member is compared with its hub, the member that shares most
+buckets with most others: the original of a group of edited copies is nearer to
+each of them than they are to one another. Members that the links leave outside the hub's component are then compared with all members
 of other components, but for pairs that set sizes or the distances to the hub
 (Jaccard distance is a metric) prove too far apart. So each two members of a
 bucket are in one component, compared, or proved apart, without all pairs.
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.tables import materialize
+from parcelforge.llm.tables import materialize, maybe_broadcast
 from parcelforge.llm.words import blocks, buffers, shingle_hashes, splitmix, word_hashes
 
 ROWS, BANDS = 6, 48
+#: Ids of documents to compare (8 bytes each) that may be sent to every task; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -86,9 +89,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(hub, rep, common, together) of each pair of document ids, from their whole texts."""
     pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("hub", "rep")).alias("id")).distinct()
+    ids = maybe_broadcast(materialize(ids, "ids"), BROADCAST_IDS)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
-    both = pairs.join(texts.select(F.col("id").alias("hub"), F.col("text").alias("one")), "hub").join(texts.select(F.col("id").alias("rep"), F.col("text").alias("other")), "rep")
+    both = pairs.join(texts.select(F.col("id").alias("hub"), F.col("text").alias("one")).hint("merge"), "hub").join(texts.select(F.col("id").alias("rep"), F.col("text").alias("other")).hint("merge"), "rep")
 
     def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,8 +141,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     reps = all_.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     reps = materialize(reps, "representatives")
     banded = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = materialize(banded.join(hubs, "band"), "members")
+    crowded = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    met = materialize(banded.join(crowded, "band"), "met")
+    known_by = met.groupBy("rep").agg(F.sum("members").alias("met"))
+    met = met.join(known_by, "rep")
+    hubs = met.groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("back"))).alias("most")).select("band", (-F.col("most.back")).alias("hub"))
+    members = materialize(met.drop("met").join(hubs, "band"), "members")
     near_size = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     sizes = reps.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"))
     pairs = members.where("rep <> hub").select("hub", "rep", "n").distinct().join(sizes, "hub").where(near_size(F.col("n"), F.col("hub_n"))).select("hub", "rep")
