@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelforge.llm import decontaminate, near_dup, warc
+from parcelforge.llm import chat, decontaminate, line_dedup, mixing, near_dup, quality, token_counts, top_k, toxicity, warc
 from parcelforge.llm.tables import table
 
 
@@ -14,18 +14,63 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' deduplicated texts as doc_id, n_lines, lines_dropped, text_sha256."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, sf_dir, "documents")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    out = line_dedup.without_repeated_lines(docs.select("doc_id", "text", lines.cast("long").alias("n_lines")))
+    return out.select("doc_id", "n_lines", F.col("lines_dropped").cast("long").alias("lines_dropped"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered perspectives, masks as text: start-stop, comma-joined."""
+    from pyspark.sql import functions as F
+
+    out = chat.perspectives(table(spark, sf_dir, "conversations"))
+    return out.withColumn("mask", F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["start"], s["stop"])), ","))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.embedding_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_token_counts": op2_token_counts,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_quality": op4_quality,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
+    "op8_chat": op8_chat,
+    "op9_mixing": op9_mixing,
+    "op10_top_k": op10_top_k,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -90,3 +135,58 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
    FROM unnest(range(8)) AS a(i), unnest(range(4)) AS b(j)) AS payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
 FROM bits"""
+
+SQL["op10_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20"""
+
+# Variants as text: a line with word i left out, against lines with word i left out (an exchange) and whole lines (a word more or less).
+SQL["op5_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS no, x[i] AS line, list_filter(regexp_split_to_array(x[i], '[\x09-\x0D\x20]+'), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), unnest(range(1, len(x) + 1)) AS t(i)
+), d AS (
+  SELECT w, len(w) AS n, min({'doc': doc_id, 'no': no}) AS pos FROM l WHERE len(w) >= 3 GROUP BY w
+), cut AS (
+  SELECT w, n, pos, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 : n]), ' ') AS rest FROM d, unnest(range(1, n + 1)) AS t(i) WHERE n >= 8
+), swapped AS (
+  SELECT i, rest, min(pos) AS first FROM cut GROUP BY i, rest
+), shorter AS (
+  SELECT rest, min(pos) AS first FROM cut GROUP BY rest
+), near AS (
+  SELECT c.w FROM cut c JOIN swapped s ON c.i = s.i AND c.rest = s.rest WHERE s.first < c.pos
+  UNION SELECT c.w FROM cut c JOIN d ON array_to_string(d.w, ' ') = c.rest WHERE d.n >= 8 AND d.pos < c.pos
+  UNION SELECT d.w FROM d JOIN shorter s ON array_to_string(d.w, ' ') = s.rest WHERE d.n >= 8 AND s.first < d.pos
+), judged AS (
+  SELECT l.doc_id, l.no, l.line, coalesce(d.w IS NOT NULL AND (d.pos <> {'doc': l.doc_id, 'no': l.no} OR near.w IS NOT NULL), false) AS gone
+  FROM l LEFT JOIN d ON l.w = d.w LEFT JOIN near ON l.w = near.w
+), texts AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS lines_dropped, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS kept FROM judged GROUP BY doc_id
+)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(lines_dropped, 0) AS lines_dropped, sha256(kept) AS text_sha256
+FROM documents LEFT JOIN texts USING (doc_id)"""
+
+SQL["op8_chat"] = r"""
+WITH own AS (
+  SELECT conv_id, turn, translate(role, chr(13) || chr(10) || '<|>', '') AS speaker, regexp_replace(coalesce(text, ''), '<\|im_(start|end)\|>', '', 'g') AS said
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL
+), who AS (
+  SELECT DISTINCT conv_id, speaker AS perspective FROM own WHERE speaker <> 'system'
+), piece AS (
+  SELECT conv_id, perspective, CAST(floor(turn / 64) AS BIGINT) AS part, turn, speaker, said, speaker = perspective AS mine,
+    '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head, said || '<|im_end|>' AS body
+  FROM own JOIN who USING (conv_id)
+), placed AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, said ROWS UNBOUNDED PRECEDING) AS upto FROM piece
+)
+SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn, speaker, said) AS rendered,
+  coalesce(string_agg(CAST(upto - 1 - length(body) AS BIGINT) || '-' || CAST(upto - 1 AS BIGINT), ',' ORDER BY upto) FILTER (mine), '') AS mask,
+  CAST(coalesce(sum(length(body)) FILTER (mine), 0) AS BIGINT) AS n_masked
+FROM placed GROUP BY conv_id, perspective, part"""
