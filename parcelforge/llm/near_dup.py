@@ -11,10 +11,15 @@ Bands of ``ROWS`` coordinates are hashed; documents that share a band are
 compared. Documents with the same set are one representative beforehand. In a
 bucket every member is compared with its hub, the member that shares most
 buckets with most others: the original of a group of edited copies is nearer to
-each of them than they are to one another. Members that the links leave outside the hub's component are then compared with all members
-of other components, but for pairs that set sizes or the distances to the hub
-(Jaccard distance is a metric) prove too far apart. So each two members of a
-bucket are in one component, compared, or proved apart, without all pairs.
+each of them than they are to one another.
+
+Members that these links leave outside the hub's component must still be
+compared with the others. For that each member keeps its edits, the shingles
+that it and the hub do not share; two members differ in the edits that only one
+of them has, so their similarity follows from the number of edits they share.
+Left members are compared with their hub's whole group in blocks, and only
+links come out, one for each other component. So each two members of a bucket
+are in one component or compared, and no pairs are written.
 
 With 6 rows and 48 bands a pair at similarity 0.8 shares no band with a chance
 of 5e-7; at 0.9 less than 1e-15.
@@ -35,6 +40,8 @@ from parcelforge.llm.words import blocks, buffers, shingle_hashes, splitmix, wor
 ROWS, BANDS = 6, 48
 #: Ids of documents to compare (8 bytes each) that may be sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Edits and members of a block in which left members are compared.
+BLOCK_EDITS, BLOCK_ROWS = 200_000, 1000
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -86,8 +93,7 @@ def _sketch_table(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(hub, rep, common, together) of each pair of document ids, from their whole texts."""
-    pairs = materialize(pairs, "pairs")
+    """(hub, rep, wide) with the sizes of the sets, hub_n and n, and of what they share, common, from the whole texts; for wide pairs ``edits``, the shingles of either alone."""
     ids = pairs.select(F.explode(F.array("hub", "rep")).alias("id")).distinct()
     ids = maybe_broadcast(materialize(ids, "ids"), BROADCAST_IDS)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
@@ -96,21 +102,74 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, together = [], []
-            cols = [buffers(batch.column(j)) for j in (2, 3)]
-            load = cols[0][1] + cols[1][1]
-            for a, b in blocks(load):
-                sides = []
+            cols = [buffers(batch.column(j)) for j in (3, 4)]
+            wide = batch.column(2).to_pylist()
+            for a, b in blocks(cols[0][1] + cols[1][1]):
+                sides, out = [], []
                 for data, offsets in cols:
                     own = offsets[a : b + 1]
                     sides.append(shingle_hashes(*word_hashes(data[own[0] : own[-1]], own - own[0], "nonspace"), k))
-                for x, y in zip(*sides, strict=True):
+                for x, y, w in zip(*sides, wide[a:b], strict=True):
                     n = len(np.intersect1d(x, y, assume_unique=True))
-                    common.append(n)
-                    together.append(len(x) + len(y) - n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(together, pa.int64())], names=["hub", "rep", "common", "together"])
+                    out.append((len(x), len(y), n, np.setxor1d(x, y, assume_unique=True).view(np.int64) if w else None))
+                figures = [pa.array([r[j] for r in out], pa.int64()) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, b - a) for j in range(3)), *figures, pa.array([r[3] for r in out], pa.list_(pa.int64()))], names=["hub", "rep", "wide", "hub_n", "n", "common", "edits"])
+
+    return materialize(both.select("hub", "rep", "wide", "one", "other").mapInArrow(comparing, "hub long, rep long, wide boolean, hub_n long, n long, common long, edits array<long>"), "verified")
+
+
+def block_links(left: dict, group: dict, percent: int) -> list[tuple[int, int]]:
+    """(rep of the one block, label in the other) where two members of one hub are near and their labels differ, once for each label."""
+    (reps, n, labels, edits), (_, m, others, edits2) = ([side[c] for c in ("rep", "n", "label", "edits")] for side in (left, group))
+    sizes, sizes2 = (np.array([len(e) for e in x], np.int64) for x in (edits, edits2))
+    rows, rows2 = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(sizes2)), sizes2)
+    flat, flat2 = (np.concatenate(x) if len(x) else np.zeros(0, np.int64) for x in (edits, edits2))
+    both = np.intersect1d(flat, flat2)
+    shared = np.zeros((len(sizes), len(sizes2)), np.float32)
+    if len(both):
+        at, at2 = (np.minimum(np.searchsorted(both, f), len(both) - 1) for f in (flat, flat2))
+        (rows, at), (rows2, at2) = ((r[both[i] == f], i[both[i] == f]) for r, i, f in ((rows, at, flat), (rows2, at2, flat2)))
+        for low in range(0, len(both), 4096):
+            width = min(4096, len(both) - low)
+            x, y = np.zeros((len(sizes), width), np.float32), np.zeros((len(sizes2), width), np.float32)
+            for matrix, r, i in ((x, rows, at), (y, rows2, at2)):
+                here = (i >= low) & (i < low + width)
+                matrix[r[here], i[here] - low] = 1
+            shared += x @ y.T
+    apart = sizes[:, None] + sizes2[None, :] - 2 * shared.astype(np.int64)
+    common = (n[:, None] + m[None, :] - apart) // 2
+    near = (100 * common >= percent * (common + apart)) & (labels[:, None] != others[None, :])
+    return [(int(reps[i]), label) for i in np.flatnonzero(near.any(1)).tolist() for label in np.unique(others[near[i]]).tolist()]
+
+
+def _cross_links(group: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links of the members that are not in their hub's component, among ``group``: hub, rep, n, edits, label, left."""
+    sizes = group.groupBy("hub").agg(load_of(F.lit(True)).alias("parts"), load_of(F.col("left")).alias("left_parts"), F.max("left").alias("any")).where("any")
+    dealt = group.join(sizes, "hub")
+    row = F.struct("rep", "n", "label", "edits")
+    block = lambda df, parts, name: df.groupBy("hub", F.pmod(F.xxhash64("rep"), F.col(parts)).alias("part")).agg(F.collect_list(row).alias(name)).drop("part")
+    pairs = block(dealt.where("left"), "left_parts", "one").join(block(dealt, "parts", "other"), "hub").select("one", "other")
+
+    def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(rows):
+            *plain, lists = rows.flatten()
+            fields = dict(zip(("rep", "n", "label"), plain, strict=True))
+            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            return {c: f.to_numpy(zero_copy_only=False) for c, f in fields.items()} | {"edits": [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]}
+
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                one, other = (batch.column(j)[i].values for j in (0, 1))
+                found += block_links(side(one), side(other), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)], names=["u", "v"])
+
+    return pairs.mapInArrow(linking, "u long, v long").distinct()
+
 
-    return materialize(both.select("hub", "rep", "one", "other").mapInArrow(comparing, "hub long, rep long, common long, together long"), "verified")
+def load_of(who):
+    """Blocks for the rows of ``who``: so many edits and rows to a block, or one row."""
+    return F.ceil(F.greatest(F.coalesce(F.sum(F.when(who, F.size("edits"))), F.lit(0)) / BLOCK_EDITS, F.count_if(who) / BLOCK_ROWS, F.lit(1.0)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -147,33 +206,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     met = met.join(known_by, "rep")
     hubs = met.groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("back"))).alias("most")).select("band", (-F.col("most.back")).alias("hub"))
     members = materialize(met.drop("met").join(hubs, "band"), "members")
-    near_size = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     sizes = reps.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"))
-    pairs = members.where("rep <> hub").select("hub", "rep", "n").distinct().join(sizes, "hub").where(near_size(F.col("n"), F.col("hub_n"))).select("hub", "rep")
-    known = _verify(pairs, docs, k)
-    linked = F.col("common") * 100 >= F.col("together") * percent
+    pairs = members.where("rep <> hub").groupBy("hub", "rep", "n").agg((F.max("members") > 2).alias("wide")).join(sizes, "hub")
+    # pairs of too different sizes are no links, and their edits are needed in wide buckets only
+    pairs = pairs.where(F.col("wide") | (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent))
+    known = _verify(materialize(pairs.select("hub", "rep", "wide"), "pairs"), docs, k)
+    linked = F.col("common") * 100 >= (F.col("n") + F.col("hub_n") - F.col("common")) * percent
     links = known.where(linked).select(F.col("hub").alias("u"), F.col("rep").alias("v"))
     labels = components(links)
 
     label = lambda column, name: labels.select(F.col("id").alias(column), F.col("label").alias(name))
-    open_ = members.where("members > 2").join(label("rep", "rep_label"), "rep", "left").join(label("hub", "hub_label"), "hub", "left")
-    open_ = open_.withColumn("rep_label", F.coalesce("rep_label", "rep")).withColumn("hub_label", F.coalesce("hub_label", "hub"))
-    distance = known.select("hub", "rep", (1 - F.col("common") / F.col("together")).alias("far"))
-    open_ = open_.join(distance, ["hub", "rep"], "left").withColumn("far", F.when(F.col("rep") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far")))
-    open_ = materialize(open_.select("band", "hub", "rep", "n", "far", "rep_label", "hub_label"), "open")
-    left = open_.where("rep_label <> hub_label").select("band", F.col("rep").alias("l"), F.col("n").alias("l_n"), F.col("far").alias("l_far"), F.col("rep_label").alias("l_label"), F.lit(True).alias("l_out"))
-    if not left.isEmpty():
-        cross = left.join(open_, "band").where(
-            (F.col("l_label") != F.col("rep_label"))
-            & (F.col("rep") != F.col("hub"))
-            & ((F.col("rep_label") == F.col("hub_label")) | (F.col("l") < F.col("rep")))
-            & near_size(F.col("l_n"), F.col("n"))
-            & (F.coalesce(F.abs(F.col("l_far") - F.col("far")), F.lit(0.0)) <= 1 - percent / 100 + 1e-9)
-        )
-        cross = cross.select(F.least("l", "rep").alias("hub"), F.greatest("l", "rep").alias("rep")).distinct().join(known, ["hub", "rep"], "left_anti")
-        more = _verify(cross, docs, k).where(linked).select(F.col("hub").alias("u"), F.col("rep").alias("v"))
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    group = known.where("wide").join(label("rep", "rep_label"), "rep", "left").join(label("hub", "hub_label"), "hub", "left")
+    group = group.select("hub", "rep", "n", "edits", F.coalesce("rep_label", "rep").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+    more = materialize(_cross_links(group.withColumn("left", F.col("label") != F.col("hub_label")), percent), "cross-links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     roots = reps.select(*same, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("component"))
     out = all_.drop("bands").join(roots, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
