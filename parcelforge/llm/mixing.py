@@ -6,7 +6,7 @@ cost), to the quotas of its sources. The cheapest largest flow says how many
 words each pattern gives. Its whole copies go to all documents; of the rest,
 documents are taken in the order of a seeded hash while they fit, found by
 narrowing the hash range ten bits a pass, and the gap is closed by the largest
-documents that fit into it.
+documents that fit into it, one of a size, those with a copy less first.
 
 Only figures by pattern come to the driver; more than ``MAX_PATTERNS`` patterns
 are refused.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,6 @@ from parcelforge.llm.tables import materialize
 
 MAX_PATTERNS = 100_000
 SEED = 17
-#: Documents by which the gap after the last document in hash order is closed: so many of those with a copy less, so many of any.
-CLOSERS = 4
 
 
 def water_fill(sizes: dict, weights: dict, total: float, most: float) -> dict[object, float]:
@@ -148,26 +147,22 @@ def select(units: DataFrame, wanted: list[tuple[str, int, int]], repeats: int) -
         state = [(r["pattern"], r["bin"], r["rest"]) for r in rows if r["docs"] > 1]
     base = few([(p, copies, limits.get(p, 0)) for p, copies, _ in wanted], "pattern string, copies long, hash_limit long")
     dealt = units.join(base, "pattern", "left").withColumns({"copies": F.coalesce("copies", F.lit(0)), "hash_limit": F.coalesce("hash_limit", F.lit(0))})
-    picks: list[tuple[str, int, int]] = []
-    for turn in range(2 * CLOSERS):
-        gaps = [(p, rest) for p, rest in rests.items() if rest > 0]
-        if not gaps:
-            break
-        # documents with a copy less first, then any that may give one more
-        spare = (F.col("hash") >= F.col("hash_limit")) if turn < CLOSERS else (F.col("copies") + F.when(F.col("hash") < F.col("hash_limit"), 1).otherwise(0) < repeats)
-        free = dealt.where(spare & (F.col("size") > 0)).join(few(gaps, "pattern string, rest long"), "pattern").where("size <= rest")
-        if picks:
-            free = free.join(few([p[:2] for p in picks], "pattern string, hash long"), ["pattern", "hash"], "left_anti")
-        best = free.groupBy("pattern").agg(F.max(F.struct("size", "hash")).alias("b")).select("pattern", "b.hash", "b.size").collect()
-        if not best:
-            continue
-        # rows that share a hash are taken together
-        picks += [(r["pattern"], r["hash"], r["size"]) for r in best]
-        same = units.join(few([(r["pattern"], r["hash"]) for r in best], "pattern string, hash long"), ["pattern", "hash"]).groupBy("pattern").agg(F.sum("size").alias("words")).collect()
-        for r in same:
-            rests[r["pattern"]] -= r["words"]
-    extra = few([(p, h, 1) for p, h, _ in picks], "pattern string, hash long, closer int")
-    dealt = dealt.join(extra, ["pattern", "hash"], "left")
+    gaps = [(p, rest) for p, rest in rests.items() if rest > 0]
+    more = (F.col("copies") + F.when(F.col("hash") < F.col("hash_limit"), 1).otherwise(0)).alias("times")
+    # rows of one hash are taken together; of those of one size the first hash stands for all
+    spare = dealt.where("size > 0").join(few(gaps, "pattern string, rest long"), "pattern").withColumn("times", more).where(F.col("times") < repeats)
+    sized = spare.groupBy("pattern", "rest", "times", "hash").agg(F.sum("size").alias("size")).where("size <= rest").groupBy("pattern", "rest", "times", "size").agg(F.min("hash").alias("hash"))
+
+    def close(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        gap, picks = key[1].as_py(), []
+        for _, size, h in sorted(zip(*(rows.column(c).to_pylist() for c in ("times", "size", "hash")), strict=True), key=lambda r: (r[0], -r[1])):
+            if size <= gap:
+                gap -= size
+                picks.append(h)
+        return pa.table({"pattern": pa.array([key[0].as_py()] * len(picks), pa.string()), "hash": pa.array(picks, pa.int64())})
+
+    closers = materialize(sized.groupBy("pattern", "rest").applyInArrow(close, "pattern string, hash long"), "closers").withColumn("closer", F.lit(1))
+    dealt = dealt.join(F.broadcast(closers), ["pattern", "hash"], "left")  # some dozen rows a pattern
     times = F.col("copies") + F.when(F.col("hash") < F.col("hash_limit"), 1).otherwise(0) + F.coalesce("closer", F.lit(0))
     return dealt.withColumn("taken", F.col("size") * times).drop("copies", "hash_limit", "closer")
 
