@@ -1,38 +1,38 @@
 """Repeated and nearly repeated lines, by a deletion-neighbourhood join in DataFrame operations only.
 
-A line is its words (cut at white space). Its earliest place is the smallest
-(doc_id, line number). A line is dropped if an equal line, or one within one
-word edit (a word put in, left out or exchanged), stands earlier; whether that
-one is dropped itself does not matter. Lines of fewer than ``min_words`` words
-are too short to tell and stay; the edit bound is 0 for lines below
-``fuzzy_words`` words.
-
-Equal lines fall together first, by 128 bits of hash and length, with partial
-aggregation. A line of n words then has n variants with one word deleted. Two
-lines with the same variant at the same place differ by an exchange, a line
-that equals another's variant by a word put in or left out. All lines of such a
-group are within the bound of one another or of the one whole line, so the
-group's earliest place is all that its members need: groups are aggregated,
-never paired. The hash of a line is the xor of hashes of (place, word), so each
+A line's words are what single spaces separate. Its earliest place is the
+smallest (doc_id, line number). A line is dropped if an equal line, or one
+within one word edit (a word put in, left out or exchanged), stands earlier;
+whether that one is dropped itself does not matter. Lines of fewer than
+``min_chars`` characters are too short to tell and stay; the edit bound is 0
+for lines below ``fuzzy_words`` words.
+
+Equal lines fall together first, by 128 bits of hash, with partial aggregation.
+A line of n words then has n variants with one word deleted. Two lines with the
+same variant at the same place differ by an exchange, a line that equals
+another's variant by a word put in or left out. All lines of such a group are
+within the bound of one another or of the one whole line, so the group's
+earliest place is all that its members need: groups are aggregated, never
+paired. The hash of a line is the xor of hashes of (place, word), so each
 variant's hash takes one step. Partners are then verified word by word.
 
-Before variants are made, lines without a partner are set aside by an exact
-test: of two lines within one edit, where the longer has m words, either the
-first floor(m/2) or the last m - floor(m/2) words agree.
+Not all variants can meet another. Of two lines within one edit, where the
+longer has m words, either the first floor(m / 2) or the last m - floor(m / 2)
+words agree, and the edit is in the other part. So lines are hashed by these
+parts first, and a line emits the variants of a part only if some line shares
+the other part; lines that share none emit nothing. This is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.llm.tables import materialize, maybe_broadcast
 
-MIN_WORDS, FUZZY_WORDS = 3, 8
-#: Places of lines (16 bytes) that may be sent to every task; more are joined by a shuffle.
-BROADCAST_LINES = 400_000
-
-_WORDS = r"filter(split(line, '[\\x09-\\x0D\\x20]+'), w -> w <> '')"
+MIN_CHARS, FUZZY_WORDS = 16, 8
+#: Places of lines (16 bytes), or keys of variants, that may be sent to every task; more are joined by a shuffle.
+BROADCAST_LINES, BROADCAST_KEYS = 400_000, 1_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -40,45 +40,52 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
 
 
-def _hashed(lines: DataFrame, min_words: int) -> DataFrame:
-    """Lines of at least ``min_words`` words: doc, line_no, words, n, h, g."""
-    cut = lines.select("doc", "line_no", F.expr(_WORDS).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
-    return cut.withColumn("h", F.xxhash64("words")).withColumn("g", F.xxhash64(F.lit(1), "words"))
+def _parts() -> Column:
+    """Keys of the parts by which partners are met, as (key, role): f and l for the first and the last part of a pair whose longer line has this line's words, w for those with one word more."""
+    key = lambda m, n, part: f"xxhash64('{part}', {m}, substring_index(line, ' ', {n}))"
+    own = [("n", "n div 2", "first", "f"), ("n", "-(n - n div 2)", "last", "l"), ("(n + 1)", "(n + 1) div 2", "first", "w"), ("(n + 1)", "-(n + 1 - (n + 1) div 2)", "last", "w")]
+    return F.expr("array(" + ", ".join(f"named_struct('key', {key(m, n, part)}, 'role', '{role}')" for m, n, part, role in own) + ")")
 
 
-def _halves(fuzzy_words: int):
-    """Hashes of the halves by which a partner of n - 1, n or n + 1 words is met; null for lines without edit bound."""
-    first = [F.xxhash64(F.lit("first"), F.expr(f"slice(words, 1, {m} div 2)")) for m in ("n", "(n + 1)")]
-    last = [F.xxhash64(F.lit("last"), F.expr(f"slice(words, n - ({m} - {m} div 2) + 1, {m} - {m} div 2)")) for m in ("n", "(n + 1)")]
-    return F.when(F.col("n") >= fuzzy_words, F.array_distinct(F.array(*first, *last)))
+def _hashed(docs: DataFrame, min_chars: int, fuzzy_words: int) -> DataFrame:
+    """A shared table of the lines of ``min_chars`` characters and more: doc, line_no, h, g, n and the keys of their parts, null below ``fuzzy_words`` words."""
+    lines = _lines(docs).where((F.length("line") >= min_chars) & (F.trim("line") != "")).withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    return materialize(lines.select("doc", "line_no", "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.when(F.col("n") >= fuzzy_words, _parts()).alias("parts")), "lines")
 
 
-def _edit_partners(first: DataFrame, docs: DataFrame, fuzzy_words: int) -> DataFrame:
-    """(h, g, n) of distinct lines that have an earlier line within one edit."""
-    keys = first.where("halves is not null").select("h", "doc", "line_no", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("half")
-    places = materialize(keys.join(shared, "half", "left_semi").select("doc", "line_no").distinct(), "near-lines")
-    sent = maybe_broadcast(places.select(F.col("doc").alias("p_doc"), F.col("line_no").alias("p_no")), BROADCAST_LINES)
+def _edit_partners(first: DataFrame, docs: DataFrame) -> DataFrame:
+    """(h, g) of distinct lines that have an earlier line within one edit."""
+    keys = first.where("parts is not null").select("h", "doc", "line_no", F.explode("parts").alias("p")).select("h", "doc", "line_no", "p.key", "p.role")
+    shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+    roles = [F.max(F.col("role") == r).alias(r) for r in "flw"]
+    places = materialize(keys.join(shared, "key", "left_semi").groupBy("h", "doc", "line_no").agg(*roles), "near-places")
+    sent = maybe_broadcast(places.select(F.col("doc").alias("p_doc"), F.col("line_no").alias("p_no"), "f", "l", "w"), BROADCAST_LINES)
     lines = _lines(docs)
-    near = _hashed(lines.join(sent, lines["doc"].eqNullSafe(sent["p_doc"]) & (lines["line_no"] == sent["p_no"]), "left_semi"), fuzzy_words)
-    near = materialize(near.dropDuplicates(["h", "g", "n"]), "near-words").withColumn("at", F.struct("doc", "line_no"))
+    near = lines.join(sent, lines["doc"].eqNullSafe(sent["p_doc"]) & (lines["line_no"] == sent["p_no"]))
+    near = near.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "doc", "line_no", F.split("line", " ", -1).alias("words"), "f", "l", "w")
+    near = materialize(near.dropDuplicates(["h", "g"]), "near-words")
 
     here = F.transform("words", lambda w, i: F.xxhash64(i, w))
     moved = F.transform("words", lambda w, i: F.xxhash64(i - 1, w))
-    marked = near.select("h", "g", "n", "at", here.alias("x"), moved.alias("y")).select("h", "g", "n", "at", "x", "y", F.expr("aggregate(x, 0L, (a, v) -> a ^ v)").alias("whole"), F.expr("aggregate(y, 0L, (a, v) -> a ^ v)").alias("shifted"))
+    marked = near.select("h", "g", F.struct("doc", "line_no").alias("at"), F.size("words").alias("n"), "f", "l", "w", here.alias("x"), F.when(F.col("f") | F.col("l"), moved).alias("y"))
+    marked = marked.withColumns({"whole": F.expr("aggregate(x, 0L, (a, v) -> a ^ v)"), "shifted": F.expr("aggregate(y, 0L, (a, v) -> a ^ v)")})
     # without word i: words before it stay, words after it move by one
-    without = "transform(aggregate(sequence(1, n - 1), array(shifted ^ y[0]), (acc, j) -> array_append(acc, acc[j - 1] ^ x[j - 1] ^ y[j])), v -> xxhash64('gap', n - 1, v))"
-    exchanged = "transform(x, (v, i) -> xxhash64('swap', n, i, whole ^ v))"
-    one = lambda key, role: f"transform({key}, k -> named_struct('key', k, 'role', '{role}'))"
-    variants = marked.select("h", "g", "n", "at", F.explode(F.expr(f"concat({one(exchanged, 's')}, {one(without, 'l')}, array(named_struct('key', xxhash64('gap', n, whole), 'role', 'w')))")).alias("v")).select("v.key", "v.role", "h", "g", "n", "at")
-    least = lambda role: F.min(F.when(F.col("role") == role, F.struct("at", "h", "g", "n"))).alias(role)
-    groups = variants.groupBy("key").agg(F.count("*").alias("members"), least("s"), least("l"), least("w")).where("members > 1")
-    met = variants.join(groups, "key").withColumn("by", F.when(F.col("role") == "s", F.col("s")).when(F.col("role") == "l", F.col("w")).otherwise(F.col("l")))
-    pairs = met.where(F.col("by.at") < F.col("at")).select("h", "g", "n", F.col("by.h").alias("h2"), F.col("by.g").alias("g2"), F.col("by.n").alias("n2")).distinct()
-    words = near.select("h", "g", "n", "words")
-    other = near.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("words").alias("words2"))
-    both = pairs.join(words, ["h", "g", "n"]).join(other, ["h2", "g2", "n2"])
-    return both.where(F.expr(_WITHIN_ONE)).select("h", "g", "n").distinct()
+    marked = marked.withColumn("without", F.expr("if(f or l, aggregate(sequence(1, n - 1), array(shifted ^ y[0]), (acc, j) -> array_append(acc, acc[j - 1] ^ x[j - 1] ^ y[j])), null)"))
+    swap = "named_struct('key', xxhash64('swap', n, i, whole ^ x[i]), 'role', 's')"
+    gap = "named_struct('key', xxhash64('gap', n - 1, without[i]), 'role', 'l')"
+    places_of = "sequence(if(l, 0, n div 2), if(f, n - 1, n div 2 - 1))"
+    emitted = f"""concat(if(f or l, flatten(transform({places_of}, i -> array({swap}, {gap}))), array()),
+        if(w, array(named_struct('key', xxhash64('gap', n, whole), 'role', 'w')), array()))"""
+    variants = marked.select("h", "g", "at", F.explode(F.expr(emitted)).alias("v")).select("v.key", "v.role", "h", "g", "at")
+    crowded = materialize(variants.select("key").groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "variant-keys")
+    met = materialize(variants.join(maybe_broadcast(crowded, BROADCAST_KEYS), "key"), "met-variants")
+    least = lambda role: F.min(F.when(F.col("role") == role, F.struct("at", "h", "g"))).alias(f"by_{role}")
+    met = met.join(met.groupBy("key").agg(least("s"), least("l"), least("w")), "key")
+    met = met.withColumn("by", F.when(F.col("role") == "s", F.col("by_s")).when(F.col("role") == "l", F.col("by_w")).otherwise(F.col("by_l")))
+    pairs = met.where(F.col("by.at") < F.col("at")).select("h", "g", F.col("by.h").alias("h2"), F.col("by.g").alias("g2")).distinct()
+    other = near.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("words").alias("words2"))
+    both = pairs.join(near.select("h", "g", "words"), ["h", "g"]).join(other, ["h2", "g2"]).withColumns({"n": F.size("words"), "n2": F.size("words2")})
+    return both.where(F.expr(_WITHIN_ONE)).select("h", "g").distinct()
 
 
 #: words and words2 are one word edit apart at most
@@ -89,25 +96,25 @@ _WITHIN_ONE = """CASE
   ELSE false END"""
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """(doc, line_no) of the lines to drop, line numbers from 0. Null texts have no lines; a null doc_id is the earliest; rows that repeat a doc_id are one document."""
-    hashed = _hashed(_lines(docs), min_words)
-    first = hashed.withColumn("halves", _halves(fuzzy_words)).groupBy("h", "g", "n").agg(F.min(F.struct("doc", "line_no")).alias("at"), F.max(F.struct("doc", "line_no")).alias("upto"), F.first("halves").alias("halves"))
-    first = materialize(first.select("h", "g", "n", "at.doc", "at.line_no", (F.col("at") != F.col("upto")).alias("again"), "halves"), "lines")
-    edited = materialize(_edit_partners(first, docs, fuzzy_words), "edited")
-    equal = first.where("again").select("h", "g", "n", F.col("doc").alias("f_doc"), F.col("line_no").alias("f_no"))
-    known = equal.join(edited.withColumn("edited", F.lit(True)), ["h", "g", "n"], "left")
-    places = hashed.select("h", "g", "n", "doc", "line_no")
-    later = places.join(known, ["h", "g", "n"]).where(~(F.col("doc").eqNullSafe(F.col("f_doc")) & (F.col("line_no") == F.col("f_no"))) | F.col("edited"))
-    alone = first.where("not again").join(edited, ["h", "g", "n"], "left_semi")
-    return later.select("doc", "line_no").unionByName(alone.select("doc", "line_no")).distinct()
-
-
-def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
+    hashed = _hashed(docs, min_chars, fuzzy_words)
+    place = F.struct("doc", "line_no")
+    first = hashed.groupBy("h", "g").agg(F.min(place).alias("at"), F.max(place).alias("upto"), F.first("parts").alias("parts"))
+    first = materialize(first.select("h", "g", "at.doc", "at.line_no", (F.col("at") != F.col("upto")).alias("again"), "parts"), "first-lines")
+    edited = materialize(_edit_partners(first.drop("again"), docs), "edited")
+    equal = first.where("again").select("h", "g", F.col("doc").alias("f_doc"), F.col("line_no").alias("f_no"))
+    known = equal.join(edited.withColumn("edited", F.lit(True)), ["h", "g"], "left")
+    later = hashed.select("h", "g", "doc", "line_no").join(known, ["h", "g"]).where(~(F.col("doc").eqNullSafe(F.col("f_doc")) & (F.col("line_no") == F.col("f_no"))) | F.col("edited"))
+    alone = first.where("not again").join(edited, ["h", "g"], "left_semi")
+    return later.select("doc", "line_no").unionByName(alone.select("doc", "line_no"))
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """``docs`` with all columns, the text without its repeated lines, and ``lines_dropped``. Texts without lines to drop, null texts too, stay as they are."""
-    gone = repeated_lines(docs, min_words, fuzzy_words).groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_list("line_no").alias("gone_lines"))
+    gone = repeated_lines(docs, min_chars, fuzzy_words).groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_set("line_no").alias("gone_lines"))
     gone = materialize(gone, "dropped-lines")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_doc"]), "left")
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["gone_doc"]), "left")
     kept = F.expr("array_join(filter(split(cast(text as string), '\\n', -1), (l, i) -> not array_contains(gone_lines, i)), '\\n')")
     text = F.when(F.col("gone_lines").isNull(), F.col("text").cast("string")).otherwise(kept)
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.coalesce(F.size("gone_lines"), F.lit(0)).alias("lines_dropped"))

@@ -148,12 +148,12 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 20"""
 
 # Variants as text: a line with word i left out, against lines with word i left out (an exchange) and whole lines (a word more or less).
-SQL["op5_line_dedup"] = r"""
+SQL["op5_line_dedup"] = """
 WITH l AS (
-  SELECT doc_id, i - 1 AS no, x[i] AS line, list_filter(regexp_split_to_array(x[i], '[\x09-\x0D\x20]+'), lambda w: w <> '') AS w
+  SELECT doc_id, i - 1 AS no, x[i] AS line, string_split(x[i], ' ') AS w
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), unnest(range(1, len(x) + 1)) AS t(i)
 ), d AS (
-  SELECT w, len(w) AS n, min({'doc': doc_id, 'no': no}) AS pos FROM l WHERE len(w) >= 3 GROUP BY w
+  SELECT w, len(w) AS n, min({'doc': doc_id, 'no': no}) AS pos FROM l WHERE length(line) >= 16 AND trim(line) <> '' GROUP BY w
 ), cut AS (
   SELECT w, n, pos, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 : n]), ' ') AS rest FROM d, unnest(range(1, n + 1)) AS t(i) WHERE n >= 8
 ), swapped AS (
