@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelforge.functions.text import nullify_placeholder
+from parcelforge.session import cut_lineage
 
 #: The columns that tell registration rows of one document apart.
 IDENTITY_COLUMNS = ("GCN_soPhatHanh", "GCN_soVaoSo", "CHU_hoTen", "GT_soGiayTo", "TD_soThuTuThua", "TD_soHieuToBanDo", "TD_dienTich", "TD_maMucDichSuDung")
@@ -24,7 +25,8 @@ def running_number(df: DataFrame, order: Sequence[str], name: str = "stt", start
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # the low 33 bits of the id number a partition's rows
-    marked = parts.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    # computed once: another run of the same plan may draw other range bounds
+    marked = cut_lineage(parts.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
     counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(counts.select("_part", before.alias("_before")))  # a row for each partition
@@ -42,7 +44,7 @@ def identity_key(columns: Sequence[str]) -> Column:
 
 def dedup_first(df: DataFrame, document: Sequence[str], identity: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each identity within a document, in the order."""
-    w = Window.partitionBy(*document, *identity_key(identity)._jc and [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in identity]).orderBy(*order)
+    w = Window.partitionBy(*document, identity_key(identity)).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -54,7 +56,7 @@ def renumber_export(df: DataFrame, document: Sequence[str], order: Sequence[Colu
 
 def split_values(c: Column, pattern: str = r"[+,;/]") -> Column:
     """The non-empty parts of a joined value."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), pattern), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), pattern), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def aligned(values: Column, n: Column) -> Column:
@@ -70,9 +72,7 @@ def expand_parcels(docs: DataFrame, parcels: str = "so_thua", others: Sequence[s
     n = F.size(numbers)
     zipped = F.arrays_zip(numbers.alias(parcels), *[aligned(split_values(F.col(c), r"\+"), n).alias(c) for c in others])
     single = F.array(F.struct(F.col(parcels).cast("string").alias(parcels), *[F.col(c).cast("string").alias(c) for c in others]))
-    # arrays_zip names its fields by place where the inputs are expressions
-    named = F.transform(zipped, lambda z: F.struct(*[z[str(i)].alias(c) for i, c in enumerate((parcels, *others))]))
-    rows = docs.withColumn("_rows", F.when(several, named).otherwise(single))
+    rows = docs.withColumn("_rows", F.when(several, zipped).otherwise(single))
     return rows.select(*keep, F.posexplode("_rows").alias("_p", "_r")).select(*keep, (F.col("_p") + 1).alias("parcel_no"), *[F.col(f"_r.{c}").alias(c) for c in (parcels, *others)])
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,26 +47,35 @@ def reading_order(tokens: DataFrame, tolerance: float = 12.0, page: Sequence[str
     tolerance, else it begins one; lines follow by mean top, tokens in a line by
     their left edge. Ties go by ``ord``.
     """
-    keys = [f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema if f.name in page]
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["y1", "x1", "ord"], kind="stable")
-        sums, counts, member = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows), int)
-        used = 0
-        for i, top in enumerate(rows["y1"].to_numpy()):
-            near = np.flatnonzero(np.abs(top - sums[:used] / counts[:used]) <= tolerance) if used else []
-            at = near[0] if len(near) else used
-            used += at == used
-            sums[at] += top
-            counts[at] += 1
-            member[i] = at
-        rank = np.argsort(np.argsort(sums[:used] / counts[:used], kind="stable"), kind="stable")
-        rows = rows.assign(line=rank[member]).sort_values(["line", "x1", "ord"], kind="stable")
-        return rows.assign(position=range(len(rows)))[[*page, "ord", "line", "position"]]
-
-    slim = tokens.select(*page, "ord", F.col("x1").cast("double"), F.col("y1").cast("double"))
-    placed = slim.groupBy(*page).applyInPandas(cluster, ", ".join([*keys, f"ord {tokens.schema['ord'].dataType.simpleString()}", "line int", "position int"]))
-    return tokens.join(placed, [*page, "ord"])
+    own = F.struct(F.col("y1").cast("double").alias("y"), F.col("x1").cast("double").alias("x"), "ord")
+    pages = tokens.groupBy(*page).agg(F.array_sort(F.collect_list(own)).alias("boxes"))
+    placed = pages.select(*page, F.explode(F.arrays_zip(F.col("boxes.ord").alias("ord"), reading_places(tolerance)(F.col("boxes.y"), F.col("boxes.x")).alias("at"))).alias("t"))
+    return tokens.join(placed.select(*page, "t.ord", "t.at.line", "t.at.position"), [*page, "ord"])
+
+
+def reading_places(tolerance: float):
+    """A batched function of a page's tops and left edges, sorted by them: each token's line and position."""
+
+    @F.pandas_udf("array<struct<line: int, position: int>>")
+    def places(tops: pd.Series, lefts: pd.Series) -> pd.Series:
+        out = []
+        for ys, xs in zip(tops, lefts, strict=True):
+            sums, counts, member = [], [], []
+            for top in ys:
+                at = next((i for i, (s, n) in enumerate(zip(sums, counts, strict=True)) if abs(top - s / n) <= tolerance), len(sums))
+                if at == len(sums):
+                    sums.append(0.0)
+                    counts.append(0)
+                sums[at] += top
+                counts[at] += 1
+                member.append(at)
+            order = sorted(range(len(sums)), key=lambda i: sums[i] / counts[i])
+            line = {at: i for i, at in enumerate(order)}
+            position = {i: p for p, i in enumerate(sorted(range(len(member)), key=lambda i: (line[member[i]], xs[i])))}
+            out.append([{"line": line[m], "position": position[i]} for i, m in enumerate(member)])
+        return pd.Series(out)
+
+    return places
 
 
 def _pairs(anchors: DataFrame, tokens: DataFrame, page: Sequence[str]) -> DataFrame:

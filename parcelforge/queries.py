@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from parcelforge.plans import layout_queries, store_queries, text_queries  # noqa: F401  (they register themselves)
+from parcelforge.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
