@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.tables import materialize, maybe_broadcast
+from parcelforge.llm.tables import discard, materialize, maybe_broadcast
 from parcelforge.llm.words import blocks, buffers, shingle_hashes, splitmix, word_hashes
 
 ROWS, BANDS = 6, 48
@@ -95,8 +95,8 @@ def _sketch_table(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
 def _verify(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(hub, rep, wide) with the sizes of the sets, hub_n and n, and of what they share, common, from the whole texts; for wide pairs ``edits``, the shingles of either alone."""
     ids = pairs.select(F.explode(F.array("hub", "rep")).alias("id")).distinct()
-    ids = maybe_broadcast(materialize(ids, "ids"), BROADCAST_IDS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    ids = materialize(ids, "ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
     both = pairs.join(texts.select(F.col("id").alias("hub"), F.col("text").alias("one")).hint("merge"), "hub").join(texts.select(F.col("id").alias("rep"), F.col("text").alias("other")).hint("merge"), "rep")
 
@@ -115,7 +115,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 figures = [pa.array([r[j] for r in out], pa.int64()) for j in range(3)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, b - a) for j in range(3)), *figures, pa.array([r[3] for r in out], pa.list_(pa.int64()))], names=["hub", "rep", "wide", "hub_n", "n", "common", "edits"])
 
-    return materialize(both.select("hub", "rep", "wide", "one", "other").mapInArrow(comparing, "hub long, rep long, wide boolean, hub_n long, n long, common long, edits array<long>"), "verified")
+    out = materialize(both.select("hub", "rep", "wide", "one", "other").mapInArrow(comparing, "hub long, rep long, wide boolean, hub_n long, n long, common long, edits array<long>"), "verified")
+    discard(ids, texts)
+    return out
 
 
 def block_links(left: dict, group: dict, percent: int) -> list[tuple[int, int]]:
@@ -173,7 +175,7 @@ def load_of(who):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label) for each end of the links (u, v): the smallest id reachable. Labels move along links and then jump to their own label; each round is a shared table."""
+    """id and label of each end of the links (u, v): the smallest id reachable. Labels move along links and then jump to their own label; each round is a shared table."""
     edges = materialize(links.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("e")).select("e.a", "e.b").distinct(), "edges")
     labels = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
@@ -181,9 +183,11 @@ def components(links: DataFrame) -> DataFrame:
         moved = labels.join(seen, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         after = materialize(moved.join(jump, "label", "left").select("id", "old", F.least("label", "further").alias("label")), "labels")
+        discard(labels)
         if after.where("label <> old").isEmpty():
-            return after.select("id", "label")
-        labels = after.select("id", "label")
+            discard(edges)
+            return after
+        labels = after
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -203,14 +207,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     crowded = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     met = materialize(banded.join(crowded, "band"), "met")
     known_by = met.groupBy("rep").agg(F.sum("members").alias("met"))
-    met = met.join(known_by, "rep")
-    hubs = met.groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("back"))).alias("most")).select("band", (-F.col("most.back")).alias("hub"))
-    members = materialize(met.drop("met").join(hubs, "band"), "members")
+    counted = met.join(known_by, "rep")
+    hubs = counted.groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("back"))).alias("most")).select("band", (-F.col("most.back")).alias("hub"))
+    members = materialize(met.join(hubs, "band"), "members")
+    discard(met)
     sizes = reps.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"))
     pairs = members.where("rep <> hub").groupBy("hub", "rep", "n").agg((F.max("members") > 2).alias("wide")).join(sizes, "hub")
     # pairs of too different sizes are no links, and their edits are needed in wide buckets only
     pairs = pairs.where(F.col("wide") | (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent))
-    known = _verify(materialize(pairs.select("hub", "rep", "wide"), "pairs"), docs, k)
+    pairs = materialize(pairs.select("hub", "rep", "wide"), "pairs")
+    known = _verify(pairs, docs, k)
+    discard(members, pairs)
     linked = F.col("common") * 100 >= (F.col("n") + F.col("hub_n") - F.col("common")) * percent
     links = known.where(linked).select(F.col("hub").alias("u"), F.col("rep").alias("v"))
     labels = components(links)
@@ -220,8 +227,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     group = group.select("hub", "rep", "n", "edits", F.coalesce("rep_label", "rep").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
     more = materialize(_cross_links(group.withColumn("left", F.col("label") != F.col("hub_label")), percent), "cross-links")
     if not more.isEmpty():
+        discard(labels)
         labels = components(links.unionByName(more))
-    roots = reps.select(*same, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("component"))
+    discard(known, more)
+    roots = reps.select(*same, "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("component"))
     out = all_.drop("bands").join(roots, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -231,8 +240,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     """The documents that are their component's smallest doc_id, with their columns; of rows that share a doc_id one stays, and all rows without one."""
     gone = near_duplicates(docs, k).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("copies")).where("doc_id is not null and (not kept or copies > 1)")
     gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), "kept"), "gone")
-    rest = docs.join(gone.select("gone_id"), docs["doc_id"] == gone["gone_id"], "left_anti")
+    rest = docs.join(maybe_broadcast(gone.select("gone_id"), BROADCAST_IDS), F.col("doc_id") == F.col("gone_id"), "left_anti")
     copies = gone.where("kept").select("gone_id")
     if copies.isEmpty():
         return rest
-    return rest.unionByName(docs.join(copies, docs["doc_id"] == copies["gone_id"], "left_semi").dropDuplicates(["doc_id"]))
+    return rest.unionByName(docs.join(maybe_broadcast(copies, BROADCAST_IDS), F.col("doc_id") == F.col("gone_id"), "left_semi").dropDuplicates(["doc_id"]))
