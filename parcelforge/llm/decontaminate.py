@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelforge.llm.tables import materialize
+from parcelforge.llm.tables import discard, materialize, maybe_broadcast
 from parcelforge.llm.words import blocks, buffers, word_hashes
 
 SEGMENT_BYTES = 4 << 20
 #: Words of benchmark items that one pass over the index may carry to each task (8 bytes a word and window place).
 BLOCK_WORDS = 200_000
+#: Ids of contaminated documents that may be sent to every task; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Moved positions that are intersected at once.
 CANDIDATES = 1 << 21
 
@@ -306,7 +308,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     Null, empty or wordless texts have no words and are clean; an empty
     benchmark leaves all clean; rows that repeat give a row each.
     """
-    found = phrase_matches(build_index(docs), benchmark, window=window, block_words=block_words)
+    return _judged(phrase_matches(build_index(docs), benchmark, window=window, block_words=block_words))
+
+
+def _judged(found: DataFrame) -> DataFrame:
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)")
     return found.select(
         F.col("id").alias("doc_id"),
@@ -318,7 +323,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any benchmark passage, with their columns. Rows that share a doc_id go together."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    index = build_index(docs)
+    bad = materialize(_judged(phrase_matches(index, benchmark, window=window)).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
+    discard(index)
+    return docs.join(maybe_broadcast(bad, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
