@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.tables import materialize, maybe_broadcast
+from parcelforge.llm.tables import discard, materialize, maybe_broadcast
 
 MIN_CHARS, FUZZY_WORDS = 16, 8
 #: Places of lines (16 bytes), or keys of variants, that may be sent to every task; more are joined by a shuffle.
@@ -78,14 +78,16 @@ def _edit_partners(first: DataFrame, docs: DataFrame) -> DataFrame:
         if(w, array(named_struct('key', xxhash64('gap', n, whole), 'role', 'w')), array()))"""
     variants = marked.select("h", "g", "at", F.explode(F.expr(emitted)).alias("v")).select("v.key", "v.role", "h", "g", "at")
     crowded = materialize(variants.select("key").groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "variant-keys")
-    met = materialize(variants.join(maybe_broadcast(crowded, BROADCAST_KEYS), "key"), "met-variants")
+    meeting = materialize(variants.join(maybe_broadcast(crowded, BROADCAST_KEYS), "key"), "met-variants")
     least = lambda role: F.min(F.when(F.col("role") == role, F.struct("at", "h", "g"))).alias(f"by_{role}")
-    met = met.join(met.groupBy("key").agg(least("s"), least("l"), least("w")), "key")
+    met = meeting.join(meeting.groupBy("key").agg(least("s"), least("l"), least("w")), "key")
     met = met.withColumn("by", F.when(F.col("role") == "s", F.col("by_s")).when(F.col("role") == "l", F.col("by_w")).otherwise(F.col("by_l")))
     pairs = met.where(F.col("by.at") < F.col("at")).select("h", "g", F.col("by.h").alias("h2"), F.col("by.g").alias("g2")).distinct()
     other = near.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("words").alias("words2"))
     both = pairs.join(near.select("h", "g", "words"), ["h", "g"]).join(other, ["h2", "g2"]).withColumns({"n": F.size("words"), "n2": F.size("words2")})
-    return both.where(F.expr(_WITHIN_ONE)).select("h", "g").distinct()
+    out = materialize(both.where(F.expr(_WITHIN_ONE)).select("h", "g").distinct(), "edited")
+    discard(places, near, crowded, meeting)
+    return out
 
 
 #: words and words2 are one word edit apart at most
@@ -97,24 +99,26 @@ _WITHIN_ONE = """CASE
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """(doc, line_no) of the lines to drop, line numbers from 0. Null texts have no lines; a null doc_id is the earliest; rows that repeat a doc_id are one document."""
+    """(doc, lines): the numbers, from 0, of the lines to drop of each document that has some. Null texts have no lines; a null doc_id is the earliest; rows that repeat a doc_id are one document."""
     hashed = _hashed(docs, min_chars, fuzzy_words)
     place = F.struct("doc", "line_no")
     first = hashed.groupBy("h", "g").agg(F.min(place).alias("at"), F.max(place).alias("upto"), F.first("parts").alias("parts"))
     first = materialize(first.select("h", "g", "at.doc", "at.line_no", (F.col("at") != F.col("upto")).alias("again"), "parts"), "first-lines")
-    edited = materialize(_edit_partners(first.drop("again"), docs), "edited")
+    edited = _edit_partners(first, docs)
     equal = first.where("again").select("h", "g", F.col("doc").alias("f_doc"), F.col("line_no").alias("f_no"))
     known = equal.join(edited.withColumn("edited", F.lit(True)), ["h", "g"], "left")
     later = hashed.select("h", "g", "doc", "line_no").join(known, ["h", "g"]).where(~(F.col("doc").eqNullSafe(F.col("f_doc")) & (F.col("line_no") == F.col("f_no"))) | F.col("edited"))
     alone = first.where("not again").join(edited, ["h", "g"], "left_semi")
-    return later.select("doc", "line_no").unionByName(alone.select("doc", "line_no"))
+    gone = later.select("doc", "line_no").unionByName(alone.select("doc", "line_no")).groupBy("doc").agg(F.collect_set("line_no").alias("lines"))
+    gone = materialize(gone, "dropped-lines")
+    discard(hashed, first, edited)
+    return gone
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """``docs`` with all columns, the text without its repeated lines, and ``lines_dropped``. Texts without lines to drop, null texts too, stay as they are."""
-    gone = repeated_lines(docs, min_chars, fuzzy_words).groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_set("line_no").alias("gone_lines"))
-    gone = materialize(gone, "dropped-lines")
-    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["gone_doc"]), "left")
+    gone = repeated_lines(docs, min_chars, fuzzy_words).select(F.col("doc").alias("gone_doc"), F.col("lines").alias("gone_lines"))
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_doc")), "left")
     kept = F.expr("array_join(filter(split(cast(text as string), '\\n', -1), (l, i) -> not array_contains(gone_lines, i)), '\\n')")
     text = F.when(F.col("gone_lines").isNull(), F.col("text").cast("string")).otherwise(kept)
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.coalesce(F.size("gone_lines"), F.lit(0)).alias("lines_dropped"))
