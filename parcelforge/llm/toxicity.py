@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from parcelforge.llm.quality import held_out, training_ids
 
 TRAIN_ROWS = 8000
-#: A learned entry is in this share of the toxic training texts and in three of them at least, and so many times as frequent as in others.
-LEAST_SHARE, LEAST_DOCS, LEAST_RATIO = 0.02, 3, 25
+#: A learned entry is in this share of the toxic training texts and in three of them at least, and so many times as frequent as in others; before exceptions are known, so many times.
+LEAST_SHARE, LEAST_DOCS, LEAST_RATIO, FIRST_RATIO = 0.02, 3, 25, 3
 #: Candidates for the lexicon that come to the driver.
 MOST_CANDIDATES = 20_000
 #: Characters that are added to each text's length, so that one word is no text.
@@ -99,21 +99,26 @@ class Lexicon:
             self._automaton.make_automaton()
         return self._automaton
 
-    def hits(self, folded: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight): of the entries that begin a word, the heaviest; none inside an exception phrase."""
-        found: dict[int, tuple[int, float]] = {}
-        spared: list[tuple[int, int]] = []
-        if not self.weights:
-            return []
-        for last, (size, weight, whole) in self.automaton().iter(folded):
+    def matches(self, folded: str) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of all entries that begin a word, none inside an exception phrase."""
+        found, spared = [], []
+        for last, (size, weight, whole) in self.automaton().iter(folded) if self.weights else ():
             start, end = last + 1 - size, last + 1
             if start and folded[start - 1].isalnum() or whole and end < len(folded) and folded[end].isalnum():
                 continue
             if weight is None:
                 spared.append((start, end))
-            elif weight > found.get(start, (0, 0.0))[1]:
-                found[start] = (end, weight)
-        return [(s, e, w) for s, (e, w) in found.items() if not any(a <= s and e <= b for a, b in spared)]
+            else:
+                found.append((start, end, weight))
+        return [m for m in found if not any(a <= m[0] and m[1] <= b for a, b in spared)] if spared else found
+
+    def hits(self, folded: str) -> list[tuple[int, int, float]]:
+        """Of the matches at one place the heaviest."""
+        best: dict[int, tuple[int, int, float]] = {}
+        for m in self.matches(folded):
+            if m[2] > best.get(m[0], (0, 0, 0.0))[2]:
+                best[m[0]] = m
+        return list(best.values())
 
     def density(self, folded: str) -> float:
         return 1000 * sum(w for _, _, w in self.hits(folded)) / (len(folded) + LENGTH_FLOOR)
@@ -140,6 +145,19 @@ def _beginnings(folded: str) -> set[str]:
     return out
 
 
+def _phrases(folded: str, lexicon: Lexicon) -> set[str]:
+    """The words that matches begin, each with the word before and with the word after it."""
+    out = set()
+    for s, e, _ in lexicon.hits(folded):
+        while e < len(folded) and folded[e].isalpha():
+            e += 1
+        if before := re.search(r"[^\W\d_]+ $", folded[max(0, s - 40) : s]):
+            out.add(before[0] + folded[s:e])
+        if after := re.match(r" [^\W\d_]+", folded[e : e + 40]):
+            out.add(folded[s:e] + after[0])
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, extra: dict[str, float] | None = None, exceptions: frozenset[str] = frozenset(), train_rows: int = TRAIN_ROWS) -> Lexicon:
     """The lexicon of the training rows; equal texts count once. Without toxic and other rows it holds ``extra`` alone."""
     ids = F.broadcast(training_ids(labels, "toxic", train_rows))  # train_rows rows at most
@@ -151,47 +169,41 @@ def learn(docs: DataFrame, labels: DataFrame, extra: dict[str, float] | None = N
     if not (toxic and other):
         return lexicon
 
-    def counting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = (Counter(), Counter())
-        for batch in batches:
-            for y, text in zip(batch["label"], batch["text"], strict=True):
-                counts[y].update(_beginnings(fold(text)))
-            if len(counts[0]) + len(counts[1]) > 500_000:
-                yield pd.DataFrame([(k, counts[1][k], counts[0][k]) for k in counts[0] | counts[1]], columns=["entry", "toxic", "other"])
-                counts = (Counter(), Counter())
-        yield pd.DataFrame([(k, counts[1][k], counts[0][k]) for k in counts[0] | counts[1]], columns=["entry", "toxic", "other"])
+    def counted(of) -> DataFrame:
+        """entry, toxic, other: the texts of either kind that ``of`` finds an entry in."""
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts = (Counter(), Counter())
+            rows = lambda: pd.DataFrame([(k, counts[1][k], counts[0][k]) for k in counts[0] | counts[1]], columns=["entry", "toxic", "other"])
+            for batch in batches:
+                for y, text in zip(batch["label"], batch["text"], strict=True):
+                    counts[y].update(of(fold(text)))
+                if len(counts[0]) + len(counts[1]) > 500_000:
+                    yield rows()
+                    counts = (Counter(), Counter())
+            yield rows()
+
+        return rows.mapInPandas(count, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
     least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * toxic))
-    counted = rows.mapInPandas(counting, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    good = counted.where((F.col("toxic") >= least) & (F.col("toxic") / toxic >= LEAST_RATIO * (F.col("other") + 0.5) / other))
-    found = {r["entry"]: (r["toxic"], r["other"]) for r in good.orderBy(F.desc("toxic"), F.length("entry"), "entry").limit(MOST_CANDIDATES).collect()}
     odds = lambda a, b: math.log((a + 0.5) / toxic * other / (b + 0.5))
-    for entry in _closed(found):
-        a, b = found[entry]
-        shorter = [entry[:k] for k in range(3, len(entry.rstrip(" "))) if entry[:k] in lexicon.weights]
-        # a longer entry adds to a shorter one only if it is much surer
-        if not any(odds(*found[x]) > 0.7 * odds(a, b) for x in shorter if x in found):
-            lexicon.weights.setdefault(entry.rstrip(" "), odds(a, b))
 
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts = (Counter(), Counter())
-            for y, text in zip(batch["label"], batch["text"], strict=True):
-                folded, phrases = fold(text), set()
-                for s, e, _ in lexicon.hits(folded):
-                    while e < len(folded) and folded[e].isalpha():
-                        e += 1
-                    if before := re.search(r"[^\W\d_]+ $", folded[max(0, s - 40) : s]):
-                        phrases.add(before[0] + folded[s:e])
-                    if after := re.match(r" [^\W\d_]+", folded[e : e + 40]):
-                        phrases.add(folded[s:e] + after[0])
-                counts[y].update(phrases)
-            yield pd.DataFrame([(k, counts[1][k], counts[0][k]) for k in counts[0] | counts[1]], columns=["phrase", "toxic", "other"])
-
-    phrases = rows.mapInPandas(contexts, "phrase string, toxic long, other long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    harmless = phrases.where((F.col("other") >= LEAST_DOCS) & (F.col("toxic") / toxic < 0.5 * F.col("other") / other))
-    lexicon.exceptions |= frozenset(r["phrase"] for r in harmless.orderBy(F.desc("other"), "phrase").limit(MOST_CANDIDATES).collect())
-    lexicon._automaton = None
+    def frequent(counts: DataFrame, times: float) -> dict[str, tuple[int, int]]:
+        good = counts.where((F.col("toxic") >= least) & (F.col("toxic") / toxic >= times * (F.col("other") + 0.5) / other))
+        return {r["entry"]: (r["toxic"], r["other"]) for r in good.orderBy(F.desc("toxic"), F.length("entry"), "entry").limit(MOST_CANDIDATES).collect()}
+
+    first = frequent(counted(_beginnings), FIRST_RATIO)
+    lexicon.weights |= {e.rstrip(" "): odds(*first[e]) for e in _closed(first)}
+    harmless = counted(lambda folded: _phrases(folded, lexicon)).where((F.col("other") >= LEAST_DOCS) & (F.col("toxic") / toxic < 0.5 * F.col("other") / other))
+    spared = frozenset(r["entry"] for r in harmless.orderBy(F.desc("other"), "entry").limit(MOST_CANDIDATES).collect())
+    trial = Lexicon(lexicon.weights, spared | exceptions)
+    sure = frequent(counted(lambda folded: {folded[a:b] for a, b, _ in trial.matches(folded)}), LEAST_RATIO)
+    lexicon = Lexicon(dict(extra or {}))
+    for entry in sorted(sure, key=lambda e: (len(e), e)):
+        # a longer entry adds to a shorter one only if it is much surer
+        if not any(odds(*sure[entry[:k]]) > 0.7 * odds(*sure[entry]) for k in range(3, len(entry)) if entry[:k] in lexicon.weights and entry[:k] in sure):
+            lexicon.weights.setdefault(entry, odds(*sure[entry]))
+    lexicon = Lexicon(lexicon.weights, frozenset(p for p in spared if lexicon.matches(p)) | exceptions)
 
     def densities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
