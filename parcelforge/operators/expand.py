@@ -80,7 +80,8 @@ def collapse_parcels(rows: DataFrame, keys: Sequence[str], columns: Sequence[str
     """One row per certificate, its parcels' values joined in order."""
     lists = F.array_sort(F.collect_list(F.struct(order, *columns))).alias("_l")
     out = rows.groupBy(*keys).agg(lists)
-    return out.select(*keys, F.size("_l").alias("n_parcels"), *[F.array_join(F.transform("_l", lambda r, c=c: r[c].cast("string")), sep).alias(c) for c in columns])
+    joined = lambda c: F.array_join(F.transform("_l", lambda r: r[c].cast("string")), sep).alias(c)
+    return out.select(*keys, F.size("_l").alias("n_parcels"), *[joined(c) for c in columns])
 
 
 def expand_heirs(rows: DataFrame, heirs: str = "dong_thua_ke", owner: str = "CHU_hoTen", companion: str = "VC_hoTen", order: Sequence[str] = ("stt",)) -> DataFrame:

@@ -45,7 +45,7 @@ def reading_order(tokens: DataFrame, tolerance: float = 12.0, page: Sequence[str
 
     From top to bottom a token joins the first line whose mean top is within the
     tolerance, else it begins one; lines follow by mean top, tokens in a line by
-    their left edge. Ties go by ``ord``.
+    their left edge. Ties go by the top, then by ``ord``.
     """
     own = F.struct(F.col("y1").cast("double").alias("y"), F.col("x1").cast("double").alias("x"), "ord")
     pages = tokens.groupBy(*page).agg(F.array_sort(F.collect_list(own)).alias("boxes"))
