@@ -51,4 +51,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def maybe_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
     """``small`` with a broadcast hint if it has at most ``max_rows`` rows (narrow rows only); else as it is, for a shuffled join."""
-    return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
+    return F.broadcast(small) if small.count() <= max_rows else small

@@ -57,6 +57,12 @@ def test_least_bytes_for_revisits(spark):
     assert {k: v for k, v in kinds.items() if v == "revisit"} == {"<urn:page:3>": "revisit"}
 
 
+def test_null_ids_are_responses_of_their_own(spark):
+    frame = spark.createDataFrame([(None, "u", "x", "f", "d"), (None, None, None, "f", "d"), (1, "u", "x", "f", "d")], SCHEMA)
+    got = warc.archived_pages(frame).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type) for r in got) == [(0, 0, "response"), (0, 1, "response"), (1, 1, "response")]
+
+
 def test_file_is_a_warc(spark):
     path = fresh_path(spark, "warc-file")
     warc.write_warc(spark.createDataFrame([(1, "http://x", "héllo", "f", "d")], SCHEMA), path)
