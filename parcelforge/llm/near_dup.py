@@ -146,11 +146,14 @@ def block_links(left: dict, group: dict, percent: int) -> list[tuple[int, int]]:
 
 def _cross_links(group: DataFrame, percent: int) -> DataFrame:
     """(u, v): links of the members that are not in their hub's component, among ``group``: hub, rep, n, edits, label, left."""
-    sizes = group.groupBy("hub").agg(load_of(F.lit(True)).alias("parts"), load_of(F.col("left")).alias("left_parts"), F.max("left").alias("any")).where("any")
-    dealt = group.join(sizes, "hub")
+    sizes = materialize(group.groupBy("hub").agg(load_of(F.lit(True)).alias("parts"), load_of(F.col("left")).alias("left_parts"), F.max("left").alias("any")).where("any"), "loads")
+    dealt = group.join(maybe_broadcast(sizes, BROADCAST_IDS), "hub")
     row = F.struct("rep", "n", "label", "edits")
-    block = lambda df, parts, name: df.groupBy("hub", F.pmod(F.xxhash64("rep"), F.col(parts)).alias("part")).agg(F.collect_list(row).alias(name)).drop("part")
-    pairs = block(dealt.where("left"), "left_parts", "one").join(block(dealt, "parts", "other"), "hub").select("one", "other")
+    deal = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts))
+    one = dealt.where("left").groupBy("hub", "parts", deal("left_parts").alias("left_part")).agg(F.collect_list(row).alias("one"))
+    other = dealt.groupBy("hub", deal("parts").alias("part")).agg(F.collect_list(row).alias("other"))
+    # a block of left members goes to each block of its hub's group, so one hub is many tasks
+    pairs = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(other, ["hub", "part"]).select("one", "other")
 
     def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(rows):
