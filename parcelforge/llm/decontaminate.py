@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelforge.llm.tables import discard, materialize, maybe_broadcast
+from parcelforge.llm.tables import discard, in_batches, materialize, maybe_broadcast
 from parcelforge.llm.words import blocks, buffers, word_hashes
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Words of benchmark items that one pass over the index may carry to each task (8 bytes a word and window place).
 BLOCK_WORDS = 200_000
 #: Ids of contaminated documents that may be sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Moved positions that are intersected at once.
-CANDIDATES = 1 << 21
+CANDIDATES = 1 << 18
 
 
 def _index_schema(id_type: T.DataType) -> T.StructType:
@@ -56,7 +56,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text has no words. Every row gets a place of its own, whether or not
     its id repeats or is null. Other columns are not read.
     """
-    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    frame = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = _index_schema(frame.schema["id"].dataType)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, id_col: str = "item_i
 
     Items without id or words match nothing; items that repeat count once.
     """
-    spark = index.sparkSession
+    spark = in_batches(index).sparkSession
     out_schema = T.StructType(
         [
             T.StructField("segment", T.StringType()),
@@ -277,7 +277,7 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, id_col: str = "item_i
 
 def proximity_matches(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = 50, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, item, position): documents with all distinct words of an item within ``width`` consecutive words, in any order; ``position`` is the word number of the item's rarest word there."""
-    spark = index.sparkSession
+    spark = in_batches(index).sparkSession
     out_schema = T.StructType([T.StructField("id", index.schema["ids"].dataType.elementType), T.StructField("item", T.StringType()), T.StructField("position", T.LongType())])
 
     def searching(shared):

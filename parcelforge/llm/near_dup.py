@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.tables import discard, materialize, maybe_broadcast
+from parcelforge.llm.tables import discard, in_batches, materialize, maybe_broadcast
 from parcelforge.llm.words import blocks, buffers, shingle_hashes, splitmix, word_hashes
 
 ROWS, BANDS = 6, 48
@@ -73,7 +73,7 @@ def band_hashes(sketch: np.ndarray, rows: int, bands: int) -> np.ndarray:
 
 
 def _sketch_table(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
-    frame = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    frame = in_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelforge.llm.tables import in_batches
 from parcelforge.llm.words import blocks, buffers
 
 CHUNK, OVERLAP, WIDTH, STRIDE = 512, 8, 8, 4
@@ -169,7 +170,7 @@ def training_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_chunks: int = TRAIN_CHUNKS) -> Network | None:
     """The network that is fitted to labels.quality, or None without labelled rows of both kinds."""
     ids = F.broadcast(training_ids(labels, "quality", train_rows))  # train_rows rows at most
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id").select("id", "label", "text")
+    rows = in_batches(docs).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id").select("id", "label", "text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +208,7 @@ def scored(docs: DataFrame, network: Network | None) -> DataFrame:
                 parts.append(network.score(data[own[0] : own[-1]], own - own[0]) if network else np.full(b - a, 0.5))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts), pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(score, schema)
+    return in_batches(docs).mapInArrow(score, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -6,6 +6,7 @@ executor costs the tasks it ran, never a table.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,6 +46,21 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows and bytes of a batch that goes to Python, so that a worker's memory does not depend on how long texts are.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Python no larger batches than these; a setting that is smaller stays. A row is never split."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        number = int(re.sub(r"\D", "", now)) if now and re.fullmatch(r"\d+b?", now) else 0
+        if not 0 < number <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelforge.llm.tables import in_batches
+
 #: A vocabulary of ranks for tiktoken: lines of a base64 piece and its rank.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the text is cut before merging; the public pattern of that vocabulary.
@@ -72,7 +74,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     A null or empty text has one empty line without tokens; rows that repeat
     give a row each.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = in_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType(
         [rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_tokens", "n_sections", "n_crossing")), T.StructField("section_tokens", T.ArrayType(T.LongType()))]
     )

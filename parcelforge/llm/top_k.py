@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelforge.llm.tables import materialize
+from parcelforge.llm.tables import in_batches, materialize
 
 SHARD_ROWS = 8192
 #: Queries that one pass over the shards carries to each task.
@@ -91,7 +91,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int
     query's length are its candidates; ids are taken as unique, a repeated row
     of one id counts as often as it is there.
     """
-    spark = vectors.sparkSession
+    spark = in_batches(vectors).sparkSession
     queries = materialize(queries.select("id", "v"), "queries")
     parts = -(-queries.count() // QUERY_BLOCK) or 1
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.llm.quality import held_out, training_ids
+from parcelforge.llm.tables import in_batches
 
 TRAIN_ROWS = 8000
 #: A learned entry is in this share of the toxic training texts and in three of them at least, and so many times as frequent as in others; before exceptions are known, so many times.
@@ -161,7 +162,7 @@ def _phrases(folded: str, lexicon: Lexicon) -> set[str]:
 def learn(docs: DataFrame, labels: DataFrame, extra: dict[str, float] | None = None, exceptions: frozenset[str] = frozenset(), train_rows: int = TRAIN_ROWS) -> Lexicon:
     """The lexicon of the training rows; equal texts count once. Without toxic and other rows it holds ``extra`` alone."""
     ids = F.broadcast(training_ids(labels, "toxic", train_rows))  # train_rows rows at most
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id").where("text is not null")
+    rows = in_batches(docs).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id").where("text is not null")
     rows = rows.groupBy(F.xxhash64("text").alias("copy")).agg(F.max("label").alias("label"), F.first("text").alias("text")).select("label", "text")
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = totals.get(1, 0), totals.get(0, 0)
@@ -232,7 +233,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [lexicon.score(t) for t in batch["text"]]})
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = in_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 

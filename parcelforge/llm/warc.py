@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.tables import fresh_path, materialize, maybe_broadcast
+from parcelforge.llm.tables import fresh_path, in_batches, materialize, maybe_broadcast
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 #: Records of a part file at most.
@@ -93,7 +93,7 @@ FRAGMENTS = (
 
 
 def _fragments(path: str, spark) -> DataFrame:
-    cut = spark.read.option("lineSep", MAGIC).text(path)
+    cut = in_batches(spark.read.option("lineSep", MAGIC).text(path))
     return cut.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are tokenised at once; a longer document is taken whole.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _MASK = (1 << 64) - 1
 
