@@ -25,7 +25,7 @@ def pick(*values):
 
 
 @query("""
-SELECT c_custkey, round(CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 1000 + 0.5 WHEN c_custkey % 3 = 1 THEN c_custkey + 0.25 ELSE c_custkey * 1000 END, 2) AS value, CASE WHEN c_custkey % 2 = 0 THEN 'm²' END AS unit FROM customer WHERE c_custkey BETWEEN 1 AND 999""")
+SELECT c_custkey, round(CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 1000 + 0.5 WHEN c_custkey % 3 = 1 THEN c_custkey + 0.25 ELSE c_custkey * 1000 END AS DOUBLE), 2) AS value, CASE WHEN c_custkey % 2 = 0 THEN 'm²' END AS unit FROM customer WHERE c_custkey BETWEEN 1 AND 999""")
 def parse_area_string(spark, d):
     k, unit = key().cast("string"), F.when(key() % 2 == 0, " m²").otherwise("")
     t = F.concat(pick(F.concat(k, F.lit(".000,5")), F.concat(k, F.lit(",25")), F.concat(k, F.lit(",000"))), unit)
