@@ -28,7 +28,7 @@ t AS (SELECT doc_id, page_index, ord, CAST(ord % 1000 AS VARCHAR) AS text, CAST(
 
 @query(f"""
 WITH {_TOKENS}, p AS (
-  SELECT a.doc_id, a.page_index, a.ord AS a_ord, b.ord, row_number() OVER (PARTITION BY a.doc_id, a.page_index, a.ord ORDER BY b.x1, b.ord) AS nth
+  SELECT a.doc_id, a.page_index, a.ord AS a_ord, b.ord, CAST(row_number() OVER (PARTITION BY a.doc_id, a.page_index, a.ord ORDER BY b.x1, b.ord) AS INTEGER) AS nth
   FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.ord <> b.ord
   WHERE b.x1 >= a.x1 + 40 AND b.x1 <= a.x1 + 800 AND greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / 20 >= 0.4)
 SELECT doc_id, page_index, a_ord, ord, nth FROM p""")
@@ -39,7 +39,7 @@ def range_neighbors(spark, d):
 
 @query(f"""
 WITH {_TOKENS}, p AS (
-  SELECT a.doc_id, a.page_index, a.ord AS a_ord, b.ord, row_number() OVER (PARTITION BY a.doc_id, a.page_index, a.ord ORDER BY b.y1, b.x1, b.ord) AS nth
+  SELECT a.doc_id, a.page_index, a.ord AS a_ord, b.ord, CAST(row_number() OVER (PARTITION BY a.doc_id, a.page_index, a.ord ORDER BY b.y1, b.x1, b.ord) AS INTEGER) AS nth
   FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.ord <> b.ord WHERE b.y1 BETWEEN a.y2 - 5 AND a.y2 + 250 AND b.x2 >= a.x1 - 150 AND b.x1 <= a.x2 + 150)
 SELECT doc_id, page_index, a_ord, ord, nth FROM p""")
 def bottom_neighbors(spark, d):
@@ -60,7 +60,7 @@ def nearest_below(spark, d):
 @query(f"""
 WITH {_TOKENS}, p AS (
   SELECT a.doc_id, a.page_index, b.ord, min(abs(b.y1 - a.y1) + 0.15 * abs(b.x1 - a.x1)) AS cost FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.ord <> b.ord WHERE a.ord % 5 = 0 GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY round(cost, 6), ord) AS nth FROM p)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page_index ORDER BY round(cost, 6), ord) AS INTEGER) AS nth FROM p)
 SELECT doc_id, page_index, ord, nth FROM r WHERE nth <= 3""")
 def top_k_nearest(spark, d):
     t = tokens(spark, d)
