@@ -125,3 +125,24 @@ def fill_page_ids(pages: DataFrame) -> DataFrame:
     """``group_id``: the serial that a page shows, or ``unknown_0``, ``unknown_1`` and so on within a batch."""
     w = Window.partitionBy("batch_id", F.col("serial").isNull()).orderBy("page_index")
     return pages.withColumn("group_id", F.coalesce("serial", F.concat(F.lit("unknown_"), (F.row_number().over(w) - 1).cast("string"))))
+
+
+def validate_groups(pages: DataFrame, least: int = 1, most: int = 10) -> DataFrame:
+    """group_id, n_pages and whether a group has a possible number of pages and one serial at most."""
+    out = pages.groupBy("group_id").agg(F.count("*").alias("n_pages"), F.countDistinct("serial").alias("n_serials"))
+    return out.withColumn("ok", F.col("n_pages").between(least, most) & (F.col("n_serials") <= 1))
+
+
+def most_common(values: DataFrame, group: Sequence[str], value: str, order: str, least: int = 2) -> DataFrame:
+    """Each group's most frequent value that comes ``least`` times, the first seen of equals."""
+    counts = values.groupBy(*group, value).agg(F.count("*").alias("n"), F.min(order).alias("_first")).where(F.col("n") >= least)
+    return counts.groupBy(*group).agg(F.max_by(value, F.struct("n", (-F.col("_first")).alias("f"))).alias(value), F.max("n").alias("n"))
+
+
+def crop_manifest(tokens: DataFrame, wanted: DataFrame, width: Column, height: Column) -> DataFrame:
+    """field, the token that best shows it, and its grown box, for fields with an accent-free pattern (field, pattern)."""
+    from parcelforge.operators.spatial import expand_box
+
+    hits = tokens.join(F.broadcast(wanted), fold_accents(F.col("text")).rlike(F.col("pattern")))  # a table of some dozen fields
+    best = hits.groupBy("doc_id", "page_index", "field").agg(F.max_by(F.struct("ord", "text", "x1", "y1", "x2", "y2"), F.struct("confidence", (-F.col("ord")).alias("o"))).alias("b"))
+    return best.select("doc_id", "page_index", "field", "b.*").select("doc_id", "page_index", "field", "ord", "text", *expand_box(width, height))

@@ -104,3 +104,59 @@ def with_alerts(rows: DataFrame) -> DataFrame:
     digits = F.length(digits_only(F.regexp_extract("GCN_soVaoSo", r"^([^/]*)", 1)))
     registry = F.when(F.col("GCN_soVaoSo") == "", "soft").when(digits != 5, "hard")
     return rows.withColumn("alert_level", F.coalesce(registry, F.when(F.size(missing_core(CORE)) > 0, "soft"), F.lit("none")))
+
+
+def plan_rows(documents: DataFrame) -> DataFrame:
+    """The flat rows of the cleaning plan's sheet, an identity card's values before the certificate's.
+
+    ``documents`` has stt, the fields as text, and card_* of the card. A land
+    type and an origin that cannot be told get the sheet's usual wording, with a
+    flag that says so.
+    """
+    from parcelforge.functions.text import fold_accents
+
+    have = set(documents.columns)
+    field = lambda *names: F.coalesce(*[nullify_placeholder(F.col(n)) for n in names if n in have], F.lit(""))
+    land, origin = fold_accents(field("muc_dich_su_dung")), v.v_origin(field("nguon_goc_su_dung"))["value"]
+    kind = F.when(land.rlike("nong thon|ont"), "Đất ở tại nông thôn").when(land.rlike("do thi|odt"), "Đất ở tại đô thị").when(land.rlike(r"dat o\b"), "Đất ở")
+    couple = field("ho_ten_chu_2") != ""
+    return documents.select(
+        "stt",
+        field("so_phat_hanh").alias("so_phat_hanh"),
+        field("ngay_cap").alias("ngay_cap"),
+        field("so_vao_so").alias("so_vao_so"),
+        field("card_ho_ten", "ho_ten_chu_1").alias("ho_ten"),
+        field("card_ngay_sinh", "nam_sinh_chu_1").alias("ngay_sinh"),
+        field("card_gioi_tinh").alias("gioi_tinh"),
+        field("card_so_cccd", "cccd_chu_1").alias("so_cccd"),
+        field("card_noi_thuong_tru", "dia_chi_thuong_tru").alias("dia_chi_thuong_tru"),
+        F.when(couple, "Vợ chồng").otherwise("Cá nhân").alias("phap_nhan"),
+        F.when(couple, "Đồng sở hữu").otherwise("Cá nhân").alias("vai_tro"),
+        field("ten_chuyen_nhuong").alias("ten_nguoi_moi"),
+        F.when(field("ten_chuyen_nhuong") != "", "Chuyển nhượng").otherwise("").alias("ly_do_thay_doi"),
+        field("to_ban_do").alias("so_to"),
+        field("so_thua").alias("so_thua"),
+        field("dia_chi_thua").alias("dia_chi_thua"),
+        F.regexp_replace(F.regexp_replace(field("dien_tich_cap"), ",", "."), r"\.0+$", "").alias("dien_tich"),
+        F.coalesce(kind, F.lit("Đất ở")).alias("loai_dat"),
+        kind.isNull().alias("loai_dat_defaulted"),
+        F.coalesce(origin, F.lit("")).alias("nguon_goc"),
+        origin.isNull().alias("nguon_goc_missing"),
+    )
+
+
+def propagate_parcel_defaults(parcels: Column, address: Column, purpose: Column, code: Column, term: Column, origin: Column) -> Column:
+    """Parcels (so_thua, dia_chi, muc_dich_su_dung, ma_muc_dich, thoi_han, nguon_goc) with the document's values where theirs are blank; the origin only of a single parcel."""
+    fill = lambda own, other: F.coalesce(nullify_placeholder(own), other)
+    alone = F.size(parcels) == 1
+    return F.transform(
+        parcels,
+        lambda p: F.struct(
+            p["so_thua"].alias("so_thua"),
+            fill(p["dia_chi"], address).alias("dia_chi"),
+            fill(p["muc_dich_su_dung"], purpose).alias("muc_dich_su_dung"),
+            fill(p["ma_muc_dich"], code).alias("ma_muc_dich"),
+            fill(p["thoi_han"], term).alias("thoi_han"),
+            F.when(alone, fill(p["nguon_goc"], origin)).otherwise(nullify_placeholder(p["nguon_goc"])).alias("nguon_goc"),
+        ),
+    )
