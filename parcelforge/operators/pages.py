@@ -143,6 +143,6 @@ def crop_manifest(tokens: DataFrame, wanted: DataFrame, width: Column, height: C
     """field, the token that best shows it, and its grown box, for fields with an accent-free pattern (field, pattern)."""
     from parcelforge.operators.spatial import expand_box
 
-    hits = tokens.join(F.broadcast(wanted), fold_accents(F.col("text")).rlike(F.col("pattern")))  # a table of some dozen fields
+    hits = tokens.join(F.broadcast(wanted), F.rlike(fold_accents(F.col("text")), F.col("pattern")))  # a table of some dozen fields
     best = hits.groupBy("doc_id", "page_index", "field").agg(F.max_by(F.struct("ord", "text", "x1", "y1", "x2", "y2"), F.struct("confidence", (-F.col("ord")).alias("o"))).alias("b"))
     return best.select("doc_id", "page_index", "field", "b.*").select("doc_id", "page_index", "field", "ord", "text", *expand_box(width, height))
