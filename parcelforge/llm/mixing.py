@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelforge.llm.tables import materialize
+from parcelforge.llm.tables import in_batches, materialize, maybe_broadcast
 
 MAX_PATTERNS = 100_000
 SEED = 17
+#: Closing documents (some dozen a pattern) that may be sent to every task; more are joined by a shuffle.
+BROADCAST_CLOSERS = 1_000_000
 
 
 def water_fill(sizes: dict, weights: dict, total: float, most: float) -> dict[object, float]:
@@ -129,7 +131,7 @@ def route(patterns: Sequence[tuple[tuple, int]], quotas: dict, repeats: int) ->
 
 def select(units: DataFrame, wanted: list[tuple[str, int, int]], repeats: int) -> DataFrame:
     """``units`` (doc_id, pattern, size, hash of 60 bits) with ``taken``. wanted: pattern, copies that all documents give, words that are taken besides."""
-    spark = units.sparkSession
+    spark = in_batches(units).sparkSession
     few = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))  # noqa: E731  (patterns are MAX_PATTERNS at most)
     state = [(p, 0, rest) for p, _, rest in wanted if rest > 0]
     limits: dict[str, int] = {}
@@ -162,7 +164,7 @@ def select(units: DataFrame, wanted: list[tuple[str, int, int]], repeats: int) -
         return pa.table({"pattern": pa.array([key[0].as_py()] * len(picks), pa.string()), "hash": pa.array(picks, pa.int64())})
 
     closers = materialize(sized.groupBy("pattern", "rest").applyInArrow(close, "pattern string, hash long"), "closers").withColumn("closer", F.lit(1))
-    dealt = dealt.join(F.broadcast(closers), ["pattern", "hash"], "left")  # some dozen rows a pattern
+    dealt = dealt.join(maybe_broadcast(closers, BROADCAST_CLOSERS), ["pattern", "hash"], "left")
     times = F.col("copies") + F.when(F.col("hash") < F.col("hash_limit"), 1).otherwise(0) + F.coalesce("closer", F.lit(0))
     return dealt.withColumn("taken", F.col("size") * times).drop("copies", "hash_limit", "closer")
 
