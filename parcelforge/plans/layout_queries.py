@@ -113,6 +113,16 @@ def anchor_thinning(spark, d):
     return a.select("l_orderkey", F.array_join(F.transform(spatial.thin_anchors(F.col("v"), 5), lambda x: x.cast("long").cast("string")), ",").alias("kept"))
 
 
+@query("""
+WITH RECURSIVE a AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_quantity)) AS v FROM lineitem GROUP BY 1),
+f AS (SELECT k, v, 1 AS i, [v[1]] AS kept FROM a UNION ALL SELECT k, v, i + 1, CASE WHEN v[i + 1] - kept[-1] > 5 THEN list_append(kept, v[i + 1]) ELSE kept END FROM f WHERE i < len(v))
+SELECT k AS l_orderkey, array_to_string(list_transform(kept, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS kept FROM f WHERE i = len(v)""")
+def anchor_thinning_all(spark, d):
+    """``anchor_thinning`` of every order."""
+    a = T(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_quantity")).alias("v"))
+    return a.select("l_orderkey", F.array_join(F.transform(spatial.thin_anchors(F.col("v"), 5), lambda x: x.cast("long").cast("string")), ",").alias("kept"))
+
+
 @query()
 def reading_order(spark, d):
     """Sequential clustering of tokens into lines; tested against a plain loop."""
