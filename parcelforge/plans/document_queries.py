@@ -32,6 +32,16 @@ def parse_area_string(spark, d):
     return T(spark, d, "customer").where("c_custkey between 1 and 999").select("c_custkey", parsers.parse_area_text(t).alias("a")).select("c_custkey", F.round("a.value", 2).alias("value"), "a.unit")
 
 
+@query("""
+SELECT c_custkey, round(CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 1000 + 0.5 WHEN c_custkey % 3 = 1 THEN c_custkey + 0.25 ELSE c_custkey * 1000 END AS DOUBLE), 2) AS value, CASE WHEN c_custkey % 2 = 0 THEN 'm²' END AS unit FROM customer""")
+def parse_area_string_all(spark, d):
+    """Areas of every key, its digits grouped by thousands with points or with commas."""
+    american = F.format_number(key(), 0)
+    european, unit = F.translate(american, ",", "."), F.when(key() % 2 == 0, " m²").otherwise("")
+    t = F.concat(pick(F.concat(european, F.lit(".000,5")), F.concat(european, F.lit(",25")), F.concat(american, F.lit(",000"))), unit)
+    return T(spark, d, "customer").select("c_custkey", parsers.parse_area_text(t).alias("a")).select("c_custkey", F.round("a.value", 2).alias("value"), "a.unit")
+
+
 @query("""
 SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '19' WHEN 1 THEN '19' WHEN 2 THEN '20' END || CASE WHEN c_custkey % 4 < 3 THEN lpad((c_custkey % 100)::VARCHAR, 2, '0') END AS birth FROM customer""")
 def infer_birth_from_id(spark, d):

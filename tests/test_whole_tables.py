@@ -28,3 +28,10 @@ def test_every_part_is_scored(spark, sf):
     assert sorted(r.p_partkey for r in got.collect()) == sorted(keys)
     best = {r.k: (r.low, r.high) for r in got.groupBy((F.col("p_partkey") % 5).alias("k")).agg(F.min("score").alias("low"), F.max("score").alias("high")).collect()}
     assert best[0] == (1.0, 1.0) and best[1] == (0.98, 0.98) and best[2][1] == 0.82 and 0.6 < best[3][0] <= best[3][1] < 0.95 and best[4] == (0.0, 0.0)
+
+
+def test_areas_of_keys_of_four_and_more_digits(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (0, 7, 999, 1000, 1234, 14998, 1234567, 1234568)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.c_custkey: (r.value, r.unit) for r in queries.QUERIES["parse_area_string_all"](spark, str(tmp_path)).collect()}
+    m = "m²"
+    assert got == {0: (0.5, m), 7: (7.25, None), 999: (999000.5, None), 1000: (1000.25, m), 1234: (1234.25, m), 14998: (14998.25, m), 1234567: (1234567.25, None), 1234568: (1234568000.0, m)}
