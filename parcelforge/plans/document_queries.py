@@ -132,6 +132,12 @@ def extract_identity_numbers(spark, d):
     return docs.select("doc_id", F.size(parsers.identity_numbers(F.col("text"))).alias("n"))
 
 
+@query("SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: len(x) IN (9, 12)))) AS INTEGER) AS n FROM documents")
+def extract_identity_numbers_all(spark, d):
+    """Numbers of every text; the SQL side takes whole runs of digits by their length, so it needs no look-around."""
+    return T(spark, d, "documents").select("doc_id", F.size(parsers.identity_numbers(F.col("text"))).alias("n"))
+
+
 @query("""
 WITH f AS (SELECT lpad((doc_id % 300)::VARCHAR, 3, '0') AS id, CASE doc_id % 3 WHEN 0 THEN 'GCN' WHEN 1 THEN 'GT' ELSE 'ONE' END AS kind FROM documents)
 SELECT id AS pair_id, CASE WHEN NOT bool_or(kind = 'GT') THEN 'gcn_only' WHEN NOT bool_or(kind = 'GCN') THEN 'gt_only' ELSE 'both' END AS status FROM f GROUP BY 1""")

@@ -35,3 +35,10 @@ def test_areas_of_keys_of_four_and_more_digits(spark, tmp_path):
     got = {r.c_custkey: (r.value, r.unit) for r in queries.QUERIES["parse_area_string_all"](spark, str(tmp_path)).collect()}
     m = "m²"
     assert got == {0: (0.5, m), 7: (7.25, None), 999: (999000.5, None), 1000: (1000.25, m), 1234: (1234.25, m), 14998: (14998.25, m), 1234567: (1234567.25, None), 1234568: (1234568000.0, m)}
+
+
+def test_identity_numbers_beside_other_digits(spark, tmp_path):
+    texts = ["001099012345 on 01/02/2020", "1,5 and 123456789", "123456789 123456789,987654321", "1234567890 at 10:30", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n for r in queries.QUERIES["extract_identity_numbers_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: 1, 1: 1, 2: 2, 3: 0, 4: None}
