@@ -160,16 +160,49 @@ def area_words_agree(area: Column, words: Column, least: float = 80.0) -> Column
     return token_sort_ratio(number_to_words_vi(area.cast("double")), F.lower(words)) >= least
 
 
+def _letters(texts: DataFrame, name: str, least: float) -> DataFrame:
+    """Distinct ``<name>_text`` with its length ``_n``, its numbered letters ``_all`` in falling order, and of these ``_head``, the first ones.
+
+    An indel similarity of ``least`` needs a share of least / (200 - least) of
+    the letters of either text in common; a text that has none of another's
+    first letters in its own misses it. The empty text has one empty letter.
+    """
+    low = F.lower(F.col(f"{name}_text"))
+    out = texts.where(F.col(f"{name}_text").isNotNull()).withColumn("_s", F.sort_array(F.split(low, ""), asc=False)).withColumn("_n", F.length(low))
+    numbered = F.transform("_s", lambda x, i: F.concat(x, (i + 1 - F.array_position(F.col("_s"), x)).cast("string")))
+    out = out.withColumn("_all", F.when(F.col("_n") > 0, numbered).otherwise(F.array(F.lit(""))))
+    head = F.col("_n") - F.ceil(F.col("_n") * (least / (200 - least)) - 1e-9) + 1
+    out = out.withColumn("_head", F.slice("_all", F.lit(1), head.cast("int")))
+    return out.select(f"{name}_text", *[F.col(c).alias(name + c) for c in ("_n", "_all", "_head")])
+
+
+def _may_reach(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
+    """l_text and r_text of the pairs that lengths and common letters let reach an indel similarity of ``cutoff``, each once."""
+    x = _letters(a, "l", cutoff).withColumn("_key", F.explode("l_head"))
+    y = _letters(b, "r", cutoff).withColumn("_key", F.explode("r_head"))
+    least, both = F.ceil((F.col("l_n") + F.col("r_n")) * (cutoff / 200) - 1e-9), F.array_intersect("l_head", "r_head")
+    near = x.join(y, "_key").where((F.least("l_n", "r_n") >= least) & (F.get(both, F.lit(0)) == F.col("_key")) & (F.size(F.array_intersect("l_all", "r_all")) >= least))
+    return near.select("l_text", "r_text")
+
+
 def fuzzy_best(left: DataFrame, right: DataFrame, left_text: str, right_text: str, score=ratio, cutoff: float = 75.0, block_left: str | None = None, block_right: str | None = None) -> DataFrame:
-    """Each left row with the best matching right text of its block, if it scores ``cutoff``.
+    """Each left row with the best matching right text, of its block if both blocks are given, if it scores ``cutoff``.
 
-    Texts are scored once for each distinct pair that shares a blocking key; the
-    default key is a word's first two letters, so texts meet that share one.
+    Distinct texts are scored, all that can reach ``cutoff``: for ``ratio`` those
+    with enough letters in common, by an exact filter; for another score, or
+    without a cutoff, each with each, so the right side should be a bounded list.
     """
-    heads = lambda c: F.array_distinct(F.transform(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: F.substring(w, 1, 2)))
-    a = left.select(F.col(left_text).alias("l_text"), (F.col(block_left).cast("string") if block_left else F.explode(heads(F.col(left_text)))).alias("block")).distinct()
-    b = right.select(F.col(right_text).alias("r_text"), (F.col(block_right).cast("string") if block_right else F.explode(heads(F.col(right_text)))).alias("block")).distinct()
-    pairs = a.join(b, "block").select("l_text", "r_text").distinct().withColumn("score", score(F.lower("l_text"), F.lower("r_text"))).where(F.col("score") >= cutoff)
+    if (block_left is None) != (block_right is None):
+        raise ValueError("blocks are given for both sides or for none")
+    side = lambda df, c, name, block: df.select(F.col(c).alias(name), *([F.col(block).cast("string").alias("block")] if block else [])).distinct()
+    a, b = side(left, left_text, "l_text", block_left), side(right, right_text, "r_text", block_right)
+    if block_left:
+        near = a.join(b, "block").select("l_text", "r_text").distinct()
+    elif score is ratio and 0 < cutoff <= 100:
+        near = _may_reach(a, b, cutoff)
+    else:
+        near = a.crossJoin(b)
+    pairs = near.withColumn("score", score(F.lower("l_text"), F.lower("r_text"))).where(F.col("score") >= cutoff)
     best = pairs.groupBy("l_text").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("r_text"))).alias("m")).select("l_text", F.col("m.r_text").alias("match"), (-F.col("m.s")).alias("score"))
     return left.join(best, left[left_text] == best["l_text"], "left").drop("l_text")
 
