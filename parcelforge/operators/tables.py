@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions import validators as v
 from parcelforge.functions.text import fold_accents
-from parcelforge.operators.spatial import PAGE
+from parcelforge.operators.spatial import PAGE, thin_anchors
 
 #: Accent-free headings of the table's columns, and each column's default middle on a page of 1280.
 HEADINGS = {
@@ -37,8 +37,8 @@ def detect_columns(tokens: DataFrame) -> DataFrame:
 def extract_parcel_table(tokens: DataFrame, most_rows: int = 200) -> DataFrame:
     """doc_id, page_index, row and the text of each column, for pages whose rows show a parcel number.
 
-    Rows are anchored by areas in the area column; a row reaches half way to its
-    neighbours. Tokens below the headings belong to the row and column in which
+    Rows are anchored by areas in the area column, each more than 15 px below the
+    last one kept; a row reaches half way to its neighbours. Tokens below the headings belong to the row and column in which
     their middle lies.
     """
     columns = detect_columns(tokens)
@@ -46,7 +46,7 @@ def extract_parcel_table(tokens: DataFrame, most_rows: int = 200) -> DataFrame:
     body = body.where((F.col("cx") >= F.col("left")) & (F.col("cx") < F.col("right")) & (F.col("cy") > F.coalesce("header_low", F.lit(0.0))))
     anchors = body.where((F.col("column") == "dien_tich") & F.trim("text").rlike(AREA)).select(*PAGE, "cy").distinct()
     w = Window.partitionBy(*PAGE).orderBy("cy")
-    apart = anchors.withColumn("_g", F.col("cy") - F.lag("cy").over(w)).where(F.col("_g").isNull() | (F.col("_g") > 15))
+    apart = anchors.groupBy(*PAGE).agg(F.sort_array(F.collect_set("cy")).alias("_a")).select(*PAGE, F.explode(thin_anchors(F.col("_a"), 15)).alias("cy"))
     bands = apart.select(
         *PAGE, F.row_number().over(w).alias("row"), F.coalesce((F.lag("cy").over(w) + F.col("cy")) / 2, F.lit(float("-inf"))).alias("from"), F.coalesce((F.lead("cy").over(w) + F.col("cy")) / 2, F.lit(float("inf"))).alias("to")
     ).where(F.col("row") <= most_rows)

@@ -1,0 +1,17 @@
+from parcelforge.operators import tables
+
+SCHEMA = "doc_id string, page_index int, ord int, text string, confidence double, x1 double, y1 double, x2 double, y2 double"
+
+
+def test_rows_ten_pixels_apart(spark):
+    """Anchors are dropped by their distance to the last one kept, not to the one before."""
+    heads = [("Số thửa", 80, 10, 160, 30), ("Tờ bản đồ", 190, 10, 270, 30), ("Diện tích", 560, 10, 640, 30), ("Mục đích sử dụng", 730, 10, 830, 30)]
+    rows = [("x", 1270, 0, 1280, 5)]
+    for k in range(4):
+        y = 50 + 10 * k
+        rows += [(str(101 + k), 100, y, 140, y + 8), (f"{120 + k},5", 570, y, 630, y + 8)]
+    data = [("d", 0, i, t, 0.95, float(a), float(b), float(c), float(e)) for i, (t, a, b, c, e) in enumerate(heads + rows)]
+    got = sorted((r.row, r.so_thua, r.dien_tich) for r in tables.extract_parcel_table(spark.createDataFrame(data, SCHEMA)).collect())
+    assert [r[0] for r in got] == [1, 2]
+    # The rows of y = 0 and 20 are kept; their border is at 10, and what lies on it is the lower one's.
+    assert [r[2] for r in got] == ["120,5", "121,5 122,5 123,5"]
