@@ -218,5 +218,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents that score at least ``threshold``, with their columns."""
-    return scored(docs.withColumnRenamed("score", "own score") if "score" in docs.columns else docs, train(docs, labels)).where(F.col("score") >= threshold).drop("score").withColumnRenamed("own score", "score")
+    """The documents that score at least ``threshold``, with their columns; all of them where the labels train no network."""
+    network = train(docs, labels)
+    if network is None:
+        return docs
+    return scored(docs.withColumnRenamed("score", "own score") if "score" in docs.columns else docs, network).where(F.col("score") >= threshold).drop("score").withColumnRenamed("own score", "score")
