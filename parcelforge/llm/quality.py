@@ -3,7 +3,7 @@
 A text is its UTF-8 bytes, each with a mark whether the last eight bytes repeat
 those some 2 to 32 bytes earlier; so the alphabet has 513 symbols, padding
 included. Overlapping chunks cover the whole text. Learned filters of eight
-symbols run over a chunk and each keeps its largest response; a document's
+symbols run over a chunk, byte by byte, and each keeps its largest response; a document's
 features are the mean and the maximum of its chunks' responses, and a logistic
 layer makes one probability of them.
 
@@ -11,8 +11,7 @@ As the symbols are few, a filter is a table by place and symbol, the product of
 symbol vectors and weights; the forward pass looks up and adds.
 
 Training takes at most ``TRAIN_ROWS`` labelled rows in the order of a hash of
-the id, of each row at most ``TRAIN_CHUNKS`` chunks, evenly spread; these are
-the only bounds, scoring reads whole texts.
+the id, which is the only bound; it and scoring read whole texts.
 """
 
 from __future__ import annotations
@@ -27,12 +26,12 @@ from pyspark.sql import functions as F
 from parcelforge.llm.tables import in_batches
 from parcelforge.llm.words import blocks, buffers
 
-CHUNK, OVERLAP, WIDTH, STRIDE = 512, 8, 8, 4
+CHUNK, OVERLAP, WIDTH = 512, 8, 8
 FILTERS, SYMBOL_DIMS = 16, 8
 PADDING, SYMBOLS = 512, 513
 LAGS = range(2, 33)
-TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS, BATCH, SEED = 3000, 8, 12, 64, 5
-#: Chunks that are scored at once.
+TRAIN_ROWS, EPOCHS, BATCH, SEED = 3000, 12, 64, 5
+#: Chunks whose responses are held at once.
 SCORE_CHUNKS = 256
 
 
@@ -93,9 +92,9 @@ class Network:
     def responses(self, symbols: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """(chunks, places, filters)"""
         last = CHUNK - WIDTH + 1
-        out = tables[0].take(symbols[:, 0:last:STRIDE], axis=0)
+        out = tables[0].take(symbols[:, 0:last], axis=0)
         for j in range(1, WIDTH):
-            out += tables[j].take(symbols[:, j : last + j : STRIDE], axis=0)
+            out += tables[j].take(symbols[:, j : last + j], axis=0)
         return out
 
     def pooled(self, symbols: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -114,9 +113,13 @@ class Network:
 
     def gradients(self, symbols: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         p, tables = self.p, self.tables()
-        raw = self.responses(symbols, tables)
-        best = raw.argmax(1)
-        m = np.tanh(np.take_along_axis(raw, best[:, None, :], 1)[:, 0] + p["b"])
+        found = []
+        for a in range(0, len(symbols), SCORE_CHUNKS):
+            raw = self.responses(symbols[a : a + SCORE_CHUNKS], tables)
+            at = raw.argmax(1)
+            found.append((at, np.take_along_axis(raw, at[:, None, :], 1)[:, 0]))
+        best = np.concatenate([x for x, _ in found])
+        m = np.tanh(np.concatenate([x for _, x in found]) + p["b"])
         counts = np.diff(first)
         mean, top = np.add.reduceat(m, first[:-1]) / counts[:, None], np.maximum.reduceat(m, first[:-1])
         features = np.concatenate((mean, top), axis=1)
@@ -132,7 +135,7 @@ class Network:
         cols = np.broadcast_to(np.arange(FILTERS), best.shape)
         for j in range(WIDTH):
             t = np.zeros((SYMBOLS, FILTERS), np.float32)
-            np.add.at(t, (np.take_along_axis(symbols, best * STRIDE + j, 1), cols), dr)
+            np.add.at(t, (np.take_along_axis(symbols, best + j, 1), cols), dr)
             g["W"][j] = p["E"].T @ t
             g["E"] += t @ p["W"][j].T
         return g
@@ -167,12 +170,12 @@ def training_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_chunks: int = TRAIN_CHUNKS) -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Network | None:
     """The network that is fitted to labels.quality, or None without labelled rows of both kinds."""
     ids = F.broadcast(training_ids(labels, "quality", train_rows))  # train_rows rows at most
     rows = in_batches(docs).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id").select("id", "label", "text")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             out = []
@@ -180,11 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, trai
                 own = offsets[a : b + 1]
                 symbols, first = chunks(data[own[0] : own[-1]], own - own[0])
                 for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    pick = np.unique(np.linspace(x, y - 1, min(train_chunks, y - x)).round().astype(np.int64))
-                    out.append(symbols[pick].astype(np.uint16).tobytes())
+                    out.append(symbols[x:y].astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "chunks"])
 
-    found = rows.mapInArrow(spread, "id long, label int, chunks binary").toArrow().to_pydict()
+    found = rows.mapInArrow(cut, "id long, label int, chunks binary").toArrow().to_pydict()
     order = sorted(range(len(found["id"])), key=lambda i: (found["id"][i], found["chunks"][i]))
     y = np.array([found["label"][i] for i in order], np.float32)
     if not len(y) or y.min() == y.max():
