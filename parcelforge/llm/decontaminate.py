@@ -10,8 +10,9 @@ A query window is found by taking the list of its rarest term in the segment,
 moving it by the term's offset in the window, and intersecting it with the
 moved lists of the next rarer terms until it is empty or all terms agree.
 
-Benchmark items go to the tasks in blocks of at most ``block_words`` words;
-a larger benchmark takes several passes over the index, whose spans are merged.
+Benchmark items go to the tasks in blocks of about ``block_words`` words, longer
+items in overlapping pieces; a larger benchmark takes several passes over the
+index, one block in memory at a time, whose spans are merged.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelforge.llm.tables import discard, in_batches, materialize, maybe_broadcast
+from parcelforge.llm.tables import discard, in_batches, materialize, maybe_broadcast, private
 from parcelforge.llm.words import blocks, buffers, word_hashes
 
 SEGMENT_BYTES = 2 << 20
@@ -189,19 +190,31 @@ def query_windows(items: list[tuple[str, list[int]]], size: int) -> dict[int, tu
     return out
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[int]]]]:
-    frame = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+def _hashed_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A shared table of (id, words): the items with an id and a text, their words as hashes."""
+    frame = in_batches(benchmark).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, rows = word_hashes(*buffers(batch.column(1)), "alnum")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "words"])
 
-    items = materialize(frame.mapInArrow(hashed, "id string, words array<long>"), "items")
+    return materialize(frame.mapInArrow(hashed, "id string, words array<long>"), "items")
+
+
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[int]]]]:
+    """The rows of ``items`` in blocks of about ``block_words`` words, one block at a time on the driver."""
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     parts = -(-total // block_words) or 1
     for part in range(parts):
-        yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toLocalIterator()]
+        yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("id", "words"), F.lit(parts)) == part).toLocalIterator()]
+
+
+def _in_pieces(items: DataFrame, window: int, piece_words: int) -> DataFrame:
+    """``items`` with longer ones cut into pieces that overlap by ``window`` - 1 words, so each window is in one of them."""
+    begins = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(piece_words))
+    pieces = F.transform(begins, lambda b: F.slice("words", b + 1, F.lit(piece_words + window - 1)))
+    return items.select("id", F.explode(pieces).alias("words"))
 
 
 def phrase_matches(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -258,15 +271,19 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, id_col: str = "item_i
 
         return search
 
-    passes = []
-    for items in _item_blocks(benchmark, id_col, text_col, block_words):
-        shared = spark.sparkContext.broadcast(query_windows(items, window))
-        passes.append(index.mapInArrow(searching(shared), out_schema))
-    if len(passes) == 1:
-        return passes[0].drop("segment", "place")
-    every = passes[0]
-    for one in passes[1:]:
-        every = every.unionByName(one)
+    items = materialize(_in_pieces(_hashed_items(benchmark, id_col, text_col), window, max(1, block_words // 8)), "pieces")
+    every, held = None, None
+    for block in _blocks(items, block_words):
+        if held is not None:
+            # a pass is written before the next block is sent, and its block is forgotten
+            every = materialize(one, "spans") if every is None else every.unionByName(materialize(one.where("size(spans) > 0"), "spans"))
+            held.destroy()
+        held = spark.sparkContext.broadcast(query_windows(block, window))
+        one = index.mapInArrow(searching(held), out_schema)
+    if every is None:
+        return one.drop("segment", "place")
+    every = every.unionByName(materialize(one.where("size(spans) > 0"), "spans"))
+    held.destroy()
     merged = every.groupBy("segment", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     disjoint = """aggregate(raw, cast(array() as array<struct<start: bigint, stop: bigint>>), (acc, x) ->
         if(size(acc) > 0 and element_at(acc, -1).stop >= x.start,
@@ -297,8 +314,10 @@ def proximity_matches(index: DataFrame, benchmark: DataFrame, id_col: str = "ite
         return search
 
     out = spark.createDataFrame([], out_schema)
-    for items in _item_blocks(benchmark, id_col, text_col, block_words):
-        out = out.unionByName(index.mapInArrow(searching(spark.sparkContext.broadcast(items)), out_schema))
+    for items in _blocks(_hashed_items(benchmark, id_col, text_col), block_words):
+        held = spark.sparkContext.broadcast(items)
+        out = out.unionByName(materialize(index.mapInArrow(searching(held), out_schema), "near"))
+        held.destroy()
     return out.distinct()
 
 
@@ -324,8 +343,9 @@ def _judged(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without any benchmark passage, with their columns. Rows that share a doc_id go together."""
+    """The documents without any benchmark passage, with their columns. Rows that share a doc_id go together; null and empty texts stay, and all documents where the benchmark is empty."""
+    (bad_id,) = private(docs, "bad_id")
     index = build_index(docs)
-    bad = materialize(_judged(phrase_matches(index, benchmark, window=window)).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
+    bad = materialize(_judged(phrase_matches(index, benchmark, window=window)).where("contaminated").select(F.col("doc_id").alias(bad_id)).distinct(), "contaminated")
     discard(index)
-    return docs.join(maybe_broadcast(bad, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(maybe_broadcast(bad, BROADCAST_IDS), docs["doc_id"].eqNullSafe(bad[bad_id]), "left_anti")

@@ -2,10 +2,11 @@
 
 A line's words are what single spaces separate. Its earliest place is the
 smallest (doc_id, line number). A line is dropped if an equal line, or one
-within one word edit (a word put in, left out or exchanged), stands earlier;
-whether that one is dropped itself does not matter. Lines of fewer than
-``min_chars`` characters are too short to tell and stay; the edit bound is 0
-for lines below ``fuzzy_words`` words.
+within its edit bound, stands earlier; whether that one is dropped itself does
+not matter. The bound is one word edit (a word put in, left out or exchanged)
+for lines of ``fuzzy_words`` words and more, an eighth of the shortest, and
+none for shorter ones, of which one word in seven is no near copy. Lines of
+spaces alone are layout and stay.
 
 Equal lines fall together first, by 128 bits of hash, with partial aggregation.
 A line of n words then has n variants with one word deleted. Two lines with the
@@ -28,9 +29,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.tables import discard, materialize, maybe_broadcast
+from parcelforge.llm.tables import discard, materialize, maybe_broadcast, private
 
-MIN_CHARS, FUZZY_WORDS = 16, 8
+MIN_CHARS, FUZZY_WORDS = 1, 8
 #: Places of lines (16 bytes), or keys of variants, that may be sent to every task; more are joined by a shuffle.
 BROADCAST_LINES, BROADCAST_KEYS = 400_000, 1_000_000
 
@@ -48,7 +49,7 @@ def _parts() -> Column:
 
 
 def _hashed(docs: DataFrame, min_chars: int, fuzzy_words: int) -> DataFrame:
-    """A shared table of the lines of ``min_chars`` characters and more: doc, line_no, h, g, n and the keys of their parts, null below ``fuzzy_words`` words."""
+    """A shared table of the lines that are not blank, of ``min_chars`` characters and more: doc, line_no, h, g, n and the keys of their parts, null below ``fuzzy_words`` words."""
     lines = _lines(docs).where((F.length("line") >= min_chars) & (F.trim("line") != "")).withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     return materialize(lines.select("doc", "line_no", "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.when(F.col("n") >= fuzzy_words, _parts()).alias("parts")), "lines")
 
@@ -70,7 +71,7 @@ def _edit_partners(first: DataFrame, docs: DataFrame) -> DataFrame:
     marked = near.select("h", "g", F.struct("doc", "line_no").alias("at"), F.size("words").alias("n"), "f", "l", "w", here.alias("x"), F.when(F.col("f") | F.col("l"), moved).alias("y"))
     marked = marked.withColumns({"whole": F.expr("aggregate(x, 0L, (a, v) -> a ^ v)"), "shifted": F.expr("aggregate(y, 0L, (a, v) -> a ^ v)")})
     # without word i: words before it stay, words after it move by one
-    marked = marked.withColumn("without", F.expr("if(f or l, aggregate(sequence(1, n - 1), array(shifted ^ y[0]), (acc, j) -> array_append(acc, acc[j - 1] ^ x[j - 1] ^ y[j])), null)"))
+    marked = marked.withColumn("without", F.when(F.col("f") | F.col("l"), F.expr(_WITHOUT)))
     swap = "named_struct('key', xxhash64('swap', n, i, whole ^ x[i]), 'role', 's')"
     gap = "named_struct('key', xxhash64('gap', n - 1, without[i]), 'role', 'l')"
     places_of = "sequence(if(l, 0, n div 2), if(f, n - 1, n div 2 - 1))"
@@ -90,6 +91,14 @@ def _edit_partners(first: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+#: Hash of a line's n words without word i, for each i: the words before i in their places (x), those after i one place on (y).
+#: Long lines take it from sums by runs of about the square root of n words, so no array is built up word by word.
+_FOLD = "aggregate({}, 0L, (a, v) -> a ^ v)"
+_RUNS = f"""transform(array(cast(ceil(sqrt(n)) as int)), w -> transform(array(transform(sequence(0, n - 1, w), b -> {_FOLD.format("zip_with(slice(x, b + 1, w), slice(y, b + 1, w), (p, q) -> p ^ q)")})), runs ->
+    flatten(transform(sequence(0, size(runs) - 1), r -> transform(array(shifted ^ {_FOLD.format("slice(runs, 1, r)")}), before ->
+      transform(sequence(r * w, least(r * w + w, n) - 1), i -> before ^ y[i] ^ {_FOLD.format("zip_with(slice(x, r * w + 1, i - r * w), slice(y, r * w + 1, i - r * w), (p, q) -> p ^ q)")}))[0])))[0])[0]"""
+_WITHOUT = f"if(n > 64, {_RUNS}, aggregate(sequence(1, n - 1), array(shifted ^ y[0]), (acc, j) -> array_append(acc, acc[j - 1] ^ x[j - 1] ^ y[j])))"
+
 #: words and words2 are one word edit apart at most
 _WITHIN_ONE = """CASE
   WHEN n = n2 THEN size(filter(arrays_zip(words, words2), p -> p.words <> p.words2)) <= 1
@@ -115,17 +124,24 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, fuzzy_words: int
     return gone
 
 
-def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """``docs`` with all columns, the text without its repeated lines, and ``lines_dropped``. Texts without lines to drop, null texts too, stay as they are."""
-    gone = repeated_lines(docs, min_chars, fuzzy_words).select(F.col("doc").alias("gone_doc"), F.col("lines").alias("gone_lines"))
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_doc")), "left")
-    kept = F.expr("array_join(filter(split(cast(text as string), '\\n', -1), (l, i) -> not array_contains(gone_lines, i)), '\\n')")
-    text = F.when(F.col("gone_lines").isNull(), F.col("text").cast("string")).otherwise(kept)
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.coalesce(F.size("gone_lines"), F.lit(0)).alias("lines_dropped"))
+#: The lines of p_lines whose numbers are not in p_gone, both as arrays; linear, as the numbers are taken away as a set.
+_KEPT = "array_join(transform(array_except(sequence(0, size({lines}) - 1), {gone}), i -> {lines}[i]), '\n')"
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, fuzzy_words: int = FUZZY_WORDS, count: str = "lines_dropped") -> DataFrame:
+    """``docs`` with all columns, the text without its repeated lines, and their number as ``count``, with an underscore before it where ``docs`` has such a column. Texts without lines to drop, null texts too, stay as they are."""
+    count, p_doc, p_gone, p_lines = private(docs, count, "gone_doc", "gone_lines", "all_lines")
+    gone = repeated_lines(docs, min_chars, fuzzy_words).select(F.col("doc").alias(p_doc), F.col("lines").alias(p_gone))
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(p_doc)), "left")
+    kept = F.expr(f"transform(array(split(cast(text as string), '\n', -1)), {p_lines} -> {_KEPT.format(lines=p_lines, gone=p_gone)})[0]")
+    text = F.when(F.col(p_gone).isNull(), F.col("text").cast("string")).otherwise(kept)
+    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.coalesce(F.size(p_gone), F.lit(0)).alias(count))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The documents with their columns, repeated lines taken out and n_chars counted anew; documents of which no word is left go."""
-    out = without_repeated_lines(docs)
-    out = out.where((F.col("lines_dropped") == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
-    return out.select(*[F.when(F.col("lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else c for c in docs.columns])
+    """The documents with their columns, repeated lines taken out and n_chars, if it is there, counted anew; documents of which no word is left go. Null, empty and blank texts have no lines to drop and stay; of rows that share a doc_id and text all keep the same lines."""
+    (dropped,) = private(docs, "lines_dropped")
+    out = without_repeated_lines(docs, count=dropped)
+    out = out.where((F.col(dropped) == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
+    counted = lambda: F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[counted() if c == "n_chars" else c for c in docs.columns])

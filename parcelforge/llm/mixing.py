@@ -8,25 +8,27 @@ documents are taken in the order of a seeded hash while they fit, found by
 narrowing the hash range ten bits a pass, and the gap is closed by the largest
 documents that fit into it, one of a size, those with a copy less first.
 
-Only figures by pattern come to the driver; more than ``MAX_PATTERNS`` patterns
-are refused.
+The flow is solved on the driver, which holds a row for each pattern and no
+document. Patterns that share no source, directly or through others, are
+solved apart; one with sources of its own has a closed form.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import defaultdict
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelforge.llm.tables import in_batches, materialize, maybe_broadcast
+from parcelforge.llm.tables import in_batches, materialize, maybe_broadcast, private
 
-MAX_PATTERNS = 100_000
 SEED = 17
 #: Closing documents (some dozen a pattern) that may be sent to every task; more are joined by a shuffle.
 BROADCAST_CLOSERS = 1_000_000
+#: Patterns (some 40 bytes each) that may be sent to every task; more are joined by a shuffle.
+BROADCAST_PATTERNS = 100_000
 
 
 def water_fill(sizes: dict, weights: dict, total: float, most: float) -> dict[object, float]:
@@ -46,93 +48,113 @@ def water_fill(sizes: dict, weights: dict, total: float, most: float) -> dict[ob
 
 
 class Flow:
-    """Cheapest largest flow by successive shortest paths with potentials; integer capacities, costs of 0 and above."""
+    """Largest flow by levels and blocked paths, without recursion; capacities may grow between runs, and what has been sent stays."""
 
     def __init__(self, nodes: int):
         self.out: list[list[int]] = [[] for _ in range(nodes)]
         self.to: list[int] = []
         self.room: list[int] = []
-        self.cost: list[int] = []
 
-    def arc(self, u: int, v: int, room: int, cost: int) -> int:
-        for a, b, r, c in ((u, v, room, cost), (v, u, 0, -cost)):
+    def arc(self, u: int, v: int, room: int) -> int:
+        for a, b, r in ((u, v, room), (v, u, 0)):
             self.out[a].append(len(self.to))
             self.to.append(b)
             self.room.append(r)
-            self.cost.append(c)
         return len(self.to) - 2
 
-    def run(self, s: int, t: int) -> int:
-        level, sent = [0] * len(self.out), 0
-        while True:
-            far, via = {s: 0}, {}
-            heap, done = [(0, s)], set()
-            while heap:
-                d, u = heapq.heappop(heap)
-                if u in done:
-                    continue
-                done.add(u)
+    def _levels(self, s: int, t: int) -> list[int] | None:
+        level = [-1] * len(self.out)
+        level[s], ring = 0, [s]
+        while ring:
+            further = []
+            for u in ring:
                 for e in self.out[u]:
-                    if self.room[e]:
-                        v = self.to[e]
-                        nd = d + self.cost[e] + level[u] - level[v]
-                        if nd < far.get(v, nd + 1):
-                            far[v], via[v] = nd, e
-                            heapq.heappush(heap, (nd, v))
-            if t not in far:
-                return sent
-            top = max(far.values())
-            for v in range(len(level)):
-                level[v] += far.get(v, top)
-            # all paths that are shortest now, one after another
+                    v = self.to[e]
+                    if self.room[e] and level[v] < 0:
+                        level[v] = level[u] + 1
+                        further.append(v)
+            ring = further
+        return level if level[t] >= 0 else None
+
+    def run(self, s: int, t: int) -> None:
+        while level := self._levels(s, t):
+            tried, path, u = [0] * len(self.out), [], s
             while True:
-                path = self._tight(s, t, level)
-                if not path:
+                if u == t:
+                    push = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= push
+                        self.room[e ^ 1] += push
+                    # back to the first arc that is full
+                    full = next(i for i, e in enumerate(path) if not self.room[e])
+                    u = self.to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                arcs = self.out[u]
+                while tried[u] < len(arcs):
+                    e = arcs[tried[u]]
+                    if self.room[e] and level[self.to[e]] == level[u] + 1:
+                        break
+                    tried[u] += 1
+                if tried[u] < len(arcs):
+                    path.append(arcs[tried[u]])
+                    u = self.to[path[-1]]
+                elif path:
+                    u = self.to[path.pop() ^ 1]
+                    tried[u] += 1
+                else:
                     break
-                push = min(self.room[e] for e in path)
-                for e in path:
-                    self.room[e] -= push
-                    self.room[e ^ 1] += push
-                sent += push
-
-    def _tight(self, s: int, t: int, level: list[int]) -> list[int]:
-        via, todo = {s: -1}, [s]
-        while todo:
-            u = todo.pop()
-            if u == t:
-                path = []
-                while u != s:
-                    path.append(via[u])
-                    u = self.to[via[u] ^ 1]
-                return path
-            for e in self.out[u]:
-                v = self.to[e]
-                if self.room[e] and v not in via and self.cost[e] + level[u] - level[v] == 0:
-                    via[v] = e
-                    todo.append(v)
-        return []
 
 
-def route(patterns: Sequence[tuple[tuple, int]], quotas: dict, repeats: int) -> list[int]:
-    """Words that each pattern (sources, size) gives to the quotas of its sources, each word ``repeats`` times at most and as seldom as can be."""
-    number = {s: i for i, s in enumerate(quotas)}
-    flow = Flow(2 + len(patterns) + len(number))
-    first, copies = 2 + len(patterns), []
+def _cheapest(patterns: Sequence[tuple[tuple, int]], quotas: dict, repeats: int) -> list[int]:
+    """Only copies cost, so a path costs what its first arc does: the cheapest largest flow is the largest one with one copy each, enlarged to two, and so on."""
+    number = {s: i for i, s in enumerate(sorted({s for sources, _ in patterns for s in sources}, key=lambda s: (s is None, s or "")))}
+    flow, first = Flow(2 + len(patterns) + len(number)), 2 + len(patterns)
+    own = [flow.arc(0, 2 + i, 0) for i in range(len(patterns))]
     for i, (sources, size) in enumerate(patterns):
-        copies.append([flow.arc(0, 2 + i, size, k) for k in range(repeats)])
         for s in sources:
-            if s in number:
-                flow.arc(2 + i, first + number[s], size * repeats, 0)
+            flow.arc(2 + i, first + number[s], size * repeats)
     for s, i in number.items():
-        flow.arc(first + i, 1, quotas[s], 0)
-    flow.run(0, 1)
-    return [sum(flow.room[e ^ 1] for e in arcs) for arcs in copies]
+        flow.arc(first + i, 1, quotas[s])
+    for _ in range(repeats):
+        for e, (_, size) in zip(own, patterns, strict=True):
+            flow.room[e] += size
+        flow.run(0, 1)
+    return [flow.room[e ^ 1] for e in own]
 
 
-def select(units: DataFrame, wanted: list[tuple[str, int, int]], repeats: int) -> DataFrame:
-    """``units`` (doc_id, pattern, size, hash of 60 bits) with ``taken``. wanted: pattern, copies that all documents give, words that are taken besides."""
+def route(patterns: Sequence[tuple[tuple, int]], quotas: dict, repeats: int) -> list[int]:
+    """Words that each pattern (sources, size) gives to the quotas of its sources, each word ``repeats`` times at most and as seldom as can be."""
+    root: dict = {s: s for s in quotas}
+
+    def find(s):
+        while root[s] != s:
+            root[s] = s = root[root[s]]
+        return s
+
+    known = [tuple(s for s in sources if s in quotas) for sources, _ in patterns]
+    for sources in known:
+        for s in sources[1:]:
+            root[find(s)] = find(sources[0])
+    apart: dict = defaultdict(list)
+    for i, sources in enumerate(known):
+        if sources:
+            apart[find(sources[0])].append(i)
+    given = [0] * len(patterns)
+    for members in apart.values():
+        if len(members) == 1:
+            i = members[0]
+            given[i] = min(repeats * patterns[i][1], sum(quotas[s] for s in known[i]))
+        else:
+            for i, g in zip(members, _cheapest([(known[i], patterns[i][1]) for i in members], quotas, repeats), strict=True):
+                given[i] = g
+    return given
+
+
+def select(units: DataFrame, wanted: list[tuple[str, int, int]], repeats: int, wide: DataFrame | None = None) -> DataFrame:
+    """``wide``, or else ``units`` (doc_id, pattern, size, hash of 60 bits), with ``taken``. wanted: pattern, copies that all documents give, words that are taken besides; ``wide`` has the rows of ``units`` with more columns."""
     spark = in_batches(units).sparkSession
-    few = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))  # noqa: E731  (patterns are MAX_PATTERNS at most)
+    few = lambda rows, schema: (F.broadcast if len(rows) <= BROADCAST_PATTERNS else lambda x: x)(spark.createDataFrame(rows, schema))
     state = [(p, 0, rest) for p, _, rest in wanted if rest > 0]
     limits: dict[str, int] = {}
     rests = {p: rest for p, _, rest in wanted}
@@ -148,7 +170,8 @@ def select(units: DataFrame, wanted: list[tuple[str, int, int]], repeats: int) -
             limits[r["pattern"]], rests[r["pattern"]] = r["bin"] << (50 - 10 * level), r["rest"]
         state = [(r["pattern"], r["bin"], r["rest"]) for r in rows if r["docs"] > 1]
     base = few([(p, copies, limits.get(p, 0)) for p, copies, _ in wanted], "pattern string, copies long, hash_limit long")
-    dealt = units.join(base, "pattern", "left").withColumns({"copies": F.coalesce("copies", F.lit(0)), "hash_limit": F.coalesce("hash_limit", F.lit(0))})
+    deal = lambda rows: rows.join(base, "pattern", "left").withColumns({"copies": F.coalesce("copies", F.lit(0)), "hash_limit": F.coalesce("hash_limit", F.lit(0))})
+    dealt = deal(units)
     gaps = [(p, rest) for p, rest in rests.items() if rest > 0]
     more = (F.col("copies") + F.when(F.col("hash") < F.col("hash_limit"), 1).otherwise(0)).alias("times")
     # rows of one hash are taken together; of those of one size the first hash stands for all
@@ -164,24 +187,24 @@ def select(units: DataFrame, wanted: list[tuple[str, int, int]], repeats: int) -
         return pa.table({"pattern": pa.array([key[0].as_py()] * len(picks), pa.string()), "hash": pa.array(picks, pa.int64())})
 
     closers = materialize(sized.groupBy("pattern", "rest").applyInArrow(close, "pattern string, hash long"), "closers").withColumn("closer", F.lit(1))
-    dealt = dealt.join(maybe_broadcast(closers, BROADCAST_CLOSERS), ["pattern", "hash"], "left")
+    dealt = deal(units if wide is None else wide).join(maybe_broadcast(closers, BROADCAST_CLOSERS), ["pattern", "hash"], "left")
     times = F.col("copies") + F.when(F.col("hash") < F.col("hash_limit"), 1).otherwise(0) + F.coalesce("closer", F.lit(0))
     return dealt.withColumn("taken", F.col("size") * times).drop("copies", "hash_limit", "closer")
 
 
-def mix(docs: DataFrame, weigh: Callable[[list], dict], share: float = 1.5, repeats: int = 2, seed: int = SEED) -> tuple[DataFrame, dict[object, int], dict[object, float]]:
+def mix(docs: DataFrame, weigh: Callable[[list], dict], share: float = 1.5, repeats: int = 2, seed: int = SEED, carry: Sequence[str] = ()) -> tuple[DataFrame, dict[object, int], dict[object, float]]:
     """Mix ``docs`` (doc_id, size, sources array) to targets of ``share`` times all words.
 
     ``weigh`` gives the weights of the sources, ordered by code point, null
-    last. Returns doc_id, size, sources and taken; each source's size and target.
-    A document of several sources counts in the size of each.
+    last. Returns doc_id, size, sources, taken and the columns ``carry``; each
+    source's size and target. A document of several sources counts in the size
+    of each.
     """
     hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 4)
     pattern = F.to_json(F.struct(F.array_sort(F.array_distinct("sources")).alias("s")))
-    units = materialize(docs.select("doc_id", "sources", F.col("size").cast("long"), pattern.alias("pattern"), hashed.alias("hash")), "units")
-    found = units.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    wide = docs.select("doc_id", "sources", F.col("size").cast("long").alias("size"), pattern.alias("pattern"), hashed.alias("hash"), *carry)
+    units = materialize(wide.drop(*carry), "units")
+    found = units.groupBy("pattern").agg(F.min("sources").alias("sources"), F.sum("size").alias("size")).collect()
     found.sort(key=lambda r: r["pattern"])
     sizes: dict = {}
     for r in found:
@@ -192,18 +215,31 @@ def mix(docs: DataFrame, weigh: Callable[[list], dict], share: float = 1.5, repe
     targets = water_fill(sizes, weigh(list(sizes)), share * total, repeats) if sizes else {}
     given = route([(tuple(sorted(set(r["sources"]), key=lambda s: (s is None, s or ""))), r["size"]) for r in found], {s: round(t) for s, t in targets.items()}, repeats)
     wanted = [(r["pattern"], *divmod(g, r["size"])) for r, g in zip(found, given, strict=True) if r["size"]]
-    return select(units, wanted, repeats).select("doc_id", "size", "sources", "taken"), sizes, targets
+    return select(units, wanted, repeats, wide if carry else None).select("doc_id", "size", "sources", "taken", *carry), sizes, targets
 
 
 def turns_of_weights(sources: list, turn: Sequence[float] = (3, 1, 2)) -> dict:
     return {s: turn[i % len(turn)] for i, s in enumerate(sources)}
 
 
-def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each document; the size is the number of words, a null or blank text has none and is never taken. Empty tables give no rows; rows that repeat are taken together."""
+def _by_source(docs: DataFrame, seed: int, carry: Sequence[str] = ()) -> DataFrame:
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    units = docs.select("doc_id", words.alias("size"), F.array(F.col("source").cast("string")).alias("sources"))
-    mixed, sizes, targets = mix(units, turns_of_weights, seed=seed)
-    by_source = F.broadcast(docs.sparkSession.createDataFrame([(s, n, targets[s]) for s, n in sizes.items()], "source string, source_size long, target double"))
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    units = docs.select("doc_id", words.alias("size"), F.array(F.col("source").cast("string")).alias("sources"), *row)
+    mixed, sizes, targets = mix(units, turns_of_weights, seed=seed, carry=carry)
+    figures = docs.sparkSession.createDataFrame([(s, n, targets[s]) for s, n in sizes.items()], "source string, source_size long, target double")
+    figures = F.broadcast(figures) if len(sizes) <= BROADCAST_PATTERNS else figures
     mixed = mixed.withColumn("own", F.col("sources")[0])
-    return mixed.join(by_source, mixed["own"].eqNullSafe(by_source["source"]), "left").select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.join(figures, mixed["own"].eqNullSafe(figures["source"]), "left")
+
+
+def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each document; the size is the number of words, a null or blank text has none and is never taken. Empty tables give no rows; rows that repeat are taken together."""
+    return _by_source(docs, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix_corpus(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The columns of ``docs``, and size, source_size, target and taken as in ``mix_documents``; where ``docs`` has a column of such a name, an underscore is put before the new one."""
+    names = ("size", "source_size", "target", "taken")
+    out = _by_source(docs, seed, ["row"])
+    return out.select("row.*", *[F.col(c).alias(name) for c, name in zip(names, private(docs, *names), strict=True)])

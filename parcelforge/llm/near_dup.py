@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.tables import discard, in_batches, materialize, maybe_broadcast
+from parcelforge.llm.tables import discard, in_batches, materialize, maybe_broadcast, private
 from parcelforge.llm.words import blocks, buffers, shingle_hashes, splitmix, word_hashes
 
 ROWS, BANDS = 6, 48
@@ -73,7 +73,8 @@ def band_hashes(sketch: np.ndarray, rows: int, bands: int) -> np.ndarray:
 
 
 def _sketch_table(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
-    frame = in_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    frame = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("copy"))
 
     def sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,25 +86,32 @@ def _sketch_table(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                 bands_of = iter(band_hashes(sketches(full, rows * bands), rows, bands).view(np.int64))
                 sums = [(len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(splitmix(s).sum(dtype=np.uint64).view(np.int64)), next(bands_of) if len(s) else None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *(pa.array([x[j] for x in sums], pa.int64()) for j in range(3)), pa.array([x[3] for x in sums], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *(pa.array([x[j] for x in sums], pa.int64()) for j in range(3)), pa.array([x[3] for x in sums], pa.list_(pa.int64()))],
+                    names=["doc_id", "copy", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    return materialize(frame.mapInArrow(sketching, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "sketches")
+    return materialize(frame.mapInArrow(sketching, "doc_id long, copy long, n_shingles long, set_a long, set_b long, bands array<long>"), "sketches")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(hub, rep, wide) with the sizes of the sets, hub_n and n, and of what they share, common, from the whole texts; for wide pairs ``edits``, the shingles of either alone."""
-    ids = pairs.select(F.explode(F.array("hub", "rep")).alias("id")).distinct()
-    ids = materialize(ids, "ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    """``pairs`` (hub, hub_copy, rep, rep_copy, wide) with the sizes of the sets, hub_n and n, and of what they share, common, from the whole texts; for wide pairs ``edits``, the shingles of either alone.
+
+    Each member's text goes to its hub, whose own text is read once for all of
+    a task's members; a hub of many members is split by the skewed join.
+    """
+    ids = materialize(pairs.select(F.explode(F.array(F.struct(F.col("hub").alias("id"), F.col("hub_copy").alias("copy")), F.struct(F.col("rep").alias("id"), F.col("rep_copy").alias("copy")))).alias("x")).select("x.*").distinct(), "ids")
+    text = F.col("text").cast("string")
+    # rows of one id and hash are one text
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("copy"), text.alias("text")).join(maybe_broadcast(ids, BROADCAST_IDS), ["id", "copy"], "left_semi").groupBy("id", "copy").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
-    both = pairs.join(texts.select(F.col("id").alias("hub"), F.col("text").alias("one")).hint("merge"), "hub").join(texts.select(F.col("id").alias("rep"), F.col("text").alias("other")).hint("merge"), "rep")
+    side = lambda who, name: texts.select(F.col("id").alias(who), F.col("copy").alias(f"{who}_copy"), F.col("text").alias(name)).hint("merge")
+    both = pairs.join(side("rep", "other"), ["rep", "rep_copy"]).join(side("hub", "one"), ["hub", "hub_copy"])
+    names = ["hub", "hub_copy", "rep", "rep_copy", "wide"]
 
     def comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [buffers(batch.column(j)) for j in (3, 4)]
-            wide = batch.column(2).to_pylist()
+            cols = [buffers(batch.column(j)) for j in (5, 6)]
+            wide = batch.column(4).to_pylist()
             for a, b in blocks(cols[0][1] + cols[1][1]):
                 sides, out = [], []
                 for data, offsets in cols:
@@ -113,9 +121,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                     n = len(np.intersect1d(x, y, assume_unique=True))
                     out.append((len(x), len(y), n, np.setxor1d(x, y, assume_unique=True).view(np.int64) if w else None))
                 figures = [pa.array([r[j] for r in out], pa.int64()) for j in range(3)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, b - a) for j in range(3)), *figures, pa.array([r[3] for r in out], pa.list_(pa.int64()))], names=["hub", "rep", "wide", "hub_n", "n", "common", "edits"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, b - a) for j in range(5)), *figures, pa.array([r[3] for r in out], pa.list_(pa.int64()))], names=[*names, "hub_n", "n", "common", "edits"])
 
-    out = materialize(both.select("hub", "rep", "wide", "one", "other").mapInArrow(comparing, "hub long, rep long, wide boolean, hub_n long, n long, common long, edits array<long>"), "verified")
+    out = materialize(both.select(*names, "one", "other").mapInArrow(comparing, "hub long, hub_copy long, rep long, rep_copy long, wide boolean, hub_n long, n long, common long, edits array<long>"), "verified")
     discard(ids, texts)
     return out
 
@@ -145,15 +153,16 @@ def block_links(left: dict, group: dict, percent: int) -> list[tuple[int, int]]:
 
 
 def _cross_links(group: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links of the members that are not in their hub's component, among ``group``: hub, rep, n, edits, label, left."""
-    sizes = materialize(group.groupBy("hub").agg(load_of(F.lit(True)).alias("parts"), load_of(F.col("left")).alias("left_parts"), F.max("left").alias("any")).where("any"), "loads")
-    dealt = group.join(maybe_broadcast(sizes, BROADCAST_IDS), "hub")
+    """(u, v): links of the members that are not in their hub's component, among ``group``: hub, hub_copy, rep, n, edits, label, left."""
+    hub = ["hub", "hub_copy"]
+    sizes = materialize(group.groupBy(*hub).agg(load_of(F.lit(True)).alias("parts"), load_of(F.col("left")).alias("left_parts"), F.max("left").alias("any")).where("any"), "loads")
+    dealt = group.join(maybe_broadcast(sizes, BROADCAST_IDS), hub)
     row = F.struct("rep", "n", "label", "edits")
     deal = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts))
-    one = dealt.where("left").groupBy("hub", "parts", deal("left_parts").alias("left_part")).agg(F.collect_list(row).alias("one"))
-    other = dealt.groupBy("hub", deal("parts").alias("part")).agg(F.collect_list(row).alias("other"))
+    one = dealt.where("left").groupBy(*hub, "parts", deal("left_parts").alias("left_part")).agg(F.collect_list(row).alias("one"))
+    other = dealt.groupBy(*hub, deal("parts").alias("part")).agg(F.collect_list(row).alias("other"))
     # a block of left members goes to each block of its hub's group, so one hub is many tasks
-    pairs = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(other, ["hub", "part"]).select("one", "other")
+    pairs = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(other, [*hub, "part"]).select("one", "other")
 
     def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(rows):
@@ -199,52 +208,62 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     Documents are linked where 100 * intersection >= percent * union of their
     sets of distinct k-word shingles. A document of fewer than k words is its
     whole sequence; one without words (null, empty, blank) has no set and is its
-    own component. Rows that repeat a doc_id are one document and get one
-    component; a null doc_id is never linked, has no component and is kept.
+    own component. Rows that repeat a doc_id are one document: it is linked
+    where any of its texts is, and its rows with words get one component. A
+    null doc_id is never linked, has no component and is kept.
     """
     all_ = _sketch_table(docs, k, rows, bands)
     same = ["set_a", "set_b", "n_shingles"]
-    reps = all_.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    reps = materialize(reps, "representatives")
-    banded = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    reps = all_.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "copy")).alias("least"), F.first("bands").alias("bands"))
+    reps = materialize(reps.select(*same, F.col("least.doc_id").alias("rep"), F.col("least.copy").alias("rep_copy"), "bands"), "representatives")
+    rep = ["rep", "rep_copy"]
+    banded = reps.select(*rep, F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     crowded = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     met = materialize(banded.join(crowded, "band"), "met")
-    known_by = met.groupBy("rep").agg(F.sum("members").alias("met"))
-    counted = met.join(known_by, "rep")
-    hubs = counted.groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("back"))).alias("most")).select("band", (-F.col("most.back")).alias("hub"))
+    known_by = met.groupBy(*rep).agg(F.sum("members").alias("met"))
+    counted = met.join(known_by, rep)
+    hubs = counted.groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("back"), F.col("rep_copy").alias("hub_copy"))).alias("most")).select("band", (-F.col("most.back")).alias("hub"), "most.hub_copy")
     members = materialize(met.join(hubs, "band"), "members")
     discard(met)
-    sizes = reps.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"))
-    pairs = members.where("rep <> hub").groupBy("hub", "rep", "n").agg((F.max("members") > 2).alias("wide")).join(sizes, "hub")
+    sizes = reps.select(F.col("rep").alias("hub"), F.col("rep_copy").alias("hub_copy"), F.col("n_shingles").alias("hub_n"))
+    pairs = members.where("rep <> hub or rep_copy <> hub_copy").groupBy("hub", "hub_copy", *rep, "n").agg((F.max("members") > 2).alias("wide")).join(sizes, ["hub", "hub_copy"])
     # pairs of too different sizes are no links, and their edits are needed in wide buckets only
     pairs = pairs.where(F.col("wide") | (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent))
-    pairs = materialize(pairs.select("hub", "rep", "wide"), "pairs")
+    pairs = materialize(pairs.select("hub", "hub_copy", *rep, "wide"), "pairs")
     known = _verify(pairs, docs, k)
     discard(members, pairs)
     linked = F.col("common") * 100 >= (F.col("n") + F.col("hub_n") - F.col("common")) * percent
     links = known.where(linked).select(F.col("hub").alias("u"), F.col("rep").alias("v"))
+    # ids with several texts, which are few, link the representatives of these
+    several = all_.where("n_shingles > 0 and doc_id is not null").select("doc_id", *same, F.struct(*same).alias("s"))
+    several = several.join(several.groupBy("doc_id").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("doc_id"), "doc_id", "left_semi")
+    links = materialize(links.unionByName(several.join(reps.select(*same, "rep"), same).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))).where("u <> v"), "links")
     labels = components(links)
 
     label = lambda column, name: labels.select(F.col("id").alias(column), F.col("label").alias(name))
     group = known.where("wide").join(label("rep", "rep_label"), "rep", "left").join(label("hub", "hub_label"), "hub", "left")
-    group = group.select("hub", "rep", "n", "edits", F.coalesce("rep_label", "rep").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+    group = group.select("hub", "hub_copy", "rep", "n", "edits", F.coalesce("rep_label", "rep").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
     more = materialize(_cross_links(group.withColumn("left", F.col("label") != F.col("hub_label")), percent), "cross-links")
     if not more.isEmpty():
         discard(labels)
         labels = components(links.unionByName(more))
-    discard(known, more)
+    discard(known, more, links)
     roots = reps.select(*same, "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("component"))
-    out = all_.drop("bands").join(roots, same, "left")
+    out = all_.drop("bands", "copy").join(roots, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The documents that are their component's smallest doc_id, with their columns; of rows that share a doc_id one stays, and all rows without one."""
+    """The documents that are their component's smallest doc_id, with their columns; of rows that share a doc_id the one with the smallest text stays, null first, and all rows without one. Documents without words are copies of nothing and stay."""
+    (gone_id,) = private(docs, "gone_id")
     gone = near_duplicates(docs, k).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("copies")).where("doc_id is not null and (not kept or copies > 1)")
-    gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), "kept"), "gone")
-    rest = docs.join(maybe_broadcast(gone.select("gone_id"), BROADCAST_IDS), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    copies = gone.where("kept").select("gone_id")
+    gone = materialize(gone.select(F.col("doc_id").alias(gone_id), "kept"), "gone")
+    rest = docs.join(maybe_broadcast(gone.select(gone_id), BROADCAST_IDS), docs["doc_id"] == gone[gone_id], "left_anti")
+    copies = gone.where("kept").select(gone_id)
     if copies.isEmpty():
         return rest
-    return rest.unionByName(docs.join(maybe_broadcast(copies, BROADCAST_IDS), F.col("doc_id") == F.col("gone_id"), "left_semi").dropDuplicates(["doc_id"]))
+    again = docs.join(maybe_broadcast(copies, BROADCAST_IDS), docs["doc_id"] == copies[gone_id], "left_semi")
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no order and no hash
+    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*plain))).alias("row")).select("row.*")
+    return rest.unionByName(first.select(*docs.columns))

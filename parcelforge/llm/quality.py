@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.tables import in_batches
+from parcelforge.llm.tables import in_batches, private
 from parcelforge.llm.words import blocks, buffers
 
 CHUNK, OVERLAP, WIDTH = 512, 8, 8
@@ -48,24 +48,36 @@ def repeats(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all chunks of all rows, one chunk at least for each row, and the n + 1 offsets of the rows among them."""
-    lengths = np.diff(offsets)
-    hop = CHUNK - OVERLAP
-    counts = np.maximum(1, -(-np.maximum(lengths - OVERLAP, 1) // hop))
-    first = np.concatenate(([0], np.cumsum(counts)))
+def symbols_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The symbols of all rows, and padding for a last chunk."""
     padded = np.full(len(data) + CHUNK, PADDING, np.uint16)
     padded[: len(data)] = data
-    marks = np.zeros(len(data), bool)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if b > a:
-            marks[a:b] = repeats(data[a:b])
-    padded[: len(data)] += marks.astype(np.uint16) * np.uint16(256)
+            padded[a:b] += repeats(data[a:b]).astype(np.uint16) * np.uint16(256)
+    return padded
+
+
+def chunk_places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each chunk begins and its row stops, one chunk at least for each row, and the n + 1 offsets of the rows among the chunks."""
+    hop = CHUNK - OVERLAP
+    counts = np.maximum(1, -(-np.maximum(np.diff(offsets) - OVERLAP, 1) // hop))
+    first = np.concatenate(([0], np.cumsum(counts)))
     begin = np.repeat(offsets[:-1], counts) + (np.arange(first[-1]) - np.repeat(first[:-1], counts)) * hop
+    return begin, np.repeat(offsets[1:], counts), first
+
+
+def cut(padded: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     place = begin[:, None] + np.arange(CHUNK)[None, :]
     out = padded[np.minimum(place, len(padded) - 1)]
-    out[place >= np.repeat(offsets[1:], counts)[:, None]] = PADDING
-    return out, first
+    out[place >= stop[:, None]] = PADDING
+    return out
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all chunks of all rows, and the offsets of the rows among them."""
+    begin, stop, first = chunk_places(offsets)
+    return cut(symbols_of(data, offsets), begin, stop), first
 
 
 def symbol_kinds() -> np.ndarray:
@@ -97,10 +109,6 @@ class Network:
             out += tables[j].take(symbols[:, j : last + j], axis=0)
         return out
 
-    def pooled(self, symbols: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        parts = [self.responses(symbols[a : a + SCORE_CHUNKS], tables).max(1) for a in range(0, len(symbols), SCORE_CHUNKS)]
-        return np.tanh(np.concatenate(parts) + self.p["b"]) if parts else np.zeros((0, FILTERS), np.float32)
-
     def combine(self, pooled: np.ndarray, first: np.ndarray) -> np.ndarray:
         features = np.concatenate((np.add.reduceat(pooled, first[:-1]) / np.diff(first)[:, None], np.maximum.reduceat(pooled, first[:-1])), axis=1)
         return 1 / (1 + np.exp(-(features.astype(np.float64) @ self.p["u"] + self.p["c"][0])))
@@ -108,8 +116,11 @@ class Network:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(offsets) < 2:
             return np.zeros(0)
-        symbols, first = chunks(data, offsets)
-        return self.combine(self.pooled(symbols, self.tables()), first)
+        padded, tables = symbols_of(data, offsets), self.tables()
+        begin, stop, first = chunk_places(offsets)
+        # some chunks at a time, so a long text takes two bytes for each of its own
+        parts = [self.responses(cut(padded, begin[a : a + SCORE_CHUNKS], stop[a : a + SCORE_CHUNKS]), tables).max(1) for a in range(0, len(begin), SCORE_CHUNKS)]
+        return self.combine(np.tanh(np.concatenate(parts) + self.p["b"]), first)
 
     def gradients(self, symbols: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         p, tables = self.p, self.tables()
@@ -175,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> N
     ids = F.broadcast(training_ids(labels, "quality", train_rows))  # train_rows rows at most
     rows = in_batches(docs).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id").select("id", "label", "text")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             out = []
@@ -186,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> N
                     out.append(symbols[x:y].astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "chunks"])
 
-    found = rows.mapInArrow(cut, "id long, label int, chunks binary").toArrow().to_pydict()
+    found = rows.mapInArrow(chunked, "id long, label int, chunks binary").toArrow().to_pydict()
     order = sorted(range(len(found["id"])), key=lambda i: (found["id"][i], found["chunks"][i]))
     y = np.array([found["label"][i] for i in order], np.float32)
     if not len(y) or y.min() == y.max():
@@ -194,11 +205,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> N
     return Network().fit([np.frombuffer(found["chunks"][i], np.uint16).reshape(-1, CHUNK) for i in order], y)
 
 
-def scored(docs: DataFrame, network: Network | None) -> DataFrame:
-    """``docs`` with ``score``, the probability of good quality of the whole text; null counts as empty, and without a network all score 0.5."""
+def scored(docs: DataFrame, network: Network | None, name: str = "score") -> DataFrame:
+    """``docs`` with ``name``, the probability of good quality of the whole text; null counts as empty, and without a network all score 0.5."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +231,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents that score at least ``threshold``, with their columns; all of them where the labels train no network."""
+    """The documents that score at least ``threshold``, with their columns; all of them where the labels train no network (an empty table, or labels of one kind). A null text is scored as an empty one; rows that repeat stay or go together."""
     network = train(docs, labels)
     if network is None:
         return docs
-    return scored(docs.withColumnRenamed("score", "own score") if "score" in docs.columns else docs, network).where(F.col("score") >= threshold).drop("score").withColumnRenamed("own score", "score")
+    (name,) = private(docs, "score")
+    return scored(docs, network, name).where(F.col(name) >= threshold).drop(name)

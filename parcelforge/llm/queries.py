@@ -15,7 +15,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), spark.conf.get("spark.parcelforge.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,7 @@ WITH l AS (
   SELECT doc_id, i - 1 AS no, x[i] AS line, string_split(x[i], ' ') AS w
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), unnest(range(1, len(x) + 1)) AS t(i)
 ), d AS (
-  SELECT w, len(w) AS n, min({'doc': doc_id, 'no': no}) AS pos FROM l WHERE length(line) >= 16 AND trim(line) <> '' GROUP BY w
+  SELECT w, len(w) AS n, min({'doc': doc_id, 'no': no}) AS pos FROM l WHERE trim(line) <> '' GROUP BY w
 ), cut AS (
   SELECT w, n, pos, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 : n]), ' ') AS rest FROM d, unnest(range(1, n + 1)) AS t(i) WHERE n >= 8
 ), swapped AS (
@@ -175,18 +175,22 @@ FROM documents LEFT JOIN texts USING (doc_id)"""
 
 SQL["op8_chat"] = r"""
 WITH own AS (
-  SELECT conv_id, turn, translate(role, chr(13) || chr(10) || '<|>', '') AS speaker, regexp_replace(coalesce(text, ''), '<\|im_(start|end)\|>', '', 'g') AS said
+  SELECT conv_id, turn, role AS speaker, replace(coalesce(text, ''), '<|', '< |') AS said,
+    replace(replace(replace(replace(replace(replace(role, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), '<', '%3C'), '|', '%7C'), '>', '%3E') AS name
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, said) - 1 AS rank FROM own
 ), who AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM own WHERE speaker <> 'system'
 ), piece AS (
-  SELECT conv_id, perspective, CAST(floor(turn / 64) AS BIGINT) AS part, turn, speaker, said, speaker = perspective AS mine,
-    '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head, said || '<|im_end|>' AS body
-  FROM own JOIN who USING (conv_id)
+  SELECT conv_id, perspective, rank // 64 AS part, rank, speaker = perspective AS mine,
+    '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || name END || chr(10) AS head, said || '<|im_end|>' AS body
+  FROM ranked JOIN who USING (conv_id)
 ), placed AS (
-  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, said ROWS UNBOUNDED PRECEDING) AS upto FROM piece
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM piece
 )
-SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn, speaker, said) AS rendered,
+SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, count(*) AS n_turns, CAST(min(upto - length(head) - length(body) - 1) AS BIGINT) AS start,
+  string_agg(head || body || chr(10), '' ORDER BY rank) AS rendered,
   coalesce(string_agg(CAST(upto - 1 - length(body) AS BIGINT) || '-' || CAST(upto - 1 AS BIGINT), ',' ORDER BY upto) FILTER (mine), '') AS mask,
   CAST(coalesce(sum(length(body)) FILTER (mine), 0) AS BIGINT) AS n_masked
 FROM placed GROUP BY conv_id, perspective, part"""

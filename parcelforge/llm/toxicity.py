@@ -21,9 +21,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -37,8 +39,6 @@ from parcelforge.llm.tables import in_batches
 TRAIN_ROWS = 8000
 #: A learned entry is in this share of the toxic training texts and in three of them at least, and so many times as frequent as in others; before exceptions are known, so many times.
 LEAST_SHARE, LEAST_DOCS, LEAST_RATIO, FIRST_RATIO = 0.02, 3, 25, 3
-#: Candidates for the lexicon that come to the driver.
-MOST_CANDIDATES = 20_000
 #: Characters that are added to each text's length, so that one word is no text.
 LENGTH_FLOOR = 200
 
@@ -111,7 +111,12 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 found.append((start, end, weight))
-        return [m for m in found if not any(a <= m[0] and m[1] <= b for a, b in spared)] if spared else found
+        if not spared:
+            return found
+        # of the phrases that begin at a match's start or before, the one that reaches furthest
+        spared.sort()
+        starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        return [m for m in found if (i := bisect_right(starts, m[0])) == 0 or reach[i - 1] < m[1]]
 
     def hits(self, folded: str) -> list[tuple[int, int, float]]:
         """Of the matches at one place the heaviest."""
@@ -147,15 +152,22 @@ def _beginnings(folded: str) -> set[str]:
 
 
 def _phrases(folded: str, lexicon: Lexicon) -> set[str]:
-    """The words that matches begin, each with the word before and with the word after it."""
-    out = set()
+    """The words that matches begin, each with the whole word before and with the whole word after it, one space between."""
+    out, n = set(), len(folded)
     for s, e, _ in lexicon.hits(folded):
-        while e < len(folded) and folded[e].isalpha():
+        while e < n and folded[e].isalpha():
             e += 1
-        if before := re.search(r"[^\W\d_]+ $", folded[max(0, s - 40) : s]):
-            out.add(before[0] + folded[s:e])
-        if after := re.match(r" [^\W\d_]+", folded[e : e + 40]):
-            out.add(folded[s:e] + after[0])
+        at, to = s - 1, e + 1
+        if at > 0 and folded[at] == " ":
+            while at > 0 and folded[at - 1].isalpha():
+                at -= 1
+            if at < s - 1:
+                out.add(folded[at:e])
+        if e < n and folded[e] == " ":
+            while to < n and folded[to].isalpha():
+                to += 1
+            if to > e + 1:
+                out.add(folded[s:to])
     return out
 
 
@@ -191,12 +203,13 @@ def learn(docs: DataFrame, labels: DataFrame, extra: dict[str, float] | None = N
 
     def frequent(counts: DataFrame, times: float) -> dict[str, tuple[int, int]]:
         good = counts.where((F.col("toxic") >= least) & (F.col("toxic") / toxic >= times * (F.col("other") + 0.5) / other))
-        return {r["entry"]: (r["toxic"], r["other"]) for r in good.orderBy(F.desc("toxic"), F.length("entry"), "entry").limit(MOST_CANDIDATES).collect()}
+        # each is in a share of the toxic texts, so they are 1 / LEAST_SHARE times the entries of one text at most
+        return {r["entry"]: (r["toxic"], r["other"]) for r in good.collect()}
 
     first = frequent(counted(_beginnings), FIRST_RATIO)
     lexicon.weights |= {e.rstrip(" "): odds(*first[e]) for e in _closed(first)}
     harmless = counted(lambda folded: _phrases(folded, lexicon)).where((F.col("other") >= LEAST_DOCS) & (F.col("toxic") / toxic < 0.5 * F.col("other") / other))
-    spared = frozenset(r["entry"] for r in harmless.orderBy(F.desc("other"), "entry").limit(MOST_CANDIDATES).collect())
+    spared = frozenset(r["entry"] for r in harmless.collect())  # phrases of TRAIN_ROWS texts
     trial = Lexicon(lexicon.weights, spared | exceptions)
     sure = frequent(counted(lambda folded: {folded[a:b] for a, b, _ in trial.matches(folded)}), LEAST_RATIO)
     lexicon = Lexicon(dict(extra or {}))

@@ -14,18 +14,20 @@ the entry does not reach are payload, and join the record before them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.tables import fresh_path, in_batches, materialize, maybe_broadcast
+from parcelforge.llm.tables import fresh_path, in_batches, join_counted, materialize, maybe_broadcast
 
-MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
+#: What a record begins with: the format's name and the version up to its last digit, so records of 1.0 and 1.1 are read.
+MAGIC, VERSION, END = "WARC/1.", "1\r\n", "\r\n\r\n"
 #: Records of a part file at most.
 FILE_RECORDS = 20_000
-#: Revisits (16 bytes each) that may be sent to every task; more are joined by a shuffle.
+#: Revisits (64 bytes each) that may be sent to every task; more are joined by a shuffle.
 BROADCAST_REVISITS = 500_000
 
 
@@ -41,18 +43,23 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
 
     Of rows with equal payloads of at least ``revisit_from`` bytes the largest
     page_id is the response, the others are revisit records without a block
-    that refer to it. Rows without page_id are responses of their own.
+    that refer to it; rows of that page_id and payload that repeat are
+    responses too. Rows that share a page_id but not the payload are records
+    of their own, each judged by its payload. Rows without page_id are
+    responses.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("urn:unknown")), r"[\r\n]", "%0A").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     length = F.octet_length("html")
-    digests = rows.where("page_id is not null").select("page_id", F.sha1("html").alias("digest"), length.alias("n")).where(F.col("n") >= revisit_from)
-    first = digests.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    revisits = materialize(digests.join(first, ["digest", "n"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct(), "revisits")
-    rows = rows.join(maybe_broadcast(revisits, BROADCAST_REVISITS), "page_id", "left")
+    rows = rows.withColumns({"digest": F.sha1("html"), "n": length})
+    digests = rows.where("page_id is not null").select("page_id", "digest", "n").where(F.col("n") >= revisit_from).distinct()
+    first = digests.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
+    first = materialize(first, "copied-payloads")
+    revisits = materialize(join_counted(digests, first, ["digest", "n"], "copies").where("page_id <> refers_to").select("page_id", "digest", "n", "refers_to"), "revisits")
+    rows = rows.join(maybe_broadcast(revisits, BROADCAST_REVISITS), ["page_id", "digest", "n"], "left")
     revisit = F.col("refers_to").isNotNull()
     uri = lambda c: F.concat(F.lit("<urn:page:"), c, F.lit(">"))
     record = F.concat(
-        F.lit(MAGIC + "WARC-Type: "),
+        F.lit(MAGIC + VERSION + "WARC-Type: "),
         F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "),
         uri(F.coalesce(F.col("page_id").cast("string"), F.lit("-"))),
@@ -70,12 +77,12 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
 
 
 def parse_header(fragment: bytes) -> tuple[dict[str, str], int] | None:
-    """Header fields, lower-case names, and the length of the header with its blank line; None if it is no record header."""
+    """Header fields, lower-case names, and the length of the header with its blank line; None if it is no record header. The fragment begins with the version's last digit."""
     end = fragment.find(b"\r\n\r\n")
-    if end < 0:
+    if end < 0 or not re.match(rb"\d\r\n", fragment):
         return None
     fields = {}
-    for line in fragment[:end].split(b"\r\n"):
+    for line in fragment[3:end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -235,16 +242,21 @@ def _digest_split(spark, path: str, split: DataFrame) -> DataFrame:
 def archived_pages(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as WARC, read the archives back, and resolve revisits: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Empty tables give no rows; a row that repeats is a record of its own.
+    Empty tables give no rows; a row that repeats is a record of its own, and
+    so is each of several payloads of one page_id. A revisit's figures are
+    those of the response that its header names, by id and payload digest.
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_warc(pages, path)
     records = read_warc(spark, path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    records = materialize(records.select(number("record_id").alias("page_id"), number("refers_to").alias("refers_to"), "kind", "content", "digest"), "read")
+    records = materialize(records.select(number("record_id").alias("page_id"), number("refers_to").alias("refers_to"), "kind", "content", "digest", "payload_digest"), "read")
     own = records.where("kind <> 'revisit'").select("page_id", F.col("content").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    revisits = records.where("kind = 'revisit'").select("page_id", "refers_to")
-    held = own.where("page_id is not null").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to"])
-    back = revisits.join(held, "refers_to").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
+    revisits = records.where("kind = 'revisit'").select("page_id", "refers_to", "payload_digest")
+    keys = ["refers_to", "payload_digest"]
+    held = own.where("page_id is not null").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").dropDuplicates(keys)
+    asked = revisits.groupBy(*keys).agg(F.count("*").alias("copies"))
+    held = materialize(held.join(asked, keys), "revisited")
+    back = join_counted(revisits, held, keys, "copies").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
     return own.unionByName(back)

@@ -43,14 +43,18 @@ WORD_BYTES = {kind: _bytes_of(kind) for kind in ("alnum", "nonspace")}
 _lower = np.arange(256, dtype=np.uint64)
 _lower[0x41:0x5B] += np.uint64(32)
 BYTE_CODE = splitmix(_lower + np.uint64(1 << 32))
-_PLACE = splitmix(np.arange(1 << 12, dtype=np.uint64)) | np.uint64(1)
+#: Places of a word that have a multiplier of their own; further ones are these times one of their round.
+ROUND = 1 << 12
+_PLACE = splitmix(np.arange(ROUND, dtype=np.uint64)) | np.uint64(1)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
 
-def places(n: int) -> np.ndarray:
-    global _PLACE
-    if n > len(_PLACE):
-        _PLACE = splitmix(np.arange(max(n, 2 * len(_PLACE)), dtype=np.uint64)) | np.uint64(1)
-    return _PLACE
+def multipliers(place: np.ndarray, longest: int) -> np.ndarray:
+    """The odd multiplier of each place in a word."""
+    if longest <= ROUND:
+        return _PLACE[place]
+    rounds = place >> 12
+    return _PLACE[place & (ROUND - 1)] * np.where(rounds == 0, np.uint64(1), splitmix(rounds.astype(np.uint64) ^ _LENGTH) | np.uint64(1))
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +80,45 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the n + 1 offsets of the rows among them."""
+    """Hashes of all words in order, and the n + 1 offsets of the rows among them. Long rows are read in pieces, so what is held besides the words does not grow with them."""
+    if len(data) <= 2 * BLOCK_BYTES:
+        return _hashes_of_piece(data, offsets, kind)
+    hashes, rows = [], [0]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        n = 0
+        for h in _row_in_pieces(data[a:b], kind):
+            hashes.append(h)
+            n += len(h)
+        rows.append(rows[-1] + n)
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.array(rows, np.int64)
+
+
+def _row_in_pieces(data: np.ndarray, kind: str) -> Iterator[np.ndarray]:
+    """The words of one long row, piece by piece; a piece ends where a word does, and a word longer than a piece is summed up on its own."""
+    ok, at = WORD_BYTES[kind], 0
+    while at < len(data):
+        end = min(at + BLOCK_BYTES, len(data))
+        if end < len(data):
+            gaps = np.flatnonzero(~ok[data[at:end]])
+            if not len(gaps):
+                total, begin = 0, at
+                while at < len(data):
+                    piece = data[at : at + BLOCK_BYTES]
+                    gaps = np.flatnonzero(~ok[piece])
+                    piece = piece[: gaps[0]] if len(gaps) else piece
+                    place = np.arange(at - begin, at - begin + len(piece))
+                    total = (total + int((BYTE_CODE[piece] * multipliers(place, len(data))).sum(dtype=np.uint64))) & _MASK
+                    at += len(piece)
+                    if len(gaps):
+                        break
+                yield splitmix(np.array([total], np.uint64) + np.array([at - begin], np.uint64) * _LENGTH)
+                continue
+            end = at + int(gaps[-1]) + 1
+        yield _hashes_of_piece(data[at:end], np.array([0, end - at], np.int64), kind)[0]
+        at = end
+
+
+def _hashes_of_piece(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     word = WORD_BYTES[kind][data]
@@ -96,8 +138,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.nd
     first = np.zeros(len(starts), np.int64)
     np.cumsum(lengths[:-1], out=first[1:])
     place = np.arange(len(at)) - np.repeat(first, lengths)
-    codes = BYTE_CODE[data[at]] * places(int(lengths.max()))[place]
-    hashes = np.add.reduceat(codes, first) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    codes = BYTE_CODE[data[at]] * multipliers(place, int(lengths.max()))
+    hashes = np.add.reduceat(codes, first) + lengths.astype(np.uint64) * _LENGTH
     return splitmix(hashes), np.searchsorted(starts, offsets)
 
 

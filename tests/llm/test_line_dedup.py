@@ -42,7 +42,7 @@ def corpus(rng):
 
 def test_matches_brute_force(make_docs, rng):
     rows = corpus(rng)
-    for min_chars, fuzzy_words in ((16, 8), (5, 3)):
+    for min_chars, fuzzy_words in ((1, 8), (16, 8), (5, 3)):
         got = {(r.doc is not None, r.doc or 0, no) for r in line_dedup.repeated_lines(make_docs(rows), min_chars, fuzzy_words).collect() for no in r["lines"]}
         assert got == brute(rows, min_chars, fuzzy_words)
 
@@ -50,7 +50,7 @@ def test_matches_brute_force(make_docs, rng):
 def test_texts_and_columns(make_docs, rng):
     rows = corpus(rng)
     frame = make_docs(rows)
-    gone = brute(rows, 16, 8)
+    gone = brute(rows, 1, 8)
     want = [(d, t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d is not None, d or 0, i) not in gone)) for d, t in rows]
     out = line_dedup.without_repeated_lines(frame)
     assert out.columns == [*frame.columns, "lines_dropped"]
@@ -69,3 +69,43 @@ def test_empty_table(make_docs):
 def test_plan_is_native(make_docs, rng):
     plan = line_dedup.without_repeated_lines(make_docs(corpus(rng)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_short_lines_are_repeated_lines(make_docs):
+    rows = [(1, "OK\n\nyes\n  "), (2, "yes\n\nno\n  "), (3, "OK"), (4, "ok")]
+    out = {r.doc_id: (r.text, r.lines_dropped) for r in line_dedup.without_repeated_lines(make_docs(rows)).collect()}
+    assert out == {1: ("OK\n\nyes\n  ", 0), 2: ("\nno\n  ", 1), 3: ("", 1), 4: ("ok", 0)}
+    assert {r.doc_id for r in line_dedup.drop_repeated_lines(make_docs(rows)).collect()} == {1, 2, 4}
+
+
+def test_long_lines(make_docs, rng):
+    """Variants of lines beyond 64 words come from sums by runs."""
+    for n in (63, 64, 65, 66, 100, 257):
+        base = words_of(rng, n, 10**6)
+        rows = [(1, " ".join(base))]
+        rows += [(10 + i, " ".join([*base[:at], *base[at + 1 :]])) for i, at in enumerate((0, n // 2, n - 1))]
+        rows += [(20 + i, " ".join([*base[:at], "put", *base[at:]])) for i, at in enumerate((0, n // 3, n))]
+        rows += [(30 + i, " ".join([*base[:at], "other", *base[at + 1 :]])) for i, at in enumerate((0, n // 5, n - 1))]
+        rows += [(40, " ".join(reversed(base)))]
+        got = {(True, r.doc, no) for r in line_dedup.repeated_lines(make_docs(rows)).collect() for no in r["lines"]}
+        assert got == brute(rows, 1, 8) and len(got) == 9
+
+
+def test_many_lines_of_one_document(make_docs):
+    n = 30_000
+    rows = [(1, "\n".join(f"line {i} here" for i in range(n))), (2, "\n".join(f"line {i} here" if i % 2 else f"own {i}" for i in range(n)))]
+    out = {r.doc_id: r for r in line_dedup.without_repeated_lines(make_docs(rows)).collect()}
+    assert out[1].lines_dropped == 0 and out[2].lines_dropped == n // 2
+    assert out[2].text == "\n".join(f"own {i}" for i in range(0, n, 2))
+
+
+def test_clashing_columns(make_docs):
+    from pyspark.sql import functions as F
+
+    names = ("gone_doc", "gone_lines", "lines_dropped", "all_lines", "doc", "line", "line_no", "lines")
+    docs = make_docs([(1, "a line"), (2, "a line\nmore")]).select("*", *[F.lit("mine").alias(c) for c in names])
+    out = line_dedup.without_repeated_lines(docs)
+    assert out.columns == [*docs.columns, "_lines_dropped"]
+    assert {r.doc_id: (r.text, r._lines_dropped) for r in out.collect()} == {1: ("a line", 0), 2: ("more", 1)}
+    kept = line_dedup.drop_repeated_lines(docs)
+    assert kept.columns == docs.columns and {r.doc_id: r.gone_doc for r in kept.collect()} == {1: "mine", 2: "mine"}

@@ -12,7 +12,7 @@ def test_stages_in_order_and_columns(spark, sf):
         line_dedup.drop_repeated_lines,
         lambda d: near_dup.drop_near_duplicates(d, k=5),
         lambda d: decontaminate.drop_contaminated(d, benchmark),
-        mixing.mix_documents,
+        mixing.mix_corpus,
     ]
     for (name, stage), plain in zip(corpus_pipeline.STAGES, want, strict=True):
         out = materialize(stage(spark, docs, sf), "stage")
@@ -21,6 +21,7 @@ def test_stages_in_order_and_columns(spark, sf):
         if name != "source mixing":
             assert out.columns == columns and dict(out.dtypes) == dict(docs.dtypes)
         docs = out
+    assert docs.columns == [*columns, "size", "source_size", "target", "taken"]
     assert seen == sorted(seen, reverse=True) and seen[-1] == seen[-2] > 0
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
 

@@ -11,7 +11,7 @@ SCHEMA = "page_id long, url string, html string, file string, digest string"
 
 def brute(rows, least):
     by = {}
-    for i, _, h in rows:
+    for i, _, h in ((i, u, h) for i, u, h in rows if i is not None):
         if len((h or "").encode()) >= least:
             by.setdefault(h or "", []).append(i)
     out = []
@@ -76,3 +76,35 @@ def test_repeated_rows_and_empty_table(spark):
     got = warc.archived_pages(spark.createDataFrame([(*r, "f", "d") for r in rows], SCHEMA)).collect()
     assert [(r.page_id, r.record_type) for r in got] == [(1, "response")] * 2
     assert warc.archived_pages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_payloads(spark):
+    rows = [(1, "u", "A"), (1, "u", "B"), (2, "u", "A"), (2, "u", "C"), (3, "u", "C"), (3, "u", "B"), (3, "u", None), (1, "u", "")]
+    got = warc.archived_pages(spark.createDataFrame([(*r, "f", "d") for r in rows], SCHEMA).repartition(3)).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == sorted(brute(rows, 0), key=str)
+
+
+def test_one_payload_on_most_pages(spark, monkeypatch):
+    from parcelforge.llm import tables
+
+    monkeypatch.setattr(tables, "HOT_ROWS", 50)
+    rows = [(i, "u", "popular") for i in range(300)] + [(300 + i, "u", f"own {i // 2}") for i in range(100)]
+    got = warc.archived_pages(spark.createDataFrame([(*r, "f", "d") for r in rows], SCHEMA).repartition(4)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == brute(rows, 0)
+
+
+def test_other_archives_are_read(spark, tmp_path):
+    """Records of version 1.0 and 1.1, warcinfo among them, one of them in gzip members."""
+    import gzip
+
+    def record(version, kind, name, block):
+        head = f"WARC/{version}\r\nWARC-Type: {kind}\r\nwarc-record-id: <urn:{name}>\r\nWARC-Target-URI: http://x/{name}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    records = [record("1.0", "warcinfo", "a", b"software: x\r\n"), record("1.1", "response", "b", b"HTTP/1.1 200 OK\r\n\r\nWARC/1.0\r\n"), record("1.0", "response", "c", b"")]
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    want = [("<urn:a>", "warcinfo", b"software: x\r\n"), ("<urn:b>", "response", b"HTTP/1.1 200 OK\r\n\r\nWARC/1.0\r\n"), ("<urn:c>", "response", b"")]
+    want = [(i, k, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode()) for i, k, b in want]
+    assert sorted((r.record_id, r.kind, r.content, r.digest) for r in got) == sorted(want * 2)
