@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parcelforge.functions import validators as v
+from parcelforge.functions.labels import after_label, before_label, holds
 from parcelforge.functions.parsers import birth_years, identity_numbers
 from parcelforge.functions.text import clean_person_name, clean_text, digits_only, fold_accents
 from parcelforge.functions.validators import let
@@ -92,7 +95,7 @@ def parse_owner(lines: Column) -> Column:
             F.when(second.isNotNull(), F.get(years, F.lit(1))).alias("ngay_sinh_chu_2"),
             v.clean_address(F.get(p["homes"], F.lit(0))).alias("dia_chi_thuong_tru"),
             F.when(F.size(p["homes"]) > 1, v.clean_address(F.get(p["homes"], F.lit(1)))).alias("dia_chi_thuong_tru_chu_2"),
-            owner_type(F.coalesce(p["organisation"], F.get(p["people"], F.lit(0))), F.size(p["heirs"])).alias("loai_chu"),
+            owner_type(F.coalesce(p["organisation"], F.get(p["people"], F.lit(0))), F.size(p["heirs"]), lines, second).alias("loai_chu"),
             p["heirs"].alias("dong_thua_ke"),
         )
 
@@ -156,7 +159,51 @@ def parse_certification(lines: Column) -> Column:
     )
 
 
-def should_retry_rotated(detected: Column, confidence: Column, read: Column, read_confidence: Column, likeness: Column) -> Column:
-    """Whether a crop is worth a second, rotated reading: a sure detection against a weak or conflicting one."""
-    empty = F.coalesce(F.trim(read) == "", F.lit(True))
-    return (F.trim(detected) != "") & (confidence >= 0.75) & (read_confidence < 0.75) & (empty | ((confidence >= read_confidence + 0.12) & (likeness < 0.58)))
+
+#: Labels of a parcel's fields, accent-free, which end the field before them.
+PARCEL_FIELDS = {
+    "so_thua": ("thua dat so", "thua so"), "to_ban_do": ("to ban do so", "to so"), "ty_le": ("ty le",), "dia_chi": ("dia chi thua dat", "dia chi"), "dien_tich_cap": ("dien tich cap", "dien tich"), "dien_tich_bang_chu": ("bang chu",),
+    "hinh_thuc_su_dung": ("hinh thuc su dung",), "muc_dich_su_dung": ("muc dich su dung", "loai dat"), "thoi_han": ("thoi han su dung", "thoi han"), "nguon_goc": ("nguon goc su dung", "nguon goc"),
+}
+
+
+def labelled(lines: Column, label: Sequence[str], others: Sequence[str]) -> Column:
+    """What follows a label in its line, up to the next label, or the line below where nothing does; null without either."""
+    ends = tuple(x for x in others if x not in label)
+    beside = F.transform(lines, lambda x: F.when(holds(x, label), F.trim(F.regexp_replace(before_label(after_label(x, label, anywhere=True), ends), r"[\s,;:.\-]+$", ""))))
+
+    def found(values: Column) -> Column:
+        below = F.transform(lines, lambda x, i: F.when((i > 0) & (F.get(values, i - 1) == "") & ~holds(x, (*label, *ends)), F.trim(x)))
+        return F.coalesce(_first(values), _first(below))
+
+    return let(beside, found)
+
+
+def parse_parcel(lines: Column) -> Column:
+    """so_thua, to_ban_do, ty_le, dia_chi, dien_tich_cap, dien_tich_bang_chu, hinh_thuc_su_dung, muc_dich_su_dung, ma_muc_dich, thoi_han and nguon_goc of a single parcel's page; values that validators refuse are null."""
+    every = tuple(x for labels in PARCEL_FIELDS.values() for x in labels)
+    raw = F.struct(*[labelled(lines, labels, every).alias(c) for c, labels in PARCEL_FIELDS.items()])
+    ok = lambda check: F.when(check["ok"], check["value"])
+
+    def judged(r: Column) -> Column:
+        checks = F.struct(v.v_parcel(r["so_thua"]).alias("parcel"), v.v_map_sheet(r["to_ban_do"]).alias("sheet"), v.v_scale(r["ty_le"]).alias("scale"), v.v_area(F.regexp_extract(r["dien_tich_cap"], r"([\d.,]+)", 1)).alias("area"), v.v_purpose(r["muc_dich_su_dung"]).alias("use"), v.v_term(r["thoi_han"]).alias("term"), v.v_origin(r["nguon_goc"]).alias("origin"))
+        return let(checks, lambda c: F.struct(
+            ok(c["parcel"]).alias("so_thua"), ok(c["sheet"]).alias("to_ban_do"), ok(c["scale"]).alias("ty_le"), v.clean_address(r["dia_chi"]).alias("dia_chi"), ok(c["area"]).alias("dien_tich_cap"), r["dien_tich_bang_chu"].alias("dien_tich_bang_chu"), r["hinh_thuc_su_dung"].alias("hinh_thuc_su_dung"),
+            F.coalesce(ok(c["use"]), r["muc_dich_su_dung"]).alias("muc_dich_su_dung"), F.when(c["use"]["ok"], c["use"]["code"]).alias("ma_muc_dich"), ok(c["term"]).alias("thoi_han"), ok(c["origin"]).alias("nguon_goc"),
+        ))
+
+    return let(raw, judged)
+
+
+def title_name(name: Column) -> Column:
+    """A name with its title in one spelling (``Ông: ``, ``Bà: ``, ``Hộ ông: ``, ``Hộ bà: ``) and its words capitalised; a name without a title has none."""
+    titles = ("ông", "bà", "ong", "ba", "hộ gia đình ông", "hộ gia đình bà", "hộ ông", "hộ bà", "và ông", "và bà", "vợ là bà", "chồng là ông")
+
+    def read(t: Column) -> Column:
+        bare = after_label(t, titles, folded=False)
+        lead = fold_accents(F.substring(t, F.lit(1), F.length(t) - F.length(bare)))
+        who = F.when(lead.contains("ong"), "ông: ").otherwise("bà: ")
+        title = F.when(F.trim(lead) == "", "").when(lead.rlike(r"^ho\b"), F.concat(F.lit("Hộ "), who)).otherwise(F.initcap(who))
+        return F.concat(title, F.initcap(bare))
+
+    return let(clean_text(name), read)

@@ -11,18 +11,19 @@ from pyspark.sql import types as T
 
 from parcelforge.functions import validators as v
 from parcelforge.functions.fuzzy import words_to_number_vi
-from parcelforge.functions.text import clean_text, digits_only, fold_accents
+from parcelforge.functions.text import clean_text, contains_any, digits_only, fold_accents
 from parcelforge.functions.validators import let
 
 # ---------------------------------------------------------------- fixed values
-BARCODE_VETO = ("cmnd", "cccd", "dien thoai", "ngay", "thua", "to ban do", "ho so", "quyet dinh")
 CARD_LABELS = ("ho va ten", "ho chu dem va ten", "ho, chu dem va ten", "full name", "ho ten", "khai sinh")
 CARD_WORDS = "can cuoc|cong dan|cong hoa|xa hoi|chu nghia|doc lap|identity|card|citizen|socialist|republic|viet nam|ngay sinh|date of birth|gioi tinh|que quan|noi thuong tru"
 ORIENTATION_HEADS = ("CONG HOA XA HOI CHU NGHIA VIET NAM", "DOC LAP - TU DO - HANH PHUC", "GIAY CHUNG NHAN")
-# Accent-free wording and land use code, in order of precedence.
+# Wording of towns and of the country, places of either, and keywords of a use with its code, in order of precedence.
+URBAN, RURAL = ("đô thị", "do thi"), ("nông thôn", "nong thon")
+URBAN_PLACES, RURAL_PLACES = ("quận", "quan", "phường", "phuong", "thị trấn"), ("huyện", "xã")
 PURPOSE_CODES = (
-    ("do thi", "ODT"), ("nong thon", "ONT"), (r"\blua\b", "LUC"), (r"cay lau nam|vuon", "CLN"), (r"cay hang nam|hoa mau", "HNK"), ("thuy san|ao", "NTS"), ("rung san xuat", "RSX"), ("rung phong ho", "RPH"),
-    ("san xuat kinh doanh|phi nong nghiep", "SKC"), ("thuong mai|dich vu", "TMD"), ("nghia trang|ton giao|tin nguong", "PNN"),
+    (("nha o",), "ONT"), (("lau nam",), "CLN"), (("hang nam",), "HNK"), (("thuy san",), "NTS"), (("lua",), "LUC"), (("rung san xuat",), "RSX"), (("rung phong ho",), "RPH"),
+    (("san xuat kinh doanh",), "SKC"), (("thuong mai",), "TMD"), (("phi nong nghiep",), "PNN"),
 )
 # ---------------------------------------------------------------- end of fixed values
 
@@ -186,13 +187,27 @@ def prune_border(text: Column, labels: str | None = None, unit: bool = False) ->
 
 
 def map_purpose(code: Column, wording: Column) -> Column:
-    """A land use code: urban or rural wording, a valid code, then the wording's keywords; '' if nothing tells."""
-    folded = fold_accents(F.coalesce(wording, F.lit("")))
-    given = v.v_land_code(code)
-    out = F.when(folded.rlike(r"\bo\b.*do thi"), "ODT").when(folded.rlike(r"\bo\b.*nong thon"), "ONT").when(F.upper(F.trim(code)) == "LUA", "LUC").when(given["ok"], given["value"])
-    for pattern, k in PURPOSE_CODES:
-        out = out.when(folded.rlike(pattern), k)
-    return out.otherwise("")
+    """A land use code from a code and the purpose's wording, each standing in for the other where it is blank; '' if nothing tells.
+
+    Urban or rural wording decides before the code does; a valid code is taken,
+    of a joined urban and rural one what the places in the wording say, else
+    the urban one; then the purposes of the wording, then its keywords.
+    """
+    own = F.coalesce(F.nullif(F.trim(code), F.lit("")), F.trim(wording), F.lit(""))
+    said = F.coalesce(F.nullif(F.trim(wording), F.lit("")), own)
+
+    def decide(x: Column) -> Column:
+        low, folded = F.lower(x["said"]), fold_accents(x["said"])
+        given, told = v.v_land_code(x["own"]), v.v_purpose(x["own"])
+        both = given["value"].contains("ONT") & given["value"].contains("ODT")
+        out = F.when(x["own"] == "", "").when(contains_any(low, URBAN), "ODT").when(contains_any(low, RURAL), "ONT").when(F.upper(x["own"]) == "LUA", "LUC")
+        out = out.when(given["ok"] & both & contains_any(low, URBAN_PLACES), "ODT").when(given["ok"] & both & contains_any(low, RURAL_PLACES), "ONT").when(given["ok"] & both, "ODT")
+        out = out.when(given["ok"], given["value"]).when(told["ok"], told["code"])
+        for words, k in PURPOSE_CODES:
+            out = out.when(contains_any(folded, words), k)
+        return out.otherwise("")
+
+    return let(F.struct(own.alias("own"), said.alias("said")), decide)
 
 
 def upside_down(tops: Sequence[Column] | Column, height: Column) -> Column:

@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 PLACEHOLDERS = ("", "-", "none", "null", "nan", "n/a", "na", "không rõ")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; else each use of a long expression is planned and computed anew."""
+    return F.transform(F.array(value), body)[0]
+
+
 @F.pandas_udf(T.StringType())
 def normalise_nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")

@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.functions import validators as v
-from parcelforge.functions.fuzzy import sequence_ratio
-from parcelforge.functions.text import comparable_text, digits_only, fold_accents, nullify_placeholder
-
-#: The fields of a certificate, in their order.
-FIELDS = (
-    "so_phat_hanh", "so_vao_so", "ma_vach", "ho_ten_chu_1", "cccd_chu_1", "nam_sinh_chu_1", "ho_ten_chu_2", "cccd_chu_2", "nam_sinh_chu_2", "dia_chi_thuong_tru", "loai_chu",
-    "so_thua", "to_ban_do", "dia_chi_thua", "dien_tich_cap", "dien_tich_rieng", "dien_tich_chung", "dien_tich_chu", "muc_dich_su_dung", "ma_muc_dich", "thoi_han_su_dung",
-    "hinh_thuc_su_dung", "nguon_goc_su_dung", "noi_cap", "ngay_cap", "nguoi_ky_qd", "chuc_vu_nguoi_ky", "ty_le_ban_do", "thong_tin_bien_dong",
-)
-
-#: The validator of each field that has one.
-CHECKS = {
-    "so_phat_hanh": v.v_serial, "so_vao_so": v.v_registry, "ma_vach": v.v_barcode, "ho_ten_chu_1": v.v_person, "cccd_chu_1": v.v_identity, "nam_sinh_chu_1": v.v_birth_year,
-    "ho_ten_chu_2": v.v_person, "cccd_chu_2": v.v_identity, "nam_sinh_chu_2": v.v_birth_year, "dia_chi_thuong_tru": v.v_address, "so_thua": v.v_parcel, "to_ban_do": v.v_map_sheet,
-    "dia_chi_thua": v.v_address, "dien_tich_cap": v.v_area, "ma_muc_dich": v.v_land_code, "noi_cap": v.v_authority, "ngay_cap": v.v_date, "chuc_vu_nguoi_ky": v.v_signer_role, "ty_le_ban_do": v.v_scale,
-}
-#: Which pages are read first for a field: the owner page, the parcel page, or the order of the document.
-PREFERRED = {f: ("parcel", "owner") for f in ("so_thua", "to_ban_do", "ty_le_ban_do", "dia_chi_thua", "dien_tich_cap", "dien_tich_rieng", "dien_tich_chung", "dien_tich_chu", "muc_dich_su_dung", "ma_muc_dich", "thoi_han_su_dung", "hinh_thuc_su_dung", "nguon_goc_su_dung", "so_vao_so", "noi_cap", "ngay_cap", "nguoi_ky_qd", "chuc_vu_nguoi_ky")} | {f: ("owner",) for f in ("ho_ten_chu_1", "cccd_chu_1", "nam_sinh_chu_1", "ho_ten_chu_2", "cccd_chu_2", "nam_sinh_chu_2", "dia_chi_thuong_tru")}
+from parcelforge.functions.text import contains_any, digits_only, fold_accents, nullify_placeholder
+
+#: Words that tell a household, an organisation and a community, in this order, those of a couple, and the lines of a page that are read for them.
+OWNER_WORDS = (
+    ("ho_gia_dinh", ("hộ gia đình", "hộ ông", "hộ bà", "hộ:", "hộ ")),
+    ("to_chuc", ("công ty", "tnhh", "cổ phần", "doanh nghiệp", "ubnd", "ủy ban", "hợp tác xã", "ban quản lý")),
+    ("cong_dong", ("cộng đồng", "tôn giáo", "chùa", "nhà thờ", "đền", "đình", "giáo họ")),
+)
+COUPLE_WORDS = ("vợ là", "chồng là", "và bà", "và ông", "và vợ", "và chồng")
+OWNER_LINES = 15
 
 
 def longer_wins(current: Column, other: Column) -> Column:
@@ -43,28 +34,6 @@ def best_candidate(value: Column, scores: Sequence[Column], order: Column) -> Co
     return F.max_by(value, F.struct(*scores, (-order).alias("_first")))
 
 
-def score_parcel_page() -> Column:
-    """How much a page (text, has_list, total_parcels, has_area) is the parcel page."""
-    folded = fold_accents(F.col("text"))
-    headers = sum((folded.contains(h).cast("int") * 2 for h in ("thua dat so", "to ban do", "muc dich su dung", "thoi han")), F.lit(0))
-    changes = folded.contains("noi dung thay doi").cast("int") * -10
-    return F.when(~F.col("has_list"), -100).otherwise(F.coalesce(F.when(F.col("total_parcels") > 0, 8), F.lit(0)) + headers + changes + F.col("has_area").cast("int"))
-
-
-def page_roles(pages: DataFrame) -> DataFrame:
-    """doc_id with its owner page (the first that names a valid owner, else the first) and its parcel page (the best scored, else the first after the owner page, else the owner page). ``pages`` has doc_id, page_index, text, owner_name, has_list, total_parcels, has_area, n_rows."""
-    valid = v.v_person(F.col("owner_name"))["ok"]
-    out = pages.groupBy("doc_id").agg(
-        F.min(F.when(valid, F.col("page_index"))).alias("named"),
-        F.min("page_index").alias("first"),
-        F.max_by("page_index", F.when(F.col("has_list"), F.struct(score_parcel_page().alias("s"), "n_rows", (-F.col("page_index")).alias("p")))).alias("parcels"),
-        F.sort_array(F.collect_set("page_index")).alias("all"),
-    )
-    owner = F.coalesce("named", "first")
-    after = F.filter("all", lambda p: p > owner)
-    return out.select("doc_id", owner.alias("owner_page"), F.coalesce(F.col("parcels"), F.get(after, F.lit(0)), owner).alias("parcel_page"))
-
-
 def first_non_empty(values: DataFrame, document: Sequence[str], field: str, value: str, rank: Sequence[Column]) -> DataFrame:
     """Each document's and field's first value in the order of ``rank`` that is no placeholder nor ``0``."""
     good = nullify_placeholder(F.col(value)).isNotNull() & (F.trim(value) != "0")
@@ -85,74 +54,6 @@ def field_result(raw: Column, check: Column, confidence: Column) -> Column:
     )
 
 
-def merge_fields(readings: DataFrame, roles: DataFrame, default_confidence: float = 0.9) -> DataFrame:
-    """doc_id, field_key, page_index and the field's result, from readings (doc_id, page_index, field_key, value, confidence) and page roles.
-
-    Preferred pages come first by the field, then the others in order. The
-    serial prefers valid readings, those of the first two pages, and the surest.
-    """
-    preferred = F.create_map(*[F.lit(x) for k, roles_ in PREFERRED.items() for x in (k, "+".join(roles_))])
-    by = F.coalesce(preferred[F.col("field_key")], F.lit(""))
-    at = F.when(by.startswith("parcel") & (F.col("page_index") == F.col("parcel_page")), 0).when(by.contains("owner") & (F.col("page_index") == F.col("owner_page")), 1).otherwise(2)
-    checked = functools.reduce(lambda c, f: c.when(F.col("field_key") == f, CHECKS[f](F.col("value"))), CHECKS, F.when(F.lit(False), F.struct(F.lit(True).alias("ok"), F.lit("").alias("value"), F.lit("").alias("reason"))))
-    plain = F.struct(F.lit(True).alias("ok"), F.col("value").alias("value"), F.lit(None).cast("string").alias("reason"))
-    rows = readings.join(roles, "doc_id").withColumns({"check": F.coalesce(checked, plain), "confidence": F.coalesce("confidence", F.lit(default_confidence))})
-    serial = F.col("field_key") == "so_phat_hanh"
-    priority = F.when(serial & ~F.col("check.ok"), 1000).when(serial, F.when(F.col("page_index") < 2, 10).otherwise(30)).otherwise(at)
-    surest = F.when(serial, -F.col("confidence")).otherwise(F.lit(0.0))
-    best = first_non_empty(rows.select("doc_id", "field_key", "page_index", "value", "confidence", "check", priority.alias("_p"), surest.alias("_s")), ["doc_id"], "field_key", "value", [F.col("_p"), F.col("_s"), F.col("page_index")])
-    return best.select("doc_id", "field_key", "page_index", field_result(F.col("value"), F.col("check"), F.col("confidence")).alias("result"))
-
-
-def wide_document(merged: DataFrame) -> DataFrame:
-    """One row per document: a struct column for each field, in order, and ``can_review``, the sorted fields that need it."""
-    cells = [F.max(F.when(F.col("field_key") == f, F.col("result"))).alias(f) for f in FIELDS]
-    review = F.array_sort(F.collect_set(F.when(F.col("result.status") == "review_required", F.col("field_key")))).alias("can_review")
-    return merged.groupBy("doc_id").agg(*cells, review)
-
-
-def select_reading(barcode: Column, p: Column, pc: Column, w: Column, wc: Column) -> Column:
-    """text, confidence, side (p or v) and reason of the better of two engines' readings: the detector's p and the recogniser's w, with confidences.
-
-    The first rule that holds decides; numbers go to the surer side, barcodes to
-    a full code, identity numbers to the side that has one, and other texts by
-    likeness and confidence.
-    """
-    number = r"^\s*\d+([.,]\d+)?\s*$"
-    key = r"(?iu)\d{9,15}|\b[A-Z]{2}\s?\d{6,8}\b|cmnd|cccd|căn cước|năm sinh|sinh năm"
-    p, w = F.coalesce(p, F.lit("")), F.coalesce(w, F.lit(""))
-    empty = lambda t: F.trim(t) == ""
-    like = F.col("_like")
-    rules = [
-        (~barcode & p.rlike(number) & (~w.rlike(number) | (pc >= wc)), "p", "numeric_highest_confidence"),
-        (~barcode & (p.rlike(number) | w.rlike(number)), "v", "numeric_highest_confidence"),
-        (barcode & F.length(digits_only(w)).between(13, 15) & (wc >= 0.6), "v", "barcode_vietocr"),
-        (barcode, "p", "barcode_paddle"),
-        (p.rlike(key) & ~w.rlike(key) & (pc >= 0.75), "p", "identity_paddle_only"),
-        (empty(p), "v", "vietocr_only"),
-        (empty(w) | (wc < 0.5), "p", "vietocr_low_confidence"),
-        (like >= 0.7, "v", "vietocr_text_agrees_with_paddle"),
-        (~p.rlike(r"\d") & ~w.rlike(r"\d") & (like >= 0.58) & (wc >= 0.48), "v", "vietocr_pure_text_priority"),
-        ((wc >= 0.7) & (wc + 0.12 >= pc), "v", "vietocr_strong_text"),
-        ((pc >= wc + 0.18) & (like < 0.55), "p", "paddle_stronger_disagreement"),
-        ((wc >= 0.58) & (like >= 0.55), "v", "vietocr_text_priority"),
-        (F.lit(True), "p", "paddle_fallback"),
-    ]
-    out = None
-    for when, side, reason in rules:
-        row = F.struct((p if side == "p" else w).alias("text"), (pc if side == "p" else wc).alias("confidence"), F.lit(side).alias("side"), F.lit(reason).alias("reason"))
-        out = F.when(when, row) if out is None else out.when(when, row)
-    return out
-
-
-def select_readings(tokens: DataFrame) -> DataFrame:
-    """``tokens`` (is_barcode_box, p_text, p_conf, v_text, v_conf) with ``selected``."""
-    like = sequence_ratio(comparable_text(F.coalesce("p_text", F.lit(""))), comparable_text(F.coalesce("v_text", F.lit("")))) / 100
-    out = tokens.withColumn("_like", like)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return out.withColumn("selected", select_reading(F.coalesce("is_barcode_box", F.lit(False)), F.col("p_text"), zero("p_conf"), F.col("v_text"), zero("v_conf"))).drop("_like")
-
-
 def serial_from_name(name: Column) -> Column:
     """Two letters and six digits of a file name, not part of a longer run; null if there are none."""
     shape = r"(?<![A-Z0-9])([A-Z]{2})[ _\-.]?([0-9]{6})(?![A-Z0-9])"
@@ -200,16 +101,17 @@ def birth_from_identity(number: Column) -> Column:
     return F.when((F.length(d) == 12) & century.isin("0", "1"), F.concat(F.lit("19"), F.substring(d, 5, 2))).when((F.length(d) == 12) & century.isin("2", "3"), F.concat(F.lit("20"), F.substring(d, 5, 2)))
 
 
-def owner_type(name: Column, n_heirs: Column) -> Column:
-    folded = fold_accents(F.coalesce(name, F.lit("")))
-    return (
-        F.when(n_heirs > 0, "dong_thua_ke")
-        .when(folded.rlike(r"^ho (ong|ba|gia dinh)"), "ho_gia_dinh")
-        .when(folded.rlike(r"\b(cong ty|hop tac xa|doanh nghiep|tap doan|truong|benh vien|uy ban)\b"), "to_chuc")
-        .when(folded.rlike(r"\b(cong dong|thon|nha tho|chua|dinh lang)\b"), "cong_dong")
-        .when(folded.rlike(r"\bva (vo|chong)\b"), "vo_chong")
-        .otherwise("ca_nhan")
-    )
+def owner_type(name: Column, n_heirs: Column, lines: Column | None = None, spouse: Column | None = None) -> Column:
+    """What an owner is, the first that holds: heirs together, a household, an organisation, a community, a couple, a person. Households, organisations and communities are told by the name or by the first fifteen lines of the page."""
+    own = F.lower(F.coalesce(name, F.lit("")))
+    page = F.concat_ws(" ", own, F.lower(F.array_join(F.slice(lines, 1, OWNER_LINES), " "))) if lines is not None else own
+    couple = contains_any(own, COUPLE_WORDS)
+    if spouse is not None:
+        couple = couple | (F.coalesce(F.trim(spouse), F.lit("")) != "")
+    out = F.when(n_heirs > 0, "dong_thua_ke")
+    for kind, words in OWNER_WORDS:
+        out = out.when(contains_any(F.concat(page, F.lit(" ")), words), kind)
+    return out.when(couple, "vo_chong").otherwise("ca_nhan")
 
 
 def endorsement_type(text: Column) -> Column:
@@ -235,3 +137,45 @@ def fallback_changes(changes: Column) -> Column:
     other = F.regexp_extract(F.array_join(F.reverse(changes), "\n"), r"\b(\d{12})\b", 1)
     blank = lambda c: F.nullif(c, F.lit(""))
     return F.struct(blank(sheet).alias("sheet"), last["name"].alias("owner"), F.when(last.isNotNull(), blank(own)).otherwise(blank(other)).alias("identity"))
+
+
+def pair_status_counts(pairs: DataFrame) -> DataFrame:
+    """One row: pairs by status (both, gcn_only, gt_only) and all of them."""
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return pairs.agg(of("both"), of("gcn_only"), of("gt_only"), F.count("*").alias("pairs"))
+
+
+def audit_status_counts(audits: DataFrame) -> DataFrame:
+    """One row: audited crops by status."""
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return audits.agg(of("supported"), of("review_required"), of("not_available"))
+
+
+#: Labels that stand for a name where the reading is none, accent-free.
+NAME_LABELS = ("ho ten", "ho va ten", "nguoi su dung dat", "chu so huu", "ten nguoi su dung")
+
+
+def enrich_owner_from_card(documents: DataFrame, cards: DataFrame) -> DataFrame:
+    """Documents (doc_id, ho_ten_chu_1, cccd_chu_1, nam_sinh_chu_1, gioi_tinh, dia_chi_thuong_tru) with what an identity card says: its number, birth and sex always, its name where the document has none or a label's words, its address where it is longer.
+
+    ``cards`` has doc_id and so_cccd, ho_ten, ngay_sinh, gioi_tinh,
+    noi_thuong_tru; of several cards of a document the one with the smallest
+    number counts. ``enriched`` lists the fields that the card gave.
+    """
+    names = ("so_cccd", "ho_ten", "ngay_sinh", "gioi_tinh", "noi_thuong_tru")
+    one = cards.groupBy("doc_id").agg(F.min_by(F.struct(*[nullify_placeholder(F.col(c)).alias(c) for c in names]), F.struct(F.col("so_cccd").isNull(), "so_cccd")).alias("_card"))
+    out = documents.join(one, "doc_id", "left")
+    card = lambda c: F.col(f"_card.{c}")
+    have = set(documents.columns)
+    own = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    label = contains_any(fold_accents(F.coalesce(own("ho_ten_chu_1"), F.lit(""))), NAME_LABELS)
+    new = {
+        "cccd_chu_1": F.coalesce(card("so_cccd"), own("cccd_chu_1")),
+        "nam_sinh_chu_1": F.coalesce(card("ngay_sinh"), own("nam_sinh_chu_1")),
+        "gioi_tinh": F.coalesce(card("gioi_tinh"), own("gioi_tinh")),
+        "ho_ten_chu_1": F.when(nullify_placeholder(own("ho_ten_chu_1")).isNull() | label, F.coalesce(card("ho_ten"), own("ho_ten_chu_1"))).otherwise(own("ho_ten_chu_1")),
+        "dia_chi_thuong_tru": longer_wins(nullify_placeholder(own("dia_chi_thuong_tru")), card("noi_thuong_tru")),
+    }
+    gave = F.array_compact(F.array(*[F.when(~x.eqNullSafe(own(c)), F.lit(c)) for c, x in new.items()]))
+    out = out.withColumn("enriched", gave)
+    return out.select(*[(new[c].alias(c) if c in new else F.col(c)) for c in [*documents.columns, *[c for c in new if c not in have]]], "enriched")

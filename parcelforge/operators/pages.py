@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelforge.functions.text import fold_accents
+from parcelforge.functions.text import contains_any, fold_accents
 
 # ---------------------------------------------------------------- fixed values
 # Accent-free keywords of the certificate templates, upper case.
@@ -27,8 +27,25 @@ TEMPLATE_KEYWORDS = {
         "BO TAI NGUYEN VA MOI TRUONG", "TRANG BO SUNG GIAY CHUNG NHAN", "C) DIEN TICH", "D) MUC DICH", "E) THOI HAN", "G) NGUON GOC",
     ),
 }
-CERTIFICATE = "giay chung nhan|quyen su dung dat|nguoi su dung dat|thua dat|so do thua dat|nhung thay doi"
-APPLICATION = "don dang ky|don de nghi|giay tiep nhan|phieu tiep nhan|giay hen"
+# Words of a certificate's pages and of papers that are none, as they are written.
+CERTIFICATE = (
+    "giấy chứng nhận", "quyền sử dụng đất", "thửa đất số", "sơ đồ thửa đất", "trang bổ sung giấy chứng nhận", "i. người sử dụng", "ii. thửa đất", "iv. những thay đổi",
+    "chủ sở hữu nhà", "bằng chữ:", "bằng chữ :", "diện tích:", "diện tích :",
+)
+OTHER_PAPERS = (
+    "đơn đăng ký", "đơn đề nghị cấp", "biên lai thu", "thông báo nộp tiền", "tờ khai lệ phí", "mảnh trích đo địa chính", "hợp đồng chuyển nhượng", "văn bản công chứng",
+)
+# Words that tell what a page is for; a cover shows none of the last list.
+CHANGES_PAGE = ("trang bổ sung", "trang bo sung", "những thay đổi sau khi cấp", "nhung thay doi sau khi cap", "chuyển nhượng cho", "chuyen nhuong cho")
+COVER_PAGE = (
+    "người sử dụng đất, chủ sở hữu", "nguoi su dung dat, chu so huu", "người sử dụng đất", "nguoi su dung dat", "i. người sử dụng", "i- người sử dụng", "cộng hòa xã hội chủ nghĩa việt nam",
+    "giấy chứng nhận quyền sử dụng đất",
+)
+CONTENT_PAGE = (
+    "ii. thửa đất", "ii- thửa đất", "1. thửa đất", "thửa đất số", "thua dat so", "tờ bản đồ số", "to ban do so", "diện tích:", "dien tich:", "nguồn gốc sử dụng", "nguon goc su dung",
+)
+DIAGRAM_PAGE = ("iii. sơ đồ thửa đất", "iii- sơ đồ", "sơ đồ thửa đất", "so do thua dat", "tọa độ đỉnh", "chiều dài cạnh")
+NO_COVER = ("ii. thửa đất", "1. thửa đất", "thửa đất số:")
 REGISTRATION_ANCHOR = ("dang", "ky", "dat", "dai", "tai", "san", "khac", "gan", "lien")
 # ---------------------------------------------------------------- end of fixed values
 
@@ -63,12 +80,17 @@ def main_template(pages: DataFrame) -> DataFrame:
 
 
 def page_role(text: Column, template: Column) -> Column:
-    """changes, cover_and_content (template A), cover, content or diagram of a page's text."""
-    f = fold_accents(text)
-    changes = f.rlike("nhung thay doi sau khi cap|noi dung thay doi va co so phap ly|trang bo sung")
-    cover = f.rlike("giay chung nhan") & f.rlike("cong hoa xa hoi|nguoi su dung dat")
-    content = f.rlike("thua dat so|muc dich su dung|dien tich|thoi han su dung")
-    return F.when(changes, "changes").when(template.eqNullSafe("mau_A") & cover & content, "cover_and_content").when(cover, "cover").when(content, "content").when(is_diagram(text), "diagram").otherwise("content")
+    """What a page is for by its text: unknown without any, changes, cover_and_content (all other pages of template A), cover, content or diagram; content where nothing tells."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    content = contains_any(low, CONTENT_PAGE)
+    return (
+        F.when(F.trim(low) == "", "unknown")
+        .when(contains_any(low, CHANGES_PAGE), "changes")
+        .when(template.eqNullSafe("mau_A"), "cover_and_content")
+        .when(contains_any(low, COVER_PAGE) & ~contains_any(low, NO_COVER), "cover")
+        .when(~content & contains_any(low, DIAGRAM_PAGE), "diagram")
+        .otherwise("content")
+    )
 
 
 def is_diagram(text: Column) -> Column:
@@ -95,15 +117,20 @@ def split_spread(pages: DataFrame, overlap: float = 10.0) -> DataFrame:
 
 
 def select_certificate_pages(pages: DataFrame) -> DataFrame:
-    """The pages of a file that are the certificate's: all of four and fewer; else, if the first two are landscape, these and up to two narrow supplements; else those whose text is a certificate's and no application's. ``pages`` has doc_id, page_index from 0, width, height, text."""
+    """The pages of a file that are the certificate's. ``pages`` has doc_id, page_index from 0, width, height, text.
+
+    All of four pages and fewer. Else, if the first two are landscape, these,
+    and of the next two those that are narrow supplements. Else those whose
+    text is a certificate's and no other paper's.
+    """
+    index = F.col("page_index")
     doc = Window.partitionBy("doc_id")
-    wide, narrow = is_landscape(F.col("width"), F.col("height")), is_supplement(F.col("width"), F.col("height")) & (F.col("page_index") > 1)
-    text = fold_accents(F.coalesce("text", F.lit("")))
-    so_far = Window.partitionBy("doc_id").orderBy("page_index").rowsBetween(Window.unboundedPreceding, 0)
-    out = pages.withColumns({"_n": F.count("*").over(doc), "_spread": F.bool_and((F.col("page_index") > 1) | wide).over(doc), "_k": F.sum(narrow.cast("int")).over(so_far)})
-    spread = F.col("_spread") & ((F.col("page_index") <= 1) | (narrow & (F.col("_k") <= 2)))
-    plain = ~F.col("_spread") & text.rlike(CERTIFICATE) & ~text.rlike(APPLICATION)
-    return out.where((F.col("_n") <= 4) | spread | plain).drop("_n", "_spread", "_k")
+    wide = is_landscape(F.col("width"), F.col("height"))
+    text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")
+    counted = pages.withColumns({"_n": F.count("*").over(doc), "_spread": F.bool_and((index > 1) | wide).over(doc)})
+    front = (index < 2) | (index.between(2, 3) & is_supplement(F.col("width"), F.col("height")))
+    own = contains_any(text, CERTIFICATE) & ~contains_any(text, OTHER_PAPERS)
+    return counted.where((F.col("_n") <= 4) | F.when(F.col("_spread"), front).otherwise(own)).drop("_n", "_spread")
 
 
 def is_two_page_profile(pages: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelforge.functions.fuzzy import partial_ratio, ratio
-from parcelforge.functions.text import clean_text, fold_accents
+from parcelforge.functions.text import clean_text, contains_any, fold_accents
 
 PAGE = ("doc_id", "page_index")
 BOX = ("x1", "y1", "x2", "y2")
@@ -155,19 +155,29 @@ def find_anchors(tokens: DataFrame, labels: DataFrame, threshold: float = 75.0)
     several words. One short word never stands for a label of several words, and
     a certificate's title never for a registry number's label.
     """
-    pairs = tokens.join(F.broadcast(labels))  # the label table is a configuration of some dozen rows
-    text, label = F.lower(F.trim("text")), F.lower(F.trim("label"))
+    keys = ["template"] if "template" in labels.columns and "template" in tokens.columns else []
+    # a text is scored once for each label, wherever it stands
+    texts = tokens.select(F.lower(F.trim("text")).alias("_t"), *keys).where(F.col("_t") != "").distinct()
+    names = F.broadcast(labels.select(F.lower(F.trim("label")).alias("_l"), *keys).distinct())  # a configuration of some dozen labels
+    text, label = F.col("_t"), F.col("_l")
     words = lambda c: F.size(F.split(c, r"\s+"))
     short = (words(label) >= 2) & (words(text) == 1) & (F.length(text) <= 5)
     registry = fold_accents(label).rlike("vao so|so cap")
     folded = fold_accents(text)
     title = ~folded.rlike("so|vao") | (folded.rlike("giay chung nhan|cong hoa|doc lap|quyen so huu") & ~folded.contains("vao so"))
+    pairs = (texts.join(names, keys) if keys else texts.join(names)).where(~short & ~(registry & title)).withColumn("inside", text.contains(label))
+    # of the shorter text so many letters must be in the longer one, in any order, for either ratio to reach the threshold
+    share = threshold / (200 - threshold)
+    letters = lambda c: F.transform(F.array_sort(F.split(c, "")), lambda x: x)
+    numbered = lambda xs: F.transform(xs, lambda x, i: F.concat(x, (i + 1 - F.array_position(xs, x)).cast("string")))
+    common = F.size(F.array_intersect(numbered(letters(text)), numbered(letters(label))))
+    hopeful = pairs.where(F.col("inside") | (common >= F.floor(share * F.least(F.length(text), F.length(label)))))
     part, full = partial_ratio(label, text), ratio(label, text)
     fuzzy = F.when((words(label) >= 2) & (F.length(text) < 0.5 * F.length(label)), 0.4 * part + 0.6 * full).otherwise(F.greatest(part, full))
-    exact = pairs.where((text != "") & ~short & ~(registry & title)).withColumn("inside", text.contains(label))
-    scored = exact.withColumn("score", F.when(F.col("inside"), F.lit(100.0)).otherwise(fuzzy)).where(F.col("score") >= threshold).drop("inside")
+    sure = hopeful.where("inside").withColumn("score", F.lit(100.0)).unionByName(hopeful.where("not inside").withColumn("score", fuzzy).where(F.col("score") >= threshold)).drop("inside")
+    found = tokens.withColumn("_t", F.lower(F.trim("text"))).join(sure, ["_t", *keys]).join(F.broadcast(labels.withColumn("_l", F.lower(F.trim("label")))), ["_l", *keys]).drop("_t", "_l")
     w = Window.partitionBy(*PAGE, "ord", "field").orderBy(F.desc("score"), "label")
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def inline_value(text: Column, label: Column) -> Column:
@@ -178,10 +188,15 @@ def inline_value(text: Column, label: Column) -> Column:
 
 
 def extract_fields(tokens: DataFrame, labels: DataFrame, max_dx: float = 800.0, max_dy: float = 250.0) -> DataFrame:
-    """doc_id, page_index, field, value, confidence, match_score and the value's box: inline with what stands right of it, else right, else below the best anchor."""
+    """doc_id, page_index, field, value, confidence, match_score and the value's box: inline with what stands right of it, else right, else below the best anchor.
+
+    ``labels`` has field and label, and may have direction (right, bottom or
+    auto) and template, which then must be a column of ``tokens`` too.
+    """
     anchors = find_anchors(tokens, labels)
     best = anchors.withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE, "field").orderBy(F.desc("score"), "ord"))).where("_n = 1").drop("_n")
-    base = best.select(*PAGE, "field", "label", "score", "ord", "text", "confidence", *BOX)
+    way = F.coalesce(F.col("direction"), F.lit("auto")) if "direction" in labels.columns else F.lit("auto")
+    base = best.select(*PAGE, "field", "label", "score", "ord", "text", "confidence", way.alias("way"), *BOX)
 
     def gathered(near: DataFrame, name: str) -> DataFrame:
         parts = F.array_sort(F.collect_list(F.struct("nth", "text", "confidence", *BOX)))
@@ -193,7 +208,7 @@ def extract_fields(tokens: DataFrame, labels: DataFrame, max_dx: float = 800.0,
     own = F.struct(F.lit(0).alias("nth"), F.col("text"), F.col("confidence"), *[F.col(c) for c in BOX])
     inline = inline_value(F.col("text"), F.col("label"))
     with_own = F.when(F.col("right").isNull(), F.array(own)).otherwise(F.concat(F.array(own), F.col("right")))
-    used = F.when(inline.isNotNull(), with_own).otherwise(F.coalesce("right", "low"))
+    used = F.when((F.col("way") != "bottom") & inline.isNotNull(), with_own).when(F.col("way") == "right", F.col("right")).when(F.col("way") == "bottom", F.col("low")).otherwise(F.coalesce("right", "low"))
     texts = F.transform(F.col("used"), lambda b: F.when((b["nth"] == 0), inline).otherwise(F.trim(b["text"])))
     value = F.regexp_replace(F.array_join(F.filter(texts, lambda t: t != ""), " "), r"^[:.\- ]+|[:.\- ]+$", "")
     out = out.withColumn("used", used).where(F.col("used").isNotNull()).withColumn("value", value).where(F.col("value") != "")
@@ -237,11 +252,38 @@ def expand_box(width: Column, height: Column, pad_x: float = 0.12, pad_y: float
     return [F.greatest(F.lit(0.0), F.col("x1") - dx).alias("x1"), F.greatest(F.lit(0.0), F.col("y1") - dy).alias("y1"), F.least(width, F.col("x2") + dx).alias("x2"), F.least(height, F.col("y2") + dy).alias("y2")]
 
 
+#: Words that a barcode's digits never stand with.
+BARCODE_VETO = (
+    "cmnd", "cccd", "sinh năm", "sinh nam", "năm sinh", "nam sinh", "hộ ông", "ho ong", "hộ bà", "ho ba", "thường trú", "thuong tru", "địa chỉ", "dia chi", "thửa đất", "thua dat",
+    "tờ bản đồ", "to ban do", "diện tích", "dien tich", "chủ sử dụng", "chu su dung", "ngày cấp", "ngay cap", "giấy chứng nhận", "chứng nhận", "cộng hòa", "độc lập", "quyền sử dụng",
+)
+
+
 def is_barcode_box(height: Column) -> Column:
-    """In the lower third of the page, wide, and digits mostly."""
-    d = F.length(F.regexp_replace("text", r"[^0-9]", ""))
-    wide = (F.col("x2") - F.col("x1")) >= 2 * (F.col("y2") - F.col("y1"))
-    return ((F.col("y1") + F.col("y2")) / 2 >= 0.65 * height) & ((d >= 6) | F.trim("text").rlike(r"^\d{4,}$")) & wide & ~fold_accents(F.col("text")).rlike("cmnd|cccd|dien thoai|ngay|thua|to ban do")
+    """A wide box in the lowest 35 % of the page with six digits, or four signs that are all digits, and no word of a person or parcel."""
+    text = F.trim("text")
+    digits = F.length(F.regexp_replace(text, r"\D", ""))
+    alone = (F.length(text) >= 4) & F.replace(text, F.lit(" "), F.lit("")).rlike(r"^\d+$")
+    tall = F.col("y2") - F.col("y1")
+    low = (F.col("y1") + F.col("y2")) / 2 >= 0.65 * height
+    return F.coalesce(low & ~contains_any(F.lower(text), BARCODE_VETO) & ((digits >= 6) | alone) & (tall > 0) & (F.col("x2") - F.col("x1") >= 2 * tall), F.lit(False))
+
+
+def group_lines(tokens: DataFrame, least: float = 18.0, share: float = 0.75, page: Sequence[str] = PAGE) -> DataFrame:
+    """Lines by the middle of the last line: from top to bottom a token joins the last line if its middle is within the larger of ``least`` and ``share`` of its height of that line's mean middle. One row a line: line from 0, text from left to right, box and mean confidence."""
+    own = F.struct(((F.col("y1") + F.col("y2")) / 2).alias("cy"), "x1", "ord", "text", "confidence", "y1", "x2", "y2")
+    pages = tokens.groupBy(*page).agg(F.array_sort(F.collect_list(own)).alias("boxes"))
+    zero = F.expr("named_struct('line', -1, 'sum', 0D, 'n', 0, 'at', cast(array() as array<int>))")
+
+    def step(s: Column, b: Column) -> Column:
+        near = (s["n"] > 0) & (F.abs(b["cy"] - s["sum"] / s["n"]) <= F.greatest(F.lit(least), share * (b["y2"] - b["y1"])))
+        line = F.when(near, s["line"]).otherwise(s["line"] + 1)
+        return F.struct(line.alias("line"), F.when(near, s["sum"] + b["cy"]).otherwise(b["cy"]).alias("sum"), F.when(near, s["n"] + 1).otherwise(1).alias("n"), F.array_append(s["at"], line).alias("at"))
+
+    at = F.aggregate("boxes", zero, step, lambda s: s["at"])
+    rows = pages.select(*page, F.explode(F.arrays_zip("boxes", at.alias("line"))).alias("t")).select(*page, "t.line", "t.boxes.*")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x1", "ord", F.trim("text").alias("t")))), lambda x: x["t"]), " ")
+    return rows.groupBy(*page, "line").agg(text.alias("text"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.round(F.avg("confidence"), 3).alias("confidence"))
 
 
 def page_text(tokens: DataFrame) -> DataFrame:

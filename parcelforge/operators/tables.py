@@ -1,4 +1,9 @@
-"""Parcel tables on pages: columns from headings, rows from area anchors, cells by place, and the text fallback."""
+"""Parcel tables on pages: whether a page has one, its columns, rows and cells by place, and the text fallback.
+
+All steps are joins and aggregations within a page. What depends on the rows
+before it, the map sheets known so far, is a fold over a page's rows, of which
+there are ``MOST_ROWS`` at most.
+"""
 
 from __future__ import annotations
 
@@ -6,55 +11,241 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelforge.functions import validators as v
-from parcelforge.functions.text import fold_accents
-from parcelforge.operators.spatial import PAGE, thin_anchors
+from parcelforge.functions.text import contains_any, fold_accents
+from parcelforge.operators.spatial import PAGE, clusters_1d, thin_anchors
 
-#: Accent-free headings of the table's columns, and each column's default middle on a page of 1280.
-HEADINGS = {
-    "so_thua": ("so thua|thua dat so|thua so", 120.0), "to_ban_do": ("to ban do|to so", 230.0), "dia_chi": ("dia chi", 400.0), "dien_tich": ("dien tich", 600.0),
-    "muc_dich": ("muc dich|loai dat", 780.0), "thoi_han": ("thoi han", 950.0), "nguon_goc": ("nguon goc", 1120.0),
+# ---------------------------------------------------------------- fixed values
+#: The columns from left to right, with their default edges on a page 1280 wide; the address has no default place, the last one ends with the page.
+COLUMNS = {
+    "to_ban_do": (30.0, 125.0), "so_thua": (120.0, 210.0), "dia_chi": (None, None), "dien_tich_rieng": (205.0, 290.0), "dien_tich_chung": (285.0, 370.0), "muc_dich": (365.0, 510.0), "thoi_han": (505.0, 650.0),
+    "nguon_goc": (645.0, 1280.0),
 }
-AREA = r"^\s*\d{1,3}(\.\d{3})*([.,]\d+)?\s*(m2|m²)?\s*$"
+#: Accent-free words of a column's heading, in the order in which they are tried; a heading of areas alone stands for both, 25 to either side.
+HEADINGS = (
+    ("nguon_goc", ("nguon goc",)), ("thoi_han", ("thoi han",)), ("muc_dich", ("muc dich",)), ("dien_tich_rieng", ("rieng",)), ("dien_tich_chung", ("chung",)), ("dien_tich", ("dien tich",)), ("dia_chi", ("dia chi",)),
+    ("so_thua", ("thua dat", "thua", "dat so")), ("to_ban_do", ("to ban do", "to ban", "do so", "to so")),
+)
+NO_HEADING = ("dia chi:", "thon ", "xa ", "huyen ", "tinh ", "ii.", "iii.", "1. thua")
+PAGE_WIDTH, HEADING_BAND, NUMBER_BAND, BELOW_HEADINGS = 1280.0, (165.0, 350.0), (270.0, 850.0), 450.0
+DEFAULT_TOP, DEFAULT_BOTTOM = 370.0, 850.0
+FOOTERS = ("2 nha", "3 cong trinh", "4 rung", "5 cay", "tm uy ban", "chu tich")
+MOST_ROWS = 200
+#: Items of a single parcel's list, by their letter, and words of a table's headings.
+OUTLINE = (("a", "thua dat"), ("b", "dia chi"), ("d", "muc dich"), ("e", "thoi han"))
+SHEET_WORDS, PARCEL_WORDS = ("so thu tu", "stt", "to ban do", "to ban", "to\n"), ("thua dat", "thua\n", "thia", "thura")
+#: Accent-free wording, name and code of a cell's land use where the purposes do not tell it.
+CELL_USES = (
+    (("hang nam",), "Đất bằng trồng cây hàng năm khác", "HNK"), (("lau nam",), "Đất trồng cây lâu năm khác", "CLN"), (("o tai nong thon",), "Đất ở tại nông thôn", "ONT"), (("o tai do thi",), "Đất ở tại đô thị", "ODT"),
+    (("rung san xuat",), "Đất rừng sản xuất", "RSX"),
+)
+# ---------------------------------------------------------------- end of fixed values
+
+AREA_NUMBER = r"(\d+[.,]\d+|(?<![\p{L}\d])\d{2,5}(?![\p{L}\d]))"
+DATE = r"\d{1,2}/\d{1,2}/\d{4}"
+
+
+def area_number(text: Column) -> Column:
+    """The first decimal, or whole number of two to five digits, of a text without a date."""
+    return F.when(~text.rlike(DATE), F.replace(F.regexp_extract(text, AREA_NUMBER, 1), F.lit(","), F.lit(".")).try_cast("double"))
+
+
+def multi_parcel_pages(tokens: DataFrame) -> DataFrame:
+    """doc_id, page_index, is_multi, total_parcels and total_area of each page.
+
+    A page has a table of parcels if it states a total of 2 to 200, or if it
+    has a table's headings and two different areas, whose number is then the
+    total. The list of a single parcel is none, unless a total says otherwise.
+    """
+    parts = F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("ord", F.trim("text").alias("t")))))
+    pages = tokens.groupBy(*PAGE).agg(F.transform(parts, lambda p: fold_accents(p["t"])).alias("lines"))
+    stated = F.transform(F.filter("lines", lambda x: x.rlike("t[o0]ng")), _stated_total)
+    text = F.array_join("lines", "\n")
+    area = lambda lead: F.nullif(F.regexp_extract(F.col("text"), rf"{lead}dien\s*t\w{{1,5}}\s*[:.]?\s*(\d[\d.,]*)\s*m", 1), F.lit(""))
+    # a second point of an area ends it
+    first = F.regexp_extract(F.replace(F.coalesce(area(r"b[.)]?\s*"), area("")), F.lit(","), F.lit(".")), r"^(\d+(?:\.\d+)?)", 1).try_cast("double")
+    out = pages.withColumns({"text": text, "stated": F.get(F.filter(stated, lambda n: n.isNotNull()), F.lit(0))})
+    outline = F.lit(False)
+    for letter, words in OUTLINE:
+        outline = outline | F.col("text").rlike(rf"(?<![a-z]){letter}[.)]\s*{words}")
+    total = F.when(F.col("stated").between(2, MOST_ROWS), F.col("stated"))
+    headings = contains_any(F.concat("text", F.lit("\n")), SHEET_WORDS) & contains_any(F.concat("text", F.lit("\n")), PARCEL_WORDS) & F.col("text").contains("dien tich") & ~outline
+    areas = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\d])(\d{2,4}[.,]\d)(?![\p{L}\d])"), 1)))
+    counted = headings & total.isNull() & (areas >= 2)
+    return out.select(*PAGE, (total.isNotNull() | counted).alias("is_multi"), F.coalesce(total, F.when(counted, areas)).alias("total_parcels"), F.when(total.isNotNull() | ~outline, first).alias("total_area"))
+
+
+def _stated_total(line: Column) -> Column:
+    """The number after the word for a total: parcels are meant, or it is the list's item a."""
+    rest = F.regexp_replace(F.regexp_extract(line, "t[o0]ng(.*)$", 1), r"^\s*s[o06](?![a-z])", " ")
+    number = F.regexp_extract(rest, r"^\D{0,30}(\d{1,3})(?!\d)", 1)
+    meant = F.regexp_extract(rest, r"^(\D*)", 1).rlike("th[uaeoir]") | line.rlike(r"(?<![a-z])a[.)]?\s*t[o0]ng")
+    return F.when(meant, number.try_cast("int"))
+
+
+def _placed(tokens: DataFrame) -> DataFrame:
+    """Tokens with their middle and their page's width and scale."""
+    width = F.greatest(F.lit(1000.0), F.max("x2").over(Window.partitionBy(*PAGE)) + 50)
+    out = tokens.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2, "width": width, "folded": fold_accents(F.trim("text"))})
+    return out.withColumn("scale", F.col("width") / PAGE_WIDTH)
 
 
 def detect_columns(tokens: DataFrame) -> DataFrame:
-    """doc_id, page_index, column, middle, left and right: the median middle of each heading's tokens, or its default place by the page's width; boundaries half way between neighbours."""
-    folded = fold_accents(F.col("text"))
-    kind = None
-    for name, (pattern, _) in HEADINGS.items():
-        kind = F.when(folded.rlike(pattern), name) if kind is None else kind.when(folded.rlike(pattern), name)
-    heads = tokens.withColumn("column", kind).where("column is not null")
-    seen = heads.groupBy(*PAGE, "column").agg(F.percentile((F.col("x1") + F.col("x2")) / 2, F.lit(0.5)).alias("seen"), F.max("y2").alias("low"))
-    pages = tokens.groupBy(*PAGE).agg(F.max("x2").alias("width"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.lit(x).alias("at")) for n, (_, x) in HEADINGS.items()]))
-    out = pages.select(*PAGE, "width", wanted.alias("c")).select(*PAGE, "width", "c.*").join(seen, [*PAGE, "column"], "left")
-    middle = F.coalesce("seen", F.col("at") * F.col("width") / 1280)
-    w = Window.partitionBy(*PAGE).orderBy("middle", "column")
-    out = out.withColumn("middle", middle)
-    return out.select(*PAGE, "column", "middle", F.coalesce((F.lag("middle").over(w) + F.col("middle")) / 2, F.lit(0.0)).alias("left"), F.coalesce((F.lead("middle").over(w) + F.col("middle")) / 2, F.lit(float("inf"))).alias("right"), F.max("low").over(Window.partitionBy(*PAGE)).alias("header_low"))
-
-
-def extract_parcel_table(tokens: DataFrame, most_rows: int = 200) -> DataFrame:
-    """doc_id, page_index, row and the text of each column, for pages whose rows show a parcel number.
-
-    Rows are anchored by areas in the area column, each more than 15 px below the
-    last one kept; a row reaches half way to its neighbours. Tokens below the headings belong to the row and column in which
-    their middle lies.
+    """One row per page: width, and ``<column>_from`` and ``<column>_to`` of each column, null for an address column that is not there.
+
+    A column's middle is the median of its headings' middles. Without a heading
+    for sheets or parcels, the first two clusters of short numbers left of the
+    areas are these. Columns that are neighbours among those found meet half
+    way; other edges are the defaults, by the page's width, and all are where
+    fewer than three columns are found.
     """
-    columns = detect_columns(tokens)
-    body = tokens.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2}).join(columns, list(PAGE))
-    body = body.where((F.col("cx") >= F.col("left")) & (F.col("cx") < F.col("right")) & (F.col("cy") > F.coalesce("header_low", F.lit(0.0))))
-    anchors = body.where((F.col("column") == "dien_tich") & F.trim("text").rlike(AREA)).select(*PAGE, "cy").distinct()
-    w = Window.partitionBy(*PAGE).orderBy("cy")
-    apart = anchors.groupBy(*PAGE).agg(F.sort_array(F.collect_set("cy")).alias("_a")).select(*PAGE, F.explode(thin_anchors(F.col("_a"), 15)).alias("cy"))
-    bands = apart.select(
-        *PAGE, F.row_number().over(w).alias("row"), F.coalesce((F.lag("cy").over(w) + F.col("cy")) / 2, F.lit(float("-inf"))).alias("from"), F.coalesce((F.lead("cy").over(w) + F.col("cy")) / 2, F.lit(float("inf"))).alias("to")
-    ).where(F.col("row") <= most_rows)
-    cells = body.join(bands, list(PAGE)).where((F.col("cy") >= F.col("from")) & (F.col("cy") < F.col("to")))
-    text = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("column") == name, F.struct("y1", "x1", "ord", F.trim("text").alias("t"))))), lambda x: x["t"]), " ")
-    rows = cells.groupBy(*PAGE, "row").agg(*[text(n).alias(n) for n in HEADINGS])
-    rows = rows.withColumn("_ok", v.v_parcel(F.col("so_thua"))["ok"])
-    return rows.withColumn("_any", F.bool_or("_ok").over(Window.partitionBy(*PAGE))).where("_any").drop("_ok", "_any")
+    placed = _placed(tokens)
+    band = F.col("y1").between(HEADING_BAND[0] * F.col("scale"), HEADING_BAND[1] * F.col("scale")) & ~contains_any(F.col("folded"), NO_HEADING)
+    kind = F
+    for name, words in HEADINGS:
+        kind = kind.when(contains_any(F.col("folded"), words), name)
+    heads = placed.where(band & (F.col("folded") != "")).withColumn("kind", kind).where("kind is not null and not (kind = 'dia_chi' and contains(folded, ':'))")
+    at = lambda name, dx: F.struct(F.lit(name).alias("column"), (F.col("cx") + dx * F.col("scale")).alias("at"))
+    both = F.array(at("dien_tich_rieng", -25), at("dien_tich_chung", 25))
+    heads = heads.select(*PAGE, F.explode(F.when(F.col("kind") == "dien_tich", both).otherwise(F.array(F.struct(F.col("kind").alias("column"), F.col("cx").alias("at"))))).alias("h")).select(*PAGE, "h.*")
+    middles = heads.groupBy(*PAGE).pivot("column", list(COLUMNS)).agg(F.percentile("at", F.lit(0.5)))
+    pages = placed.select(*PAGE, "width", "scale").distinct().join(middles, list(PAGE), "left")
+    area = F.coalesce("dien_tich_rieng", 250.0 * F.col("scale"))
+    numbers = placed.drop("width", "scale").join(pages, list(PAGE)).where(F.col("y1").between(NUMBER_BAND[0] * F.col("scale"), NUMBER_BAND[1] * F.col("scale")) & (F.col("cx") < area - 10) & F.trim("text").rlike(r"^\d{1,4}[A-Za-z]?$"))
+    clusters = clusters_1d(numbers.select(*PAGE, "cx"), PAGE, "cx").groupBy(*PAGE, "cluster").agg(F.percentile("cx", F.lit(0.5)).alias("at"))
+    two = clusters.groupBy(*PAGE).agg(F.max(F.when(F.col("cluster") == 1, F.col("at"))).alias("first"), F.max(F.when(F.col("cluster") == 2, F.col("at"))).alias("second"))
+    pages = pages.join(two, list(PAGE), "left")
+    guess = (F.col("to_ban_do").isNull() | F.col("so_thua").isNull()) & F.col("second").isNotNull()
+    pages = pages.withColumns({"to_ban_do": F.when(guess, F.col("first")).otherwise(F.col("to_ban_do")), "so_thua": F.when(guess, F.col("second")).otherwise(F.col("so_thua"))})
+    enough = sum((F.col(c).isNotNull().cast("int") for c in COLUMNS), F.lit(0)) >= 3
+    names, out = list(COLUMNS), []
+    for i, c in enumerate(names):
+        low, high = COLUMNS[c]
+        before, after = F.coalesce(*[F.col(x) for x in reversed(names[:i])], F.lit(None)), F.coalesce(*[F.col(x) for x in names[i + 1 :]], F.lit(None))
+        left = F.lit(None) if low is None else low * F.col("scale")
+        right = F.lit(None) if high is None else F.col("width") if c == "nguon_goc" else high * F.col("scale")
+        there = enough & F.col(c).isNotNull()
+        out += [F.coalesce(F.when(there, (before + F.col(c)) / 2), left, F.when(there, F.lit(0.0))).cast("double").alias(f"{c}_from"), F.coalesce(F.when(there, (after + F.col(c)) / 2), right, F.when(there, F.col("width"))).cast("double").alias(f"{c}_to")]
+    return pages.select(*PAGE, "width", "scale", *out)
+
+
+def _body(placed: DataFrame) -> DataFrame:
+    """(doc_id, page_index, top, bottom) of each page's table: below the headings of areas, else of other columns, and above what follows a table."""
+    high = F.col("y1") < BELOW_HEADINGS * F.col("scale")
+    areas = contains_any(F.col("folded"), ("rieng", "chung", "dien tich")) & high
+    others = contains_any(F.col("folded"), ("muc dich", "thoi han", "nguon goc")) & high
+    bare = F.concat(F.regexp_replace("folded", r"[.\s]+", " "), F.lit(" "))
+    foot = ~areas & bare.rlike("^(" + "|".join(w.replace(" ", " ?") for w in FOOTERS) + ")")
+    top = F.coalesce(F.max(F.when(areas, F.col("y2"))), F.max(F.when(others, F.col("y2"))), F.max(DEFAULT_TOP * F.col("scale")))
+    return placed.groupBy(*PAGE).agg(top.alias("top"), F.coalesce(F.min(F.when(foot, F.col("y1"))), F.max(DEFAULT_BOTTOM * F.col("scale"))).alias("bottom"))
+
+
+def _rows(body: DataFrame, totals: DataFrame) -> DataFrame:
+    """(doc_id, page_index, row, from, to, anchor): the rows of each table, as many as stated or else as areas more than 15 px apart; they meet half way between their areas if these are as many, else they are equally high."""
+    c = F.col
+    over = c("cx").between(c("dien_tich_rieng_from") - 30, c("dien_tich_chung_to") + 30) | ((c("x1") < c("dien_tich_chung_to") + 30) & (c("x2") > c("dien_tich_rieng_from") - 30))
+    areas = body.where(over).withColumn("value", area_number(F.trim("text"))).where("value is not null")
+    anchors = areas.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("cy", "ord", "value"))).alias("all"))
+    kept = anchors.withColumn("at", thin_anchors(F.transform("all", lambda a: a["cy"]), 15.0))
+    kept = kept.withColumn("values", F.transform("at", lambda y: F.get(F.filter("all", lambda a: a["cy"] == y), F.lit(0))["value"])).select(*PAGE, "at", "values")
+    pages = body.select(*PAGE, "top", "bottom").distinct().join(totals, list(PAGE)).join(kept, list(PAGE), "left")
+    n = F.coalesce("total_parcels", F.size("at"))
+    pages = pages.withColumn("n", n).where(c("n").between(1, MOST_ROWS)).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    fit, i = F.coalesce(F.size("at") == c("n"), F.lit(False)), c("row")
+    at = lambda k: F.get("at", k)
+    step = (c("bottom") - c("top")) / c("n")
+    low = F.when(~fit, c("top") + (i - 1) * step).when(i == 1, c("top")).otherwise((at(i - 2) + at(i - 1)) / 2)
+    high = F.when(~fit, c("top") + i * step).when(i == c("n"), c("bottom")).otherwise((at(i - 1) + at(i)) / 2)
+    return pages.select(*PAGE, "row", low.alias("from"), high.alias("to"), F.get("values", i - 1).alias("anchor"))
+
+
+def _cells(body: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per table row with the texts of its columns from left to right."""
+    c, text = F.col, F.trim("text")
+    inside = body.join(rows, list(PAGE)).where((c("cy") >= c("from")) & (c("cy") < c("to")) & (text != ""))
+    left = c("cx") < c("so_thua_to") + 15
+    address = ~left & (c("cx") >= c("dia_chi_from") - 10) & (c("cx") < c("dien_tich_rieng_from") - 10) & ~contains_any(F.lower(text), ("diện tích", "thời hạn", "mục đích", "đất bằng", "đất trồng"))
+    area = c("cx").between(c("dien_tich_rieng_from") - 20, c("dien_tich_chung_to") + 30) | ((c("x1") < c("dien_tich_chung_to")) & (c("x2") > c("dien_tich_rieng_from")))
+    purpose = (c("cx") >= c("muc_dich_from") - 10) & (c("cx") < c("thoi_han_from")) & ~text.rlike(DATE) & ~contains_any(c("folded"), ("den ngay",))
+    term = (c("cx") >= c("thoi_han_from")) & (c("cx") < c("nguon_goc_from"))
+    shared = F.greatest(F.lit(0.0), F.least("x2", "nguon_goc_to") - F.greatest("x1", "nguon_goc_from"))
+    origin = (c("cx") >= c("nguon_goc_from")) | (shared >= F.greatest(F.lit(12.0), 0.55 * (c("x2") - c("x1"))))
+    in_row = lambda where, value=text: F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(where, F.lit(False)), F.struct("x1", "ord", "cx", value.alias("t"))))), lambda x: F.struct(x["cx"].alias("cx"), x["t"].alias("t")))
+    grouped = inside.groupBy(*PAGE, "row").agg(in_row(left).alias("left"), in_row(address).alias("address"), in_row(area, area_number(text)).alias("area"), in_row(purpose).alias("purpose"), in_row(term).alias("term"), in_row(origin).alias("origin"), F.max("to_ban_do_to").alias("sheet_edge"))
+    joined = lambda name, sep: F.array_join(F.transform(name, lambda x: x["t"]), sep)
+    grouped = grouped.withColumn("area", F.try_element_at(F.filter(F.transform("area", lambda x: x["t"]), lambda a: a.isNotNull()), F.lit(-1)))
+    return rows.join(grouped, [*PAGE, "row"], "left").select(*PAGE, "row", F.coalesce("area", "anchor").alias("dien_tich"), "sheet_edge", _numbers(c("left"), c("sheet_edge")).alias("numbers"), *[F.coalesce(joined(n, s), F.lit("")).alias(n) for n, s in (("address", ", "), ("purpose", " "), ("term", " "), ("origin", " "))])
+
+
+def _numbers(left: Column, edge: Column) -> Column:
+    """sheet, parcel and glued of a row's left cells: a sheet and parcel in one cell, else two cells, else one by its place; glued is a number of four digits and more, whose sheet may be known from the rows above."""
+    pairs = F.filter(F.transform(left, lambda x: F.split(x["t"], r"[\s/\-._]+")), lambda p: (F.size(p) == 2) & F.forall(p, lambda n: n.rlike(r"^\d{1,4}$")))
+    joint = F.try_element_at(pairs, F.lit(-1))
+    single = F.filter(left, lambda x: x["t"].rlike(r"^\d{1,4}[A-Za-z]?$"))
+    one, two = F.get(single, F.lit(0)), F.get(single, F.lit(1))
+    alone = two.isNull() & one.isNotNull()
+    in_sheet = alone & (one["cx"] <= edge)
+    sheet = F.when(joint.isNotNull(), F.get(joint, F.lit(0))).when(two.isNotNull() | in_sheet, one["t"])
+    parcel = F.when(joint.isNotNull(), F.get(joint, F.lit(1))).when(two.isNotNull(), two["t"]).when(alone & ~in_sheet, one["t"])
+    glued = F.when(joint.isNull(), F.get(F.filter(F.transform(left, lambda x: x["t"]), lambda t: t.rlike(r"^\d{4,}$")), F.lit(0)))
+    return F.struct(sheet.alias("sheet"), parcel.alias("parcel"), glued.alias("glued"))
+
+
+def carry_sheets(rows: Column) -> Column:
+    """An array of (sheet, parcel, glued), top to bottom, as (sheet, parcel): a glued number is split at a sheet that is known from above, a missing sheet is the first known one."""
+    out = "array<struct<sheet: string, parcel: string>>"
+    zero = F.struct(F.array().cast("array<string>").alias("known"), F.array().cast(out).alias("out"))
+
+    def step(state: Column, r: Column) -> Column:
+        known = state["known"]
+        lead = F.get(F.filter(known, lambda k: F.startswith(r["glued"], k) & (F.length(r["glued"]) > F.length(k))), F.lit(0))
+        split = lead.isNotNull()
+        sheet = F.when(split, lead).otherwise(r["sheet"])
+        parcel = F.when(split, F.substring(r["glued"], F.length(lead) + 1, F.length(r["glued"]))).otherwise(r["parcel"])
+        grown = F.when(sheet.isNotNull() & ~F.array_contains(known, F.coalesce(sheet, F.lit(""))), F.array_append(known, sheet)).otherwise(known)
+        return F.struct(grown.alias("known"), F.array_append(state["out"], F.struct(F.coalesce(sheet, F.get(grown, F.lit(0))).alias("sheet"), parcel.alias("parcel"))).alias("out"))
+
+    return F.aggregate(rows, zero, step, lambda s: s["out"])
+
+
+def extract_parcel_table(tokens: DataFrame) -> DataFrame:
+    """The rows of parcel tables: doc_id, page_index, stt, so_thua, to_ban_do, dia_chi, dien_tich, muc_dich_su_dung, ma_muc_dich, thoi_han, nguon_goc, nguon_goc_ky_hieu, and the page's total_parcels and total_area.
+
+    Only pages of several parcels have tables, and a table of which no row has
+    a parcel number is none. An origin that is not a known one is blank.
+    """
+    totals = multi_parcel_pages(tokens).where("is_multi").drop("is_multi")
+    placed = _placed(tokens.join(totals.select(*PAGE), list(PAGE), "left_semi"))
+    whole = placed.drop("width", "scale").join(_body(placed), list(PAGE)).join(detect_columns(tokens), list(PAGE))
+    body = whole.where(F.col("cy").between(F.col("top") + 5, F.col("bottom") - 5))
+    cells = _cells(body, _rows(body, totals.select(*PAGE, "total_parcels")))
+    row = F.struct("row", "numbers", "dien_tich", "address", "purpose", "term", "origin")
+    pages = cells.groupBy(*PAGE).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    pages = pages.withColumn("found", carry_sheets(F.transform("rows", lambda r: r["numbers"]))).where(F.exists("found", lambda f: F.coalesce(f["parcel"], F.lit("")) != ""))
+    out = pages.select(*PAGE, F.explode(F.arrays_zip("rows", "found")).alias("z")).select(*PAGE, "z.rows.*", "z.found.sheet", "z.found.parcel")
+    out = out.withColumns({"use": _cell_use(F.col("purpose")), "until": v.v_term(F.col("term")), "from_": v.v_origin(F.col("origin"))})
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    address = F.regexp_replace(F.regexp_replace("address", r",[\s,]*,", ", "), r"^[\s\-:;,.]+|[\s\-:;,.]+$", "")
+    return out.join(totals, list(PAGE)).select(
+        *PAGE, F.col("row").alias("stt"), blank(F.col("parcel")).alias("so_thua"), blank(F.col("sheet")).alias("to_ban_do"), address.alias("dia_chi"), "dien_tich", blank(F.coalesce("use.name", "purpose")).alias("muc_dich_su_dung"), blank(F.col("use.code")).alias("ma_muc_dich"),
+        F.when(F.col("until.ok"), F.col("until.value")).otherwise(F.col("term")).alias("thoi_han"), blank(F.col("from_.value")).alias("nguon_goc"), blank(F.col("from_.code")).alias("nguon_goc_ky_hieu"), "total_parcels", "total_area",
+    )
+
+
+def _cell_use(text: Column) -> Column:
+    """name and code of a cell's land use, by the purposes, else by its words; rice is wet rice where the cell says so."""
+    told, folded = v.v_purpose(text), fold_accents(text)
+    of = lambda name, code: F.struct(name.alias("name"), F.lit(code).alias("code"))
+    rice = F.when(folded.contains("chuyen"), "Đất chuyên trồng lúa nước").otherwise("Đất trồng lúa nước còn lại")
+    out = F.when(told["ok"], F.struct(told["value"].alias("name"), told["code"].alias("code"))).when(folded.contains("lua") & folded.contains("nuoc"), of(rice, "LUC")).when(folded.contains("lua"), of(rice, "LUA"))
+    for words, name, code in CELL_USES:
+        out = out.when(contains_any(folded, words), of(F.lit(name), code))
+    return out
+
+
+def table_summary(rows: DataFrame) -> DataFrame:
+    """One row per page of ``extract_parcel_table``: parcels and distinct map sheets joined by +, the first address, and the number of rows."""
+    texts = lambda c: F.filter(F.transform(F.array_sort(F.collect_list(F.struct("stt", c))), lambda r: r[c]), lambda t: t != "")
+    return rows.groupBy(*PAGE).agg(F.array_join(texts("so_thua"), "+").alias("so_thua"), F.array_join(F.array_distinct(texts("to_ban_do")), "+").alias("to_ban_do"), F.get(texts("dia_chi"), F.lit(0)).alias("dia_chi"), F.count("*").alias("n_rows"))
 
 
 def parcels_from_text(text: Column) -> Column:

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from parcelforge.operators import evaluate, expand, merge, registration, rendering, review, store
+from parcelforge.operators import evaluate, expand, merge, readings, registration, rendering, review, store
 from parcelforge.sources import dossiers, sinks
 from parcelforge.streaming import files
 
@@ -66,7 +66,8 @@ def test_heirs_numbers_and_carry(spark):
 
 LADDER = [
     (False, "12,5", 0.9, "12.6", 0.8, "p", "numeric_highest_confidence"),
-    (False, "abc", 0.9, "12", 0.1, "v", "numeric_highest_confidence"),
+    (False, "abc", 0.9, "1,2", 0.1, "v", "numeric_highest_confidence"),
+    (False, "abc", 0.9, "12", 0.1, "p", "vietocr_low_confidence"),
     (True, "x", 0.9, "1234567890123", 0.7, "v", "barcode_vietocr"),
     (True, "x", 0.9, "123", 0.7, "p", "barcode_paddle"),
     (False, "CMND: 168234567", 0.8, "abc", 0.9, "p", "identity_paddle_only"),
@@ -82,10 +83,29 @@ LADDER = [
 def test_reading_ladder(spark):
     rows = [(i, *r) for i, r in enumerate(LADDER)]
     t = spark.createDataFrame(rows, "i int, is_barcode_box boolean, p_text string, p_conf double, v_text string, v_conf double, side string, reason string")
-    for r in merge.select_readings(t).collect():
+    for r in readings.select_readings(t).collect():
         assert (r.selected.side, r.selected.reason) == (r.side, r.reason), r
 
 
+def test_numbers_and_turned_readings(spark):
+    """Whole numbers are no decimals; the surer of two readings of the recogniser counts; texts without letters and digits are not alike."""
+    rows = [
+        ("123", 0.90, "125 m", 0.95, None, None, "v", "vietocr", "vietocr_strong_text"),
+        ("12,5", 0.90, "12.5 m", 0.95, None, None, "p", "paddle", "numeric_highest_confidence"),
+        ("abc", 0.90, "x", 0.55, "abc", 0.80, "v", "vietocr_180", "vietocr_text_agrees_with_paddle"),
+        ("abc", 0.90, "", 0.99, "abd", 0.60, "p", "paddle", "paddle_stronger_disagreement"),
+        ("...", 0.90, "---", 0.60, None, None, "p", "paddle", "paddle_stronger_disagreement"),
+        ("012345678", 0.80, "cmnd x", 0.95, None, None, "p", "paddle", "identity_paddle_only"),
+        (None, None, None, None, None, None, "v", "", "vietocr_only"),
+    ]
+    t = spark.createDataFrame([(i, False, *r) for i, r in enumerate(rows)], "i int, is_barcode_box boolean, p_text string, p_conf double, v_text string, v_conf double, v180_text string, v180_conf double, side string, engine string, reason string")
+    for r in readings.select_readings(t).collect():
+        if r.i == 3:  # "abd" is two thirds alike
+            assert r.selected.engine in ("paddle", "vietocr_180")
+            continue
+        assert (r.selected.side, r.selected.engine, r.selected.reason) == (r.side, r.engine, r.reason), r
+
+
 @pytest.mark.parametrize(
     ("reading", "name", "code", "want"),
     [("BP 425774", "BP425774.pdf", None, ("BP 425774", 1.0)), ("BP 425775", "BP425774.pdf", "99425774", ("BP 425774", 0.95)), ("BP 42577599", "BP425774.pdf", "", ("BP 425774", 0.9)), ("BP 425775", "BP425774.pdf", "", ("BP 425774", 0.85)), (None, "BP425774.pdf", None, ("BP 425774", 0.85)), ("BP 425775", "scan.pdf", None, ("BP 425775", 0.8)), (None, "scan", None, (None, 0.0))],
@@ -96,30 +116,14 @@ def test_serial_cross_check(spark, reading, name, code, want):
     assert (r.value, r.confidence) == want
 
 
-def test_merge_documents(spark):
-    pages = spark.createDataFrame(
-        [("d", 0, "GIẤY CHỨNG NHẬN", "Ông Nguyễn Văn An", False, 0, False, 0), ("d", 1, "Thửa đất số tờ bản đồ mục đích sử dụng", None, True, 2, True, 2), ("d", 2, "Nội dung thay đổi thửa đất số", None, True, 0, False, 5)],
-        "doc_id string, page_index int, text string, owner_name string, has_list boolean, total_parcels int, has_area boolean, n_rows int",
-    )
-    roles = merge.page_roles(pages)
-    assert tuple(roles.first()) == ("d", 0, 1)
-    readings = spark.createDataFrame(
-        [("d", 2, "so_thua", "9", None), ("d", 1, "so_thua", "12", None), ("d", 0, "so_phat_hanh", "rác", 0.99), ("d", 2, "so_phat_hanh", "BP 425774", 0.8), ("d", 0, "ho_ten_chu_1", "Ông Nguyễn Văn An", None), ("d", 0, "ty_le_ban_do", "1/2001", None), ("d", 1, "ma_vach", "-", None)],
-        "doc_id string, page_index int, field_key string, value string, confidence double",
-    )
-    merged = merge.merge_fields(readings, roles)
-    got = {r.field_key: (r.page_index, r.result.value, r.result.status) for r in merged.collect()}
-    assert got["so_thua"] == (1, "12", "valid") and got["so_phat_hanh"] == (2, "BP 425774", "valid")
-    assert got["ho_ten_chu_1"][1] == "Nguyễn Văn An" and got["ty_le_ban_do"][2] == "review_required" and got["ma_vach"][2] == "missing"
-    wide = merge.wide_document(merged).first()
-    assert wide.can_review == ["ty_le_ban_do"] and wide.ty_le_ban_do.confidence == 0.4 and wide.noi_cap is None
-
-
 def test_owner_rules(spark):
     r = at(spark, merge.split_couple(F.lit("Nguyễn Văn An và vợ là bà Trần Thị Bình")))
     assert (r.first, r.second, r.joint) == ("Nguyễn Văn An", "Trần Thị Bình", True)
     assert at(spark, merge.birth_from_identity(F.lit("001 092 001 234"))) == "1992"
-    assert at(spark, merge.owner_type(F.lit("Hộ ông Nguyễn Văn An"), F.lit(0))) == "ho_gia_dinh"
+    kind = lambda name, n=0, lines=(): at(spark, merge.owner_type(F.lit(name), F.lit(n), F.array(*[F.lit(x) for x in ("", *lines)])))
+    assert kind("Hộ ông Nguyễn Văn An") == kind("Nguyễn Văn An", 0, ["Chủ hộ gia đình"]) == "ho_gia_dinh"
+    assert kind("Ban quản lý dự án") == "to_chuc" and kind("Chùa Bà Đá") == "cong_dong" and kind("Ông A và bà B") == "vo_chong"
+    assert kind("Nguyễn Văn An", 2) == "dong_thua_ke" and kind("Nguyễn Văn An", 0, ["x"] * 15 + ["công ty"]) == "ca_nhan"
     kinds = ["Xóa đăng ký thế chấp", "Thế chấp tại ngân hàng", "Chuyển nhượng cho ông A", "Đính chính", "x"]
     assert [at(spark, merge.endorsement_type(F.lit(k))) for k in kinds] == ["release", "mortgage", "transfer", "correction", "other"]
     changes = F.array(*[F.lit(x) for x in ("Đính chính tờ bản đồ số thành 17", "Chuyển nhượng cho ông Trần Văn Bình, CCCD 001092001234", "Chuyển nhượng cho Ngân hàng Nông nghiệp")])
@@ -161,7 +165,7 @@ def test_registration_layout(spark, tmp_path):
     rows = registration.registration_rows(docs)
     got = {r.doc_id: r for r in registration.with_alerts(rows).collect()}
     d = got["d"]
-    assert (d.GCN_soPhatHanh, d.GCN_soVaoSo, d.TD_soHieuToBanDo, d.TD_dienTich, d.DDK_maDon, d.alert_level, d._missing_core) == ("BP 425774", "CH00123", "5", 120.5, "DON_1", "none", [])
+    assert (d.GCN_soPhatHanh, d.GCN_soVaoSo, d.TD_soHieuToBanDo, d.TD_dienTich, d.DDK_maDon, d.alert_level, d._missing_core) == ("BP 425774", "CH00123", "5", 120.5, "DON_1", "none", ["TD_maMucDichSuDung", "TD_diaChiChiTiet"])
     assert d._scale_missing and d.TL_tyLeDoDac == "" and got["e"].alert_level == "soft" and len(got["e"]._missing_core) == 10
     sinks.write_registration(rows, str(tmp_path / "csv"), "csv")
     back = spark.read.option("header", "true").csv(str(tmp_path / "csv"))

@@ -80,13 +80,15 @@ def test_templates_and_roles(spark):
     role = lambda s, k="mau_A": spark.range(1).select(pages.page_role(F.lit(s), F.lit(k)).alias("r")).first().r
     assert role("IV. Những thay đổi sau khi cấp giấy") == "changes"
     assert role("CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM GIẤY CHỨNG NHẬN", "mau_B") == "cover"
-    assert role("CỘNG HÒA XÃ HỘI GIẤY CHỨNG NHẬN thửa đất số 1") == "cover_and_content"
-    assert role("Sơ đồ thửa đất, chiều dài cạnh") == "diagram"
+    assert role("CỘNG HÒA XÃ HỘI GIẤY CHỨNG NHẬN thửa đất số 1") == role("Sơ đồ thửa đất") == "cover_and_content"
+    assert role("Sơ đồ thửa đất, chiều dài cạnh", "mau_B") == "diagram" and role("", "mau_B") == role(" ") == "unknown"
+    assert role("I. Người sử dụng đất II. Thửa đất", "mau_B") == role("Thửa đất số: 3", "mau_B") == role("gì đó", "mau_B") == "content"
+    assert role("Trang bổ sung giấy chứng nhận", "mau_B") == "changes"
 
 
 def test_page_selection(spark):
     rows = [("a", i, 900.0, 600.0, "") for i in range(2)] + [("a", 2, 500.0, 700.0, ""), ("a", 3, 500.0, 700.0, ""), ("a", 4, 500.0, 700.0, ""), ("a", 5, 600.0, 800.0, "")]
-    rows += [("b", i, 600.0, 800.0, t) for i, t in enumerate(["Đơn đăng ký", "GIẤY CHỨNG NHẬN", "x", "thửa đất", "y"])] + [("c", i, 1.0, 2.0, "") for i in range(4)]
+    rows += [("b", i, 600.0, 800.0, t) for i, t in enumerate(["Đơn đăng ký giấy chứng nhận", "GIẤY  CHỨNG NHẬN", "Biên lai thu tiền, diện tích: 5", "Thửa đất số 3", "y"])] + [("c", i, 1.0, 2.0, "") for i in range(4)]
     got = pages.select_certificate_pages(spark.createDataFrame(rows, "doc_id string, page_index int, width double, height double, text string")).collect()
     kept = {}
     for r in got:

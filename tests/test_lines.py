@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from parcelforge.functions import lines as ln
+from parcelforge.operators import readings
 from parcelforge.sources import database
 
 
@@ -21,7 +22,7 @@ def test_addresses(spark):
 def test_owner_and_heirs(spark):
     o = at(spark, ln.parse_owner(lines("I. Người sử dụng đất", "Ông Nguyễn Văn An, sinh năm 1950, CMND 168234567", "Bà Trần Thị Bình, sinh năm 1955, CMND 168234568", "Địa chỉ thường trú: xã Hoa Thám, huyện Bình Gia")))
     assert (o.ho_ten_chu_1, o.cmnd_chu_1, o.ngay_sinh_chu_1) == ("Nguyễn Văn An", "168234567", "1950")
-    assert (o.ho_ten_chu_2, o.cmnd_chu_2, o.ngay_sinh_chu_2, o.loai_chu) == ("Trần Thị Bình", "168234568", "1955", "ca_nhan")
+    assert (o.ho_ten_chu_2, o.cmnd_chu_2, o.ngay_sinh_chu_2, o.loai_chu) == ("Trần Thị Bình", "168234568", "1955", "vo_chong")
     assert o.dia_chi_thuong_tru == "xã Hoa Thám, huyện Bình Gia" and o.dong_thua_ke == []
     couple = at(spark, ln.parse_owner(lines("Ông Nguyễn Văn An và vợ là bà Trần Thị Bình")))
     assert (couple.ho_ten_chu_1, couple.ho_ten_chu_2, couple.loai_chu) == ("Nguyễn Văn An", "Trần Thị Bình", "vo_chong")
@@ -44,7 +45,7 @@ def test_certification(spark):
     assert (c.noi_cap, c.nguoi_ky_qd, c.chuc_vu_nguoi_ky) == ("Ủy ban nhân dân huyện Binh Gia", "Nguyễn Văn An", "Chủ Tịch")
     none = at(spark, ln.parse_certification(lines("Ủy ban nhân dân", "x")))
     assert none.noi_cap is None and none.nguoi_ky_qd is None and none.so_vao_so is None
-    assert at(spark, ln.should_retry_rotated(F.lit("abc"), F.lit(0.9), F.lit(""), F.lit(0.0), F.lit(0.0)))
+    assert at(spark, readings.should_retry_rotated(F.lit("abc"), F.lit(0.9), F.lit(""), F.lit(0.0), F.lit(0.0)))
 
 
 def test_settings_and_aliases(spark, tmp_path):

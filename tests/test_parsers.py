@@ -106,13 +106,7 @@ def test_gazetteer(spark):
     assert (got[2].province_code, got[2].district_code, got[2].ward_code) == ("20", "181", "2") and got[3].province is None and got[4].ward is None and len(got) == 4
 
 
-def test_parcel_table(spark):
-    heads = [("Số thửa", 80, 10, 160, 30), ("Tờ bản đồ", 190, 10, 270, 30), ("Diện tích", 560, 10, 640, 30), ("Mục đích sử dụng", 730, 10, 830, 30)]
-    rows = [("101", 100, 50, 140, 70), ("15", 215, 50, 245, 70), ("120,5", 570, 50, 630, 70), ("ONT", 760, 50, 800, 70), ("102", 100, 100, 140, 120), ("15", 215, 100, 245, 120), ("230", 570, 100, 630, 120), ("CLN", 760, 100, 800, 120)]
-    t = boxes(spark, *heads, *rows, ("x", 1270, 0, 1280, 5))
-    got = sorted((r.row, r.so_thua, r.to_ban_do, r.dien_tich, r.muc_dich) for r in tables.extract_parcel_table(t).collect())
-    assert got == [(1, "101", "15", "120,5", "ONT"), (2, "102", "15", "230", "CLN")]
-    assert tables.extract_parcel_table(boxes(spark, ("abc", 0, 0, 10, 10))).count() == 0
+def test_parcels_of_a_text(spark):
     pairs = at(spark, tables.parcels_from_text(F.lit("Số thửa Tờ bản đồ Diện tích 12 45 120,5 13 45 230 Ghi chú")))
     assert [(r.so_thua, r.dien_tich) for r in pairs] == [(12.0, 120.5), (13.0, 230.0)]
 
