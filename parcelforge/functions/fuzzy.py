@@ -176,7 +176,7 @@ def _letters(texts: DataFrame, name: str, least: float) -> DataFrame:
     return out.select(f"{name}_text", *[F.col(c).alias(name + c) for c in ("_n", "_all", "_head")])
 
 
-def _may_reach(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
+def may_reach(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
     """l_text and r_text of the pairs that lengths and common letters let reach an indel similarity of ``cutoff``, each once."""
     x = _letters(a, "l", cutoff).withColumn("_key", F.explode("l_head"))
     y = _letters(b, "r", cutoff).withColumn("_key", F.explode("r_head"))
@@ -199,7 +199,7 @@ def fuzzy_best(left: DataFrame, right: DataFrame, left_text: str, right_text: st
     if block_left:
         near = a.join(b, "block").select("l_text", "r_text").distinct()
     elif score is ratio and 0 < cutoff <= 100:
-        near = _may_reach(a, b, cutoff)
+        near = may_reach(a, b, cutoff)
     else:
         near = a.crossJoin(b)
     pairs = near.withColumn("score", score(F.lower("l_text"), F.lower("r_text"))).where(F.col("score") >= cutoff)

@@ -124,3 +124,9 @@ def endorsement_state(endorsements: DataFrame, document: str = "doc_id", order:
     """Whether a mortgage is open, and the owner after the last transfer that names one."""
     named = F.when(F.col("new_owner").isNotNull(), F.col(order))
     return endorsements.groupBy(document).agg(more_of(F.col("kind"), "mortgage", "release").alias("mortgage_active"), F.max_by("new_owner", named).alias("current_owner"))
+
+
+def is_mutation_page(tokens: DataFrame) -> DataFrame:
+    """doc_id, page_index and whether one of a page's tokens is a heading of the change table."""
+    head = fold_accents(F.col("text")).rlike(f"{CONTENT_HEADERS}|{CONFIRM_HEADERS}")
+    return tokens.groupBy(*PAGE).agg(F.bool_or(F.coalesce(head, F.lit(False))).alias("is_mutation"))

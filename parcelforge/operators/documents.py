@@ -68,14 +68,14 @@ CERTIFICATION = {c: c for c in ("so_phat_hanh", "ma_vach", "so_vao_so", "noi_cap
 TRANSFER = {"ben_nhan_1": "ten_chuyen_nhuong_moi", "ben_nhan_2": "ten_chuyen_nhuong_2", "cmnd_1": "cmnd_chuyen_nhuong", "cmnd_2": "cmnd_chuyen_nhuong_2", "dia_chi": "dia_chi_chuyen_nhuong", "so_ho_so": "so_ho_so_bien_dong", "ngay": "bien_dong_ngay"}
 
 
-def page_results(tokens: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def page_results(tokens: DataFrame, labels: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """What ``certificate.merge_pages`` reads: each page's template, lines, fields, confidences, table rows and heirs. Parsed values come before labelled ones."""
     lines, templates = page_lines(tokens), classify_template(tokens)
-    rows = tables.extract_parcel_table(tokens)
+    rows = cut_lineage(tables.extract_parcel_table(tokens))
     kept = F.struct("so_thua", "to_ban_do", "dia_chi", "dien_tich", "muc_dich_su_dung", "ma_muc_dich", "thoi_han", "nguon_goc", "nguon_goc_ky_hieu")
     listed = rows.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("stt", kept.alias("row")))), lambda r: r["row"]).cast(certificate.PARCEL).alias("parcels"), F.max("total_area").cast("string").alias("total_area"))
     joined = rows.groupBy(*PAGE).agg(F.count("*").alias("_n")).join(tables.table_summary(rows).select(*PAGE, F.col("so_thua").alias("t_parcel"), F.col("to_ban_do").alias("t_sheet")), list(PAGE)).drop("_n")
-    mutated = changes.extract_mutations(tokens).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("stt", "content"))), lambda c: c["content"]).alias("contents"))
+    mutated = (changes.extract_mutations(tokens) if found is None else found).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("stt", "content"))), lambda c: c["content"]).alias("contents"))
     pages = lines.join(templates, list(PAGE), "left").join(listed, list(PAGE), "left").join(joined, list(PAGE), "left").join(mutated, list(PAGE), "left")
     text = F.array_join("lines", " ")
     own = F.when(~is_diagram(text), parse_owner(F.col("lines")))
@@ -84,8 +84,8 @@ def page_results(tokens: DataFrame, labels: DataFrame | None = None) -> DataFram
     told = [_strings(F.col("owner"), OWNER), _strings(F.col("parcel"), PARCEL), _strings(table, {c: c for c in ("so_thua", "to_ban_do", "dien_tich_cap", "thong_tin_bien_dong")}), _strings(F.col("issued"), CERTIFICATION), _strings(F.col("moved"), TRANSFER)]
     blank = F.create_map().cast("map<string,string>")
     if labels is not None:
-        found = extract_all_fields(tokens, labels, templates)
-        entries = found.groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("labelled"), F.map_from_entries(F.collect_list(F.struct("field", "confidence"))).alias("sure"))
+        read = extract_all_fields(tokens, labels, templates)
+        entries = read.groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("labelled"), F.map_from_entries(F.collect_list(F.struct("field", "confidence"))).alias("sure"))
         pages = pages.join(entries, list(PAGE), "left")
     else:
         pages = pages.withColumns({"labelled": blank, "sure": F.create_map().cast("map<string,double>")})
@@ -100,9 +100,10 @@ def page_results(tokens: DataFrame, labels: DataFrame | None = None) -> DataFram
 def certificates(tokens: DataFrame, labels: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
     """One flat row per document: the merged fields after later changes, as ``registration.registration_rows`` reads them."""
     # what the parsers read is computed once
-    pages = cut_lineage(page_results(tokens, labels))
+    found = cut_lineage(changes.extract_mutations(tokens))
+    pages = cut_lineage(page_results(tokens, labels, found))
     merged = cut_lineage(certificate.merge_pages(pages, certificate.best_serials(certificate.serial_candidates(tokens))))
-    return certificate.apply_mutations(certificate.flat_values(merged), changes.extract_mutations(tokens), answers)
+    return certificate.apply_mutations(certificate.flat_values(merged), found, answers)
 
 
 def process_documents(tokens: DataFrame, files: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:

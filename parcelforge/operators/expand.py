@@ -129,3 +129,22 @@ def carry_forward(df: DataFrame, group: Sequence[str], order: Sequence[Column |
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     value = F.nullif(F.trim(column), F.lit(""))
     return df.withColumn(column, F.coalesce(F.last(value, ignorenulls=True).over(back), F.first(value, ignorenulls=True).over(ahead)))
+
+
+def register_expand_parcels(spark) -> None:
+    """``expand_parcels(numbers, sheets, codes, terms)`` as a table function of SQL: a row a parcel, other values dealt by place, one for all, or blank."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="parcel_no int, so_thua string, to_ban_do string, ma_muc_dich string, thoi_han string")
+    class ExpandParcels:
+        def eval(self, numbers: str, sheets: str, codes: str, terms: str):
+            parts = lambda t: [p.strip() for p in (t or "").split("+") if p.strip()]
+            own = parts(numbers)
+            if len(set(own)) < 2:
+                yield 1, numbers, sheets, codes, terms
+                return
+            dealt = [v if len(v) == len(own) else v * len(own) if len(v) == 1 else [""] * len(own) for v in map(parts, (sheets, codes, terms))]
+            for i, (n, *rest) in enumerate(zip(own, *dealt, strict=True), 1):
+                yield i, n, *rest
+
+    spark.udtf.register("expand_parcels", ExpandParcels)

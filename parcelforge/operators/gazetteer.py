@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.functions.fuzzy import ratio
+from parcelforge.functions.fuzzy import may_reach, ratio
 from parcelforge.functions.text import fold_accents, strip_admin_prefix
+from parcelforge.session import counted_broadcast
 
 #: The least scores of a match by level.
 THRESHOLDS = {"province": 80.0, "district": 78.0, "ward": 75.0}
@@ -22,14 +23,17 @@ def match_level(names: DataFrame, places: DataFrame, level: str, within: str | N
     ``places`` has code, name and, for a level below another, parent. It is a
     gazetteer's level; with ``within`` a name meets the places of its parent only.
     """
+    keys = ["text", *([within] if within else [])]
     spot = places.select("code", F.col("name").alias("place"), *([F.col("parent").alias(within)] if within else []))
-    asked = names.select("text", *([within] if within else [])).where("text is not null").distinct()
-    pairs = asked.join(F.broadcast(spot), within) if within else asked.join(F.broadcast(spot))  # some dozen provinces, or one parent's places
-    a, b = comparable_place(F.col("text")), comparable_place(F.col("place"))
-    scored = pairs.withColumn("score", F.greatest(ratio(a, b), ratio(fold_accents(a), fold_accents(b)))).where(F.col("score") >= THRESHOLDS[level])
+    asked = names.select(*keys).where("text is not null").distinct()
+    least, scored = THRESHOLDS[level], []
+    for form in (comparable_place, lambda c: fold_accents(comparable_place(c))):
+        # texts that have too few letters in common are not scored; none that can reach the threshold is left out
+        a, b = asked.withColumn("l_text", form(F.col("text"))), spot.withColumn("r_text", form(F.col("place")))
+        near = may_reach(a.select("l_text").distinct(), b.select("r_text").distinct(), least).withColumn("score", ratio(F.col("l_text"), F.col("r_text"))).where(F.col("score") >= least)
+        scored.append(a.join(near, "l_text").join(b, ["r_text", *keys[1:]]).select(*keys, "code", "place", "score"))
     best = F.max_by(F.struct("code", "place", "score"), F.struct("score", F.col("code")))
-    keys = ["text", *([within] if within else [])]
-    return scored.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.code").alias(f"{level}_code"), F.col("b.place").alias(level), F.col("b.score").alias(f"{level}_score"))
+    return scored[0].unionByName(scored[1]).groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.code").alias(f"{level}_code"), F.col("b.place").alias(level), F.col("b.score").alias(f"{level}_score"))
 
 
 def split_address(address: Column) -> Column:
@@ -55,7 +59,7 @@ def resolve_addresses(addresses: DataFrame, provinces: DataFrame, districts: Dat
     step = step.join(d.withColumnRenamed("text", "d_text"), ["d_text", "province_code"], "left")
     lone = districts.withColumn("_k", fold_accents(comparable_place(F.col("name")))).groupBy("_k").agg(F.count("*").alias("_n"), F.first("code").alias("u_code"), F.first("name").alias("u_name"), F.first("province_code").alias("u_province")).where("_n = 1")
     names = provinces.select(F.col("code").alias("u_province"), F.col("name").alias("u_province_name"))
-    step = step.join(F.broadcast(lone.join(F.broadcast(names), "u_province")), fold_accents(comparable_place(F.col("d_text"))) == F.col("_k"), "left")
+    step = step.join(counted_broadcast(lone.join(names, "u_province")), fold_accents(comparable_place(F.col("d_text"))) == F.col("_k"), "left")
     step = step.withColumns({"district_code": F.coalesce("district_code", "u_code"), "district": F.coalesce("district", "u_name"), "province_code": F.coalesce("province_code", "u_province"), "province": F.coalesce("province", "u_province_name")})
     w = match_level(step.where("district_code is not null").select(F.col("w_text").alias("text"), "district_code"), wards.withColumnRenamed("district_code", "parent"), "ward", "district_code")
     step = step.join(w.withColumnRenamed("text", "w_text"), ["w_text", "district_code"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelforge.functions.text import contains_any, fold_accents
+from parcelforge.session import counted_broadcast
 
 # ---------------------------------------------------------------- fixed values
 # Accent-free keywords of the certificate templates, upper case.
@@ -46,6 +47,8 @@ CONTENT_PAGE = (
 )
 DIAGRAM_PAGE = ("iii. sơ đồ thửa đất", "iii- sơ đồ", "sơ đồ thửa đất", "so do thua dat", "tọa độ đỉnh", "chiều dài cạnh")
 NO_COVER = ("ii. thửa đất", "1. thửa đất", "thửa đất số:")
+#: Words of a table of changes, accent-free.
+ENDORSEMENT_WORDS = ("nhung thay doi sau khi cap", "noi dung thay doi", "co so phap ly", "xac nhan cua co quan", "trang bo sung", "the chap", "chuyen nhuong", "tang cho", "thua ke", "dinh chinh")
 REGISTRATION_ANCHOR = ("dang", "ky", "dat", "dai", "tai", "san", "khac", "gan", "lien")
 # ---------------------------------------------------------------- end of fixed values
 
@@ -170,6 +173,37 @@ def crop_manifest(tokens: DataFrame, wanted: DataFrame, width: Column, height: C
     """field, the token that best shows it, and its grown box, for fields with an accent-free pattern (field, pattern)."""
     from parcelforge.operators.spatial import expand_box
 
-    hits = tokens.join(F.broadcast(wanted), F.rlike(fold_accents(F.col("text")), F.col("pattern")))  # a table of some dozen fields
+    hits = tokens.join(counted_broadcast(wanted), F.rlike(fold_accents(F.col("text")), F.col("pattern")))
     best = hits.groupBy("doc_id", "page_index", "field").agg(F.max_by(F.struct("ord", "text", "x1", "y1", "x2", "y2"), F.struct("confidence", (-F.col("ord")).alias("o"))).alias("b"))
     return best.select("doc_id", "page_index", "field", "b.*").select("doc_id", "page_index", "field", "ord", "text", *expand_box(width, height))
+
+
+def page_number(pages: DataFrame) -> DataFrame:
+    """``page``: the number of each page in its document, from 1, whatever the indexes are."""
+    return pages.withColumn("page", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_index")))
+
+
+#: Padding of crops by kind of box: share of the width with its least and most, share of the height with its least and most.
+PADDING = {"wide": (0.025, 6, 40, 0.20, 2, 14), "default": (0.008, 2, 20, 0.20, 2, 12)}
+
+
+def crop_padding(kind: Column, width: Column, height: Column) -> Column:
+    """pad_x and pad_y of a crop in whole pixels; barcodes and identity numbers get more at their ends."""
+    wide = kind.isin("barcode", "identity_number")
+    of = lambda i: F.when(wide, F.lit(PADDING["wide"][i])).otherwise(F.lit(PADDING["default"][i]))
+    side = lambda size, share, least, most: F.greatest(of(least), F.least(of(most), F.bround(size * of(share)))).cast("int")
+    return F.struct(side(width, 0, 1, 2).alias("pad_x"), side(height, 3, 4, 5).alias("pad_y"))
+
+
+def crop_boxes(tokens: DataFrame, width: Column, height: Column, kind: Column | None = None) -> DataFrame:
+    """``tokens`` with c_x1, c_y1, c_x2 and c_y2, the crop of each box with its padding, within the page."""
+    pad = crop_padding(kind if kind is not None else F.lit("default"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    out = tokens.withColumn("_pad", pad)
+    low = lambda c, p: F.greatest(F.lit(0.0), F.col(c) - F.col(f"_pad.{p}"))
+    high = lambda c, p, most: F.least(most.cast("double"), F.col(c) + F.col(f"_pad.{p}"))
+    return out.withColumns({"c_x1": low("x1", "pad_x"), "c_y1": low("y1", "pad_y"), "c_x2": high("x2", "pad_x", width), "c_y2": high("y2", "pad_y", height)}).drop("_pad")
+
+
+def is_endorsement_page(text: Column) -> Column:
+    """Whether a page has a table of later changes, by its words."""
+    return contains_any(fold_accents(F.coalesce(text, F.lit(""))), ENDORSEMENT_WORDS)

@@ -52,3 +52,10 @@ def crop_evidence(crops: DataFrame, fields: DataFrame) -> DataFrame:
     pairs = pairs.withColumns({"overlap": F.when(area > 0, wide / area).otherwise(0.0), "alike": token_match_score(F.col("value"), F.col("crop_text"))})
     pairs = pairs.where((F.col("overlap") >= 0.65) | (F.col("alike") >= 0.55)).withColumn("score", 10 * F.col("overlap") + 5 * F.col("alike"))
     return pairs.groupBy("doc_id", "field_key").agg(F.max_by(F.struct("crop_id", "score"), F.struct("score", "crop_id")).alias("b")).select("doc_id", "field_key", "b.*")
+
+
+def json_coerce(payload: Column) -> Column:
+    """A text's JSON object, '{}' for null, for what is no JSON and for JSON that is no object."""
+    text = F.trim(F.coalesce(payload, F.lit("")))
+    ok = text.startswith("{") & F.try_parse_json(text).isNotNull()
+    return F.when(ok, text).otherwise("{}")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions.fuzzy import partial_ratio, ratio
 from parcelforge.functions.text import clean_text, contains_any, fold_accents
+from parcelforge.session import counted_broadcast
 
 PAGE = ("doc_id", "page_index")
 BOX = ("x1", "y1", "x2", "y2")
@@ -158,7 +159,7 @@ def find_anchors(tokens: DataFrame, labels: DataFrame, threshold: float = 75.0)
     keys = ["template"] if "template" in labels.columns and "template" in tokens.columns else []
     # a text is scored once for each label, wherever it stands
     texts = tokens.select(F.lower(F.trim("text")).alias("_t"), *keys).where(F.col("_t") != "").distinct()
-    names = F.broadcast(labels.select(F.lower(F.trim("label")).alias("_l"), *keys).distinct())  # a configuration of some dozen labels
+    names = counted_broadcast(labels.select(F.lower(F.trim("label")).alias("_l"), *keys).distinct())
     text, label = F.col("_t"), F.col("_l")
     words = lambda c: F.size(F.split(c, r"\s+"))
     short = (words(label) >= 2) & (words(text) == 1) & (F.length(text) <= 5)
@@ -175,7 +176,7 @@ def find_anchors(tokens: DataFrame, labels: DataFrame, threshold: float = 75.0)
     part, full = partial_ratio(label, text), ratio(label, text)
     fuzzy = F.when((words(label) >= 2) & (F.length(text) < 0.5 * F.length(label)), 0.4 * part + 0.6 * full).otherwise(F.greatest(part, full))
     sure = hopeful.where("inside").withColumn("score", F.lit(100.0)).unionByName(hopeful.where("not inside").withColumn("score", fuzzy).where(F.col("score") >= threshold)).drop("inside")
-    found = tokens.withColumn("_t", F.lower(F.trim("text"))).join(sure, ["_t", *keys]).join(F.broadcast(labels.withColumn("_l", F.lower(F.trim("label")))), ["_l", *keys]).drop("_t", "_l")
+    found = tokens.withColumn("_t", F.lower(F.trim("text"))).join(sure, ["_t", *keys]).join(counted_broadcast(labels.withColumn("_l", F.lower(F.trim("label")))), ["_l", *keys]).drop("_t", "_l")
     w = Window.partitionBy(*PAGE, "ord", "field").orderBy(F.desc("score"), "label")
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

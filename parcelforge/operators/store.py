@@ -197,3 +197,39 @@ def progress(df: DataFrame, batch: str, status: Column, done: Sequence[str], fai
 
 def files_per_minute(files: Column, seconds: Column) -> Column:
     return F.when((seconds > 5) & (files > 0), F.round(files / (seconds / 60), 1))
+
+
+def access(requests: DataFrame, members: DataFrame) -> DataFrame:
+    """``requests`` (user_id, is_admin, is_head, project_id, created_by) with is_member, can_access and can_delete.
+
+    An administrator may read and delete all. Others must be members of the
+    project; its managers, and office heads, may do both with all of it, other
+    members may read what they made. A request without a project is refused.
+    """
+    roles = members.groupBy("project_id", "user_id").agg(F.bool_or(F.coalesce(F.col("role_in_project") == "truong_phong", F.lit(False))).alias("_manager"))
+    out = requests.join(roles, ["project_id", "user_id"], "left")
+    member, admin = F.col("_manager").isNotNull(), F.coalesce("is_admin", F.lit(False))
+    manager = member & (F.col("_manager") | F.coalesce("is_head", F.lit(False)))
+    own = F.coalesce(F.col("created_by") == F.col("user_id"), F.lit(False))
+    return out.select(*requests.columns, member.alias("is_member"), (admin | manager | (member & own)).alias("can_access"), (admin | manager).alias("can_delete"))
+
+
+def last_admin_guard(users: DataFrame, user: str) -> DataFrame:
+    """One row: whether another active administrator is left without ``user``. ``users`` has user_id, is_admin and is_active."""
+    return users.agg(F.coalesce(F.bool_or((F.col("user_id") != user) & F.col("is_admin") & F.col("is_active")), F.lit(False)).alias("allowed"))
+
+
+def dump(records: DataFrame, order: Sequence[Column], limit: int = 10_000) -> DataFrame:
+    """The newest records with their payloads, 10,000 at most, as one page."""
+    return page(records, order, limit, 0, 10_000)
+
+
+def oldest_documents(records: DataFrame, order: Sequence[Column], limit: int = 5000) -> DataFrame:
+    """The oldest documents that have rows; the limit counts documents, so it comes before their rows are exploded."""
+    return page(records.where(F.col("rows").isNotNull()), order, limit, 0, 5000)
+
+
+def union_text_sources(pages: DataFrame, texts: str = "mutations") -> DataFrame:
+    """Each document's texts of all pages in one array, pages in order."""
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("page_index", F.coalesce(texts, F.array().cast("array<string>")).alias("t")))), lambda p: p["t"])
+    return pages.groupBy("doc_id").agg(F.flatten(lists).alias(texts))

@@ -24,17 +24,9 @@ def pick(*values):
     return out
 
 
-@query("""
-SELECT c_custkey, round(CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 1000 + 0.5 WHEN c_custkey % 3 = 1 THEN c_custkey + 0.25 ELSE c_custkey * 1000 END AS DOUBLE), 2) AS value, CASE WHEN c_custkey % 2 = 0 THEN 'm²' END AS unit FROM customer WHERE c_custkey BETWEEN 1 AND 999""")
-def parse_area_string(spark, d):
-    k, unit = key().cast("string"), F.when(key() % 2 == 0, " m²").otherwise("")
-    t = F.concat(pick(F.concat(k, F.lit(".000,5")), F.concat(k, F.lit(",25")), F.concat(k, F.lit(",000"))), unit)
-    return T(spark, d, "customer").where("c_custkey between 1 and 999").select("c_custkey", parsers.parse_area_text(t).alias("a")).select("c_custkey", F.round("a.value", 2).alias("value"), "a.unit")
-
-
 @query("""
 SELECT c_custkey, round(CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 1000 + 0.5 WHEN c_custkey % 3 = 1 THEN c_custkey + 0.25 ELSE c_custkey * 1000 END AS DOUBLE), 2) AS value, CASE WHEN c_custkey % 2 = 0 THEN 'm²' END AS unit FROM customer""")
-def parse_area_string_all(spark, d):
+def parse_area_string(spark, d):
     """Areas of every key, its digits grouped by thousands with points or with commas."""
     american = F.format_number(key(), 0)
     european, unit = F.translate(american, ",", "."), F.when(key() % 2 == 0, " m²").otherwise("")
@@ -107,14 +99,6 @@ def progress_metrics(spark, d):
     return T(spark, d, "orders").select("o_orderkey", store.files_per_minute(n, s).alias("rate"), store.bounded_text(F.col("o_orderpriority"), 3).alias("cut"))
 
 
-@query("""
-SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'ho_gia_dinh' WHEN 1 THEN 'to_chuc' WHEN 2 THEN 'vo_chong' WHEN 3 THEN 'ca_nhan' ELSE 'dong_thua_ke' END AS kind, CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 2 THEN 0 WHEN 4 THEN 1 ELSE -1 END AS gender FROM customer""")
-def owner_type(spark, d):
-    name = pick(F.lit("Hộ ông A"), F.lit("Công ty B"), F.lit("bà C và chồng"), F.lit("Nguyễn D"), F.lit("Ông E"))
-    out = T(spark, d, "customer").select("c_custkey", merge.owner_type(name, F.when(key() % 5 == 4, 2).otherwise(0)).alias("kind"), text.detect_gender(name).alias("gender"))
-    return out.withColumn("gender", F.coalesce(F.col("gender").cast("int"), F.lit(-1)))
-
-
 @query("""
 SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'release' WHEN 1 THEN 'mortgage' WHEN 2 THEN 'transfer' WHEN 3 THEN 'correction' ELSE 'other' END AS kind,
   CASE c_custkey % 5 WHEN 2 THEN '123456.CN.' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') END AS file_no, CASE c_custkey % 5 WHEN 2 THEN 'Trần Văn Bình' END AS new_owner FROM customer""")
@@ -124,16 +108,8 @@ def parse_endorsements(spark, d):
     return changes.parse_endorsements(t).select("c_custkey", "kind", "file_no", "new_owner")
 
 
-@query(r"""
-SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '(?:^|[^0-9])([0-9]{12}|[0-9]{9})(?:$|[^0-9])', 1))) AS INTEGER) AS n FROM documents WHERE NOT regexp_matches(text, '[0-9][^0-9][0-9]')""")
-def extract_identity_numbers(spark, d):
-    """Numbers of texts in which no two runs of digits are one character apart, as the SQL side has no look-around."""
-    docs = T(spark, d, "documents").where(~F.col("text").rlike("[0-9][^0-9][0-9]"))
-    return docs.select("doc_id", F.size(parsers.identity_numbers(F.col("text"))).alias("n"))
-
-
 @query("SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: len(x) IN (9, 12)))) AS INTEGER) AS n FROM documents")
-def extract_identity_numbers_all(spark, d):
+def extract_identity_numbers(spark, d):
     """Numbers of every text; the SQL side takes whole runs of digits by their length, so it needs no look-around."""
     return T(spark, d, "documents").select("doc_id", F.size(parsers.identity_numbers(F.col("text"))).alias("n"))
 
@@ -223,15 +199,7 @@ def audit_id_crop(spark, d):
 
 
 @query("""
-SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'missing_so_thua' END, CASE WHEN c_custkey % 3 = 0 THEN 'invalid_to_ban_do' END, CASE WHEN c_acctbal < 0 THEN 'invalid_dien_tich' END, CASE WHEN c_custkey % 5 = 0 THEN 'missing_ma_muc_dich' END], lambda x: x IS NOT NULL), ',') AS reasons FROM customer WHERE abs(c_acctbal) >= 1""")
+SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'missing_so_thua' END, CASE WHEN c_custkey % 3 = 0 THEN 'invalid_to_ban_do' END, CASE WHEN round(c_acctbal, 2) < 0.5 THEN 'invalid_dien_tich' END, CASE WHEN c_custkey % 5 = 0 THEN 'missing_ma_muc_dich' END], lambda x: x IS NOT NULL), ',') AS reasons FROM customer""")
 def parcel_quality(spark, d):
-    r = expand.parcel_reasons(F.when(key() % 2 == 0, "-").otherwise(key().cast("string")), F.when(key() % 3 == 0, "abc").otherwise("05"), F.round("c_acctbal", 2).cast("string"), F.when(key() % 5 == 0, "").otherwise("ONT"))
-    return T(spark, d, "customer").where("abs(c_acctbal) >= 1").select("c_custkey", F.array_join(r, ",").alias("reasons"))
-
-
-@query("""
-SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'ODT' WHEN 1 THEN 'LUC' WHEN 2 THEN 'CLN' WHEN 3 THEN 'HNK' ELSE '' END AS code, CASE c_custkey % 5 WHEN 4 THEN NULL ELSE 'Ủy ban nhân dân huyện Cao Loc' END AS authority FROM customer""")
-def map_purpose(spark, d):
-    c = parsers.map_purpose(pick(F.lit(""), F.lit("LUA"), F.lit("cln"), F.lit(""), F.lit("")), pick(F.lit("Đất ở tại đô thị"), F.lit(""), F.lit(""), F.lit("trồng cây hàng năm"), F.lit("?")))
-    a = validators.n_authority(F.when(key() % 5 == 4, "Ủy ban nhân dân").otherwise("TM. UBND huyện Cao Lộc, ngày 1"))
-    return T(spark, d, "customer").select("c_custkey", c.alias("code"), a.alias("authority"))
+    r = expand.parcel_reasons(F.when(key() % 2 == 0, "-").otherwise(key().cast("string")), F.when(key() % 3 == 0, "abc").otherwise("05"), F.format_string("%.2f", F.col("c_acctbal").cast("double")), F.when(key() % 5 == 0, "").otherwise("ONT"))
+    return T(spark, d, "customer").select("c_custkey", F.array_join(r, ",").alias("reasons"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelforge.operators import merge, pages, spatial
+from parcelforge.operators import merge, spatial
 from parcelforge.plans.registry import query, table
 
 T = table
@@ -104,21 +104,11 @@ def x_clusters(spark, d):
     return spatial.clusters_1d(a, ["l_suppkey"], "l_partkey").groupBy("l_suppkey", "cluster").agg(F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high"))
 
 
-@query("""
-WITH RECURSIVE a AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_quantity)) AS v FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1),
-f AS (SELECT k, v, 1 AS i, [v[1]] AS kept FROM a UNION ALL SELECT k, v, i + 1, CASE WHEN v[i + 1] - kept[-1] > 5 THEN list_append(kept, v[i + 1]) ELSE kept END FROM f WHERE i < len(v))
-SELECT k AS l_orderkey, array_to_string(list_transform(kept, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS kept FROM f WHERE i = len(v)""")
-def anchor_thinning(spark, d):
-    a = T(spark, d, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_quantity")).alias("v"))
-    return a.select("l_orderkey", F.array_join(F.transform(spatial.thin_anchors(F.col("v"), 5), lambda x: x.cast("long").cast("string")), ",").alias("kept"))
-
-
 @query("""
 WITH RECURSIVE a AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_quantity)) AS v FROM lineitem GROUP BY 1),
 f AS (SELECT k, v, 1 AS i, [v[1]] AS kept FROM a UNION ALL SELECT k, v, i + 1, CASE WHEN v[i + 1] - kept[-1] > 5 THEN list_append(kept, v[i + 1]) ELSE kept END FROM f WHERE i < len(v))
 SELECT k AS l_orderkey, array_to_string(list_transform(kept, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS kept FROM f WHERE i = len(v)""")
-def anchor_thinning_all(spark, d):
-    """``anchor_thinning`` of every order."""
+def anchor_thinning(spark, d):
     a = T(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_quantity")).alias("v"))
     return a.select("l_orderkey", F.array_join(F.transform(spatial.thin_anchors(F.col("v"), 5), lambda x: x.cast("long").cast("string")), ",").alias("kept"))
 
@@ -136,30 +126,6 @@ def anchor_fields(spark, d):
     return spatial.extract_fields(tokens(spark, d), labels).select(*PAGE, "field", "value", "match_score")
 
 
-@query("""
-WITH s AS (SELECT doc_id, lower(text) AS f FROM documents)
-SELECT doc_id, CASE WHEN 3 * CAST(contains(f, 'licen') AS INTEGER) >= 3 THEN 'mau_2024' WHEN b >= a AND b >= 1 THEN 'mau_B' WHEN a >= 1 THEN 'mau_A' ELSE 'unknown' END AS template
-FROM (SELECT doc_id, f, CAST(contains(f, ' the ') AS INTEGER) + CAST(contains(f, ' and ') AS INTEGER) AS a, CAST(contains(f, ' der ') AS INTEGER) + CAST(contains(f, ' les ') AS INTEGER) + CAST(contains(f, ' de ') AS INTEGER) AS b FROM s)""")
-def template_classify(spark, d):
-    """Weighted keywords, here of languages."""
-    low = F.lower("text")
-    return T(spark, d, "documents").select("doc_id", pages.template_of({"mau_2024": ("licen",), "mau_A": (" the ", " and "), "mau_B": (" der ", " les ", " de ")}, low, None, {"mau_2024": 3}).alias("template"))
-
-
-@query("""
-WITH p AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS page_index, l_quantity * 20 AS width, l_discount * 10000 AS height FROM lineitem WHERE l_quantity > 0),
-q AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, bool_and(page_index > 1 OR (height > 0 AND width / height > 1.25)) OVER (PARTITION BY doc_id) AS spread,
-  width BETWEEN 480 AND 580 AND height BETWEEN 680 AND 810 AND width / nullif(height, 0) BETWEEN 0.6 AND 0.8 AS narrow FROM p),
-r AS (SELECT *, sum(CASE WHEN narrow AND page_index > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_index ROWS UNBOUNDED PRECEDING) AS k FROM q)
-SELECT doc_id, CAST(page_index AS INTEGER) AS page_index FROM r WHERE n <= 4 OR (spread AND (page_index <= 1 OR (narrow AND k <= 2)))""")
-def select_certificate_pages(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    li = T(spark, d, "lineitem").where("l_quantity > 0").select(F.col("l_orderkey").alias("doc_id"), (F.row_number().over(w) - 1).alias("page_index"), (F.col("l_quantity") * 20).alias("width"), (F.col("l_discount") * 10000).alias("height"), F.lit("").alias("text"))
-    return pages.select_certificate_pages(li).select("doc_id", "page_index")
-
-
 @query("""
 WITH v AS (SELECT user_id, event_type, event_id, CASE WHEN event_id % 3 = 0 THEN '-' WHEN event_id % 5 = 0 THEN '0' ELSE CAST(event_id AS VARCHAR) END AS value, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS r FROM events),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY r, event_id) AS n FROM v WHERE value NOT IN ('-', '0'))
@@ -175,16 +141,3 @@ SELECT l_orderkey, l_partkey AS best FROM k WHERE n = 1""")
 def rank_candidates(spark, d):
     best = merge.best_candidate(F.col("l_partkey"), [F.when(F.col("l_linenumber") <= 2, 90).otherwise(70), F.col("l_quantity"), -F.col("l_linenumber")], F.col("l_partkey"))
     return T(spark, d, "lineitem").groupBy("l_orderkey").agg(best.alias("best"))
-
-
-@query("""
-WITH p AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST(event_id AS VARCHAR) ELSE event_type END AS p, CAST(event_id % 100 AS DOUBLE) / 100 AS pc, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 4 = 1 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS v, CAST(user_id % 100 AS DOUBLE) / 100 AS vc FROM events),
-n AS (SELECT *, regexp_matches(p, '^\\s*\\d+([.,]\\d+)?\\s*$') AS pn, regexp_matches(v, '^\\s*\\d+([.,]\\d+)?\\s*$') AS vn, p = v AS alike FROM p)
-SELECT event_id, CASE WHEN pn AND (NOT vn OR pc >= vc) THEN 'p' WHEN pn OR vn THEN 'v' WHEN v = '' OR vc < 0.5 THEN 'p' ELSE 'v' END AS side,
-  CASE WHEN pn OR vn THEN 'numeric_highest_confidence' WHEN v = '' OR vc < 0.5 THEN 'vietocr_low_confidence' ELSE 'vietocr_text_agrees_with_paddle' END AS reason FROM n WHERE pn OR vn OR v = '' OR alike""".replace("\\\\", "\\"))
-def select_ocr_candidate(spark, d):
-    e = T(spark, d, "events")
-    p = F.when(F.col("event_id") % 4 == 0, F.col("event_id").cast("string")).otherwise(F.col("event_type"))
-    w = F.when(F.col("event_id") % 7 == 0, "").when(F.col("event_id") % 4 == 1, F.col("user_id").cast("string")).otherwise(F.col("event_type"))
-    t = e.select("event_id", F.lit(False).alias("is_barcode_box"), p.alias("p_text"), ((F.col("event_id") % 100).cast("double") / 100).alias("p_conf"), w.alias("v_text"), ((F.col("user_id") % 100).cast("double") / 100).alias("v_conf"))
-    return merge.select_readings(t).select("event_id", "selected.side", "selected.reason")

@@ -41,25 +41,13 @@ def nullify_placeholder(spark, d):
     return T(spark, d, "supplier").select("s_suppkey", text.nullify_placeholder(v).alias("v"))
 
 
-@query("""
-WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, lower(a.p_brand || a.p_size) AS x, lower(b.p_brand || b.p_size) AS y FROM part a JOIN part b ON a.p_type = b.p_type AND b.p_partkey % 50 = 7),
-q AS (SELECT *, regexp_replace(x, '[^a-z0-9]', '', 'g') AS s, regexp_replace(y, '[^a-z0-9]', '', 'g') AS t, regexp_replace(x, '[^0-9]', '', 'g') AS dx, regexp_replace(y, '[^0-9]', '', 'g') AS dy FROM p)
-SELECT a, b, round(CASE WHEN s = t THEN 1.0 WHEN dx = dy AND dx <> '' THEN 0.98 WHEN least(length(dx), length(dy)) >= 3 AND (contains(dx, dy) OR contains(dy, dx)) THEN 0.82
-  WHEN least(length(s), length(t)) >= 3 AND (contains(s, t) OR contains(t, s)) THEN 0.6 + 0.35 * least(length(s), length(t)) / greatest(length(s), length(t)) ELSE 0.0 END, 4) AS score FROM q""")
-def token_match_score(spark, d):
-    key = F.concat("p_brand", "p_size")
-    a = T(spark, d, "part").select(F.col("p_partkey").alias("a"), "p_type", key.alias("x"))
-    b = T(spark, d, "part").where("p_partkey % 50 = 7").select(F.col("p_partkey").alias("b"), "p_type", key.alias("y"))
-    return a.join(b, "p_type").select("a", "b", F.round(text.token_match_score(F.col("x"), F.col("y")), 4).alias("score"))
-
-
 @query("""
 WITH p AS (SELECT p_partkey, p_brand || p_size AS x, regexp_replace(p_brand || p_size, '[^0-9]', '', 'g') AS n, p_brand, p_name FROM part),
 q AS (SELECT p_partkey, lower(x) AS x, lower(CASE p_partkey % 5 WHEN 0 THEN upper(x) || ' -' WHEN 1 THEN 'No. ' || n WHEN 2 THEN '9' || n || '9' WHEN 3 THEN p_brand ELSE p_name END) AS y FROM p),
 r AS (SELECT *, regexp_replace(x, '[^a-z0-9]', '', 'g') AS s, regexp_replace(y, '[^a-z0-9]', '', 'g') AS t, regexp_replace(x, '[^0-9]', '', 'g') AS dx, regexp_replace(y, '[^0-9]', '', 'g') AS dy FROM q)
 SELECT p_partkey, round(CASE WHEN s = t THEN 1.0 WHEN dx = dy AND dx <> '' THEN 0.98 WHEN least(length(dx), length(dy)) >= 3 AND (contains(dx, dy) OR contains(dy, dx)) THEN 0.82
   WHEN least(length(s), length(t)) >= 3 AND (contains(s, t) OR contains(t, s)) THEN 0.6 + 0.35 * least(length(s), length(t)) / greatest(length(s), length(t)) ELSE 0.0 END, 4) AS score FROM r""")
-def token_match_score_all(spark, d):
+def token_match_score(spark, d):
     """Brand and size of every part against a token of the same row: in capitals, its digits, its digits within others, the brand, the name."""
     x, k = F.concat("p_brand", "p_size"), F.col("p_partkey") % 5
     n = text.digits_only(x)
@@ -67,12 +55,12 @@ def token_match_score_all(spark, d):
     return T(spark, d, "part").select("p_partkey", F.round(text.token_match_score(x, y), 4).alias("score"))
 
 
-@query("""
-WITH b AS (SELECT item_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS t FROM benchmark)
+@query(r"""
+WITH b AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, CAST(levenshtein(a.t, b.t) AS INTEGER) AS d, round(levenshtein(a.t, b.t) / length(b.t), 6) AS cer FROM b a JOIN b ON a.item_id % 10 = b.item_id % 10""")
 def levenshtein_cer(spark, d):
-    """The character error rate of items' plain letters against others of the same last digit."""
-    b = T(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^A-Za-z ]", ""))
+    """The character error rate of whole items against others of the same last digit; signs beyond ASCII are one sign, as the SQL side counts bytes."""
+    b = T(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
     a, t = F.col("a_text"), F.col("b_text")
     p = b.select(F.col("item_id").alias("a"), F.col("text").alias("a_text"), (F.col("item_id") % 10).alias("k")).join(b.select(F.col("item_id").alias("b"), F.col("text").alias("b_text"), (F.col("item_id") % 10).alias("k")), "k")
     return p.select("a", "b", F.levenshtein(a, t).alias("d"), F.round(text.char_error_rate(a, t), 6).alias("cer"))

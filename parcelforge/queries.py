@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelforge.plans import document_queries, layout_queries, store_queries, text_queries  # noqa: F401  (they register themselves)
+from parcelforge.plans import certificate_queries, document_queries, layout_queries, store_queries, text_queries  # noqa: F401  (they register themselves)
 from parcelforge.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

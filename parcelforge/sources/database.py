@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelforge.session import counted_broadcast
+
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 16, **options: str) -> DataFrame:
     """A table, read in parts by a numeric key if it is given; filters and columns are pushed down."""
@@ -29,7 +31,7 @@ def read_ground_truth(spark: SparkSession, path: str, schema: str, skip: int = 6
 
 def alias_lookup(names: DataFrame, exact: DataFrame, rules: DataFrame, name: str = "name") -> DataFrame:
     """``names`` with ``canonical``: of the exact aliases (alias, canonical), else of the first pattern in order (priority, pattern, canonical) that the name has. Both tables are settings of some hundred rows."""
-    out = names.join(F.broadcast(exact.select(F.lower("alias").alias("_a"), F.col("canonical").alias("_exact"))), F.lower(F.trim(name)) == F.col("_a"), "left")
-    texts = out.where("_exact is null").select(name).distinct().join(F.broadcast(rules), F.expr(f"{name} rlike pattern"))
+    out = names.join(counted_broadcast(exact.select(F.lower("alias").alias("_a"), F.col("canonical").alias("_exact"))), F.lower(F.trim(name)) == F.col("_a"), "left")
+    texts = out.where("_exact is null").select(name).distinct().join(counted_broadcast(rules), F.expr(f"{name} rlike pattern"))
     first = texts.groupBy(name).agg(F.min_by("canonical", "priority").alias("_rule"))
     return out.join(first, name, "left").withColumn("canonical", F.coalesce("_exact", "_rule")).drop("_a", "_exact", "_rule")

@@ -67,10 +67,52 @@ def scan_pairs(files: DataFrame) -> DataFrame:
 
 
 def unique_destinations(names: DataFrame, folder: str, name: str, order: Column) -> DataFrame:
-    """``destination``: the name, with __2, __3 and so on where a folder has it already in any case. Names that are themselves of that form may meet a made one."""
+    """``destination``: the name, with __2, __3 and so on for the second and later files of a folder that have it, in any case, in ``order``. A number that makes another file's own name is passed over, so no two files of a folder get one name."""
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy(folder, F.lower(name)).orderBy(order))
-    numbered = F.regexp_replace(F.col(name), r"(\.[^.]*)?$", "")
-    ending = F.regexp_extract(F.col(name), r"(\.[^.]*)$", 1)
-    return names.withColumn("_n", n).withColumn("destination", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(numbered, F.lit("__"), F.col("_n").cast("string"), ending))).drop("_n")
+    base, ending = F.regexp_replace(F.col(name), r"(\.[^.]*)?$", ""), F.regexp_extract(F.col(name), r"(\.[^.]*)$", 1)
+    own = names.select(F.col(folder).alias("_f"), F.lower(base).alias("_b"), F.lower(ending).alias("_e")).distinct()
+    # names that look made, by the name that they would be made of
+    shape = r"^(.*)__([2-9]|[1-9]\d+)$"
+    looks = own.where(F.col("_b").rlike(shape)).groupBy("_f", F.concat(F.regexp_extract("_b", shape, 1), F.col("_e")).alias("_n")).agg(F.sort_array(F.collect_set(F.regexp_extract("_b", shape, 2).cast("long"))).alias("_taken"))
+    nth = F.row_number().over(Window.partitionBy(folder, F.lower(name)).orderBy(order))
+    out = names.withColumns({"_k": nth, "_low": F.lower(name)})
+    out = out.join(looks, out[folder].eqNullSafe(looks["_f"]) & (out["_low"] == looks["_n"]), "left").drop("_f", "_n", "_low")
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_k").cast("long"), lambda f, t: F.when(t <= f, f + 1).otherwise(f))
+    made = F.concat(base, F.lit("__"), free.cast("string"), ending)
+    return out.withColumn("destination", F.when(F.col("_k") == 1, F.col(name)).otherwise(made)).drop("_k", "_taken")
+
+
+#: Endings of files that hold pages.
+IMAGES, PAGED = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp"), ("pdf",)
+
+
+def load_pages(spark: SparkSession, path: str, render, schema: str, max_pages: int | None = None) -> DataFrame:
+    """The pages of the files below ``path``: doc_id (the path), page_index, the columns of ``schema`` and ``error``.
+
+    ``render`` is the caller's decoder, a function of a file's bytes and ending
+    that gives a tuple for each page. An ending that is not known, and a file
+    that cannot be decoded, give one row with the error and no page.
+    """
+    import pandas as pd
+
+    names = [f.split()[0] for f in schema.split(",")]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def decoded(batches):
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                ending = name.rsplit(".", 1)[-1].lower()
+                if ending not in (*IMAGES, *PAGED):
+                    rows.append((name, None, *[None] * len(names), f"unsupported file type: {ending}"))
+                    continue
+                try:
+                    pages = list(render(bytes(content), ending))
+                except Exception as e:  # the caller's decoder decides what it raises
+                    rows.append((name, None, *[None] * len(names), f"{type(e).__name__}: {e}"))
+                    continue
+                rows += [(name, i, *p, None) for i, p in enumerate(pages[:max_pages])]
+            yield pd.DataFrame(rows, columns=["doc_id", "page_index", *names, "error"])
+
+    return files.mapInPandas(decoded, f"doc_id string, page_index int, {schema}, error string")

@@ -26,7 +26,9 @@ def into_table(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A batch function that writes its rows once: a batch that is run again replaces its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        # of a key the row with the smallest hash stays, so a batch that is run again writes the same
+        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), F.xxhash64(*batch.columns)).alias("_r")).select("_r.*")
+        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
@@ -58,3 +60,42 @@ def tumbling(events: DataFrame, time: str, length: str, late: str, keys: list[st
 def sessions(events: DataFrame, time: str, gap: str, late: str, keys: list[str]) -> DataFrame:
     """Counts in sessions that a gap ends. An extra."""
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
+
+
+def with_watchdog(detect: Callable[[pd.DataFrame], pd.DataFrame], seconds: float, failed: Callable[[pd.DataFrame, str], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``detect`` for one file at a time, 30 to 7,200 seconds each: a file that takes longer, or fails, gives what ``failed`` makes of it and the reason."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    most = max(30.0, min(7200.0, seconds))
+
+    def guarded(batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for i in range(len(batch)):
+            one, pool = batch.iloc[i : i + 1], ThreadPoolExecutor(1)
+            try:
+                out.append(pool.submit(detect, one).result(timeout=most))
+            except Exception as e:  # the caller's models decide what they raise
+                out.append(failed(one, "timeout" if isinstance(e, TimeoutError) else f"{type(e).__name__}: {e}"))
+            finally:
+                pool.shutdown(wait=False, cancel_futures=True)
+        return pd.concat(out, ignore_index=True) if out else failed(batch, "empty")
+
+    return guarded
+
+
+def progress_of(query: StreamingQuery) -> dict:
+    """What a poll of a running batch shows: state, batch, rows and files a second, and the error if it ended with one."""
+    last = query.lastProgress or {}
+    error = query.exception()
+    return {
+        "state": "failed" if error else "running" if query.isActive else "finished",
+        "batch": last.get("batchId"),
+        "rows": last.get("numInputRows", 0),
+        "rows_per_second": last.get("processedRowsPerSecond"),
+        "error": str(error) if error else None,
+    }
+
+
+def summarise_batches(path: str, spark: SparkSession, status: str = "status") -> DataFrame:
+    """The summary that is shown after each batch: files by status over all batches written below ``path`` so far."""
+    return spark.read.parquet(path).groupBy(status).agg(F.count("*").alias("files"))

@@ -43,4 +43,4 @@ def test_query_matches_sql(spark, sf, duck, name):
 
 
 def test_every_query_but_the_sequential_has_sql():
-    assert set(NAMES) - set(queries.SQL) == {"fuzzy_best", "reading_order", "anchor_fields"}
+    assert set(NAMES) - set(queries.SQL) == {"fuzzy_best", "reading_order", "anchor_fields", "sample_files"}
