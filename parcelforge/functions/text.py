@@ -74,10 +74,8 @@ def digit_repair(c: Column, letters: str = "OQDIlLSBZ", digits: str = "000111582
 
 
 def contains_any(c: Column, needles: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for n in needles:
-        out = out | c.contains(n)
-    return out
+    """Whether a text holds one of the needles; one alternation, so the text's expression stands in the plan once."""
+    return c.rlike("|".join(rf"\Q{n}\E" for n in needles)) if needles else F.lit(False)
 
 
 def derive_folder(path: Column) -> Column:
