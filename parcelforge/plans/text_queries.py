@@ -79,9 +79,7 @@ def fuzzy_best(spark, d):
 SELECT a.p_partkey AS a, b.p_partkey AS b, list_sort(list_distinct(string_split(upper(a.p_name), ' '))) = list_sort(list_distinct(string_split(upper(b.p_name), ' '))) AS same
 FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_partkey <= b.p_partkey""")
 def set_equal(spark, d):
-    a = T(spark, d, "part").select(F.col("p_partkey").alias("a"), "p_size", "p_brand", F.col("p_name").alias("x"))
-    b = T(spark, d, "part").select(F.col("p_partkey").alias("b"), "p_size", "p_brand", F.col("p_name").alias("y"))
-    return a.join(b, ["p_size", "p_brand"]).where("a <= b").select("a", "b", evaluate.set_equal(F.col("x"), F.col("y")).alias("same"))
+    return evaluate.set_equal_pairs(T(spark, d, "part"), "p_partkey", "p_name", ["p_size", "p_brand"])
 
 
 @query("""
