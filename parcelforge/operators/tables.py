@@ -1,8 +1,8 @@
 """Parcel tables on pages: whether a page has one, its columns, rows and cells by place, and the text fallback.
 
-All steps are joins and aggregations within a page. What depends on the rows
-before it, the map sheets known so far, is a fold over a page's rows, of which
-there are ``MOST_ROWS`` at most.
+A table's rows are read from whole pages, each gathered once, in ``page_tables``;
+what is asked of pages alone (``multi_parcel_pages``, ``detect_columns``) is
+columns by the same rules. A page has ``MOST_ROWS`` rows at most.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions import validators as v
 from parcelforge.functions.text import contains_any, fold_accents
-from parcelforge.operators.spatial import PAGE, clusters_1d, thin_anchors
+from parcelforge.operators.spatial import PAGE, clusters_1d
+from parcelforge.session import counted_broadcast, cut_lineage
 
 # ---------------------------------------------------------------- fixed values
 #: The columns from left to right, with their default edges on a page 1280 wide; the address has no default place, the last one ends with the page.
@@ -128,68 +129,6 @@ def detect_columns(tokens: DataFrame) -> DataFrame:
     return pages.select(*PAGE, "width", "scale", *out)
 
 
-def _body(placed: DataFrame) -> DataFrame:
-    """(doc_id, page_index, top, bottom) of each page's table: below the headings of areas, else of other columns, and above what follows a table."""
-    high = F.col("y1") < BELOW_HEADINGS * F.col("scale")
-    areas = contains_any(F.col("folded"), ("rieng", "chung", "dien tich")) & high
-    others = contains_any(F.col("folded"), ("muc dich", "thoi han", "nguon goc")) & high
-    bare = F.concat(F.regexp_replace("folded", r"[.\s]+", " "), F.lit(" "))
-    foot = ~areas & bare.rlike("^(" + "|".join(w.replace(" ", " ?") for w in FOOTERS) + ")")
-    top = F.coalesce(F.max(F.when(areas, F.col("y2"))), F.max(F.when(others, F.col("y2"))), F.max(DEFAULT_TOP * F.col("scale")))
-    return placed.groupBy(*PAGE).agg(top.alias("top"), F.coalesce(F.min(F.when(foot, F.col("y1"))), F.max(DEFAULT_BOTTOM * F.col("scale"))).alias("bottom"))
-
-
-def _rows(body: DataFrame, totals: DataFrame) -> DataFrame:
-    """(doc_id, page_index, row, from, to, anchor): the rows of each table, as many as stated or else as areas more than 15 px apart; they meet half way between their areas if these are as many, else they are equally high."""
-    c = F.col
-    over = c("cx").between(c("dien_tich_rieng_from") - 30, c("dien_tich_chung_to") + 30) | ((c("x1") < c("dien_tich_chung_to") + 30) & (c("x2") > c("dien_tich_rieng_from") - 30))
-    areas = body.where(over).withColumn("value", area_number(F.trim("text"))).where("value is not null")
-    anchors = areas.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("cy", "ord", "value"))).alias("all"))
-    kept = anchors.withColumn("at", thin_anchors(F.transform("all", lambda a: a["cy"]), 15.0))
-    kept = kept.withColumn("values", F.transform("at", lambda y: F.get(F.filter("all", lambda a: a["cy"] == y), F.lit(0))["value"])).select(*PAGE, "at", "values")
-    pages = body.select(*PAGE, "top", "bottom").distinct().join(totals, list(PAGE)).join(kept, list(PAGE), "left")
-    n = F.coalesce("total_parcels", F.size("at"))
-    pages = pages.withColumn("n", n).where(c("n").between(1, MOST_ROWS)).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    fit, i = F.coalesce(F.size("at") == c("n"), F.lit(False)), c("row")
-    at = lambda k: F.get("at", k)
-    step = (c("bottom") - c("top")) / c("n")
-    low = F.when(~fit, c("top") + (i - 1) * step).when(i == 1, c("top")).otherwise((at(i - 2) + at(i - 1)) / 2)
-    high = F.when(~fit, c("top") + i * step).when(i == c("n"), c("bottom")).otherwise((at(i - 1) + at(i)) / 2)
-    return pages.select(*PAGE, "row", low.alias("from"), high.alias("to"), F.get("values", i - 1).alias("anchor"))
-
-
-def _cells(body: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row per table row with the texts of its columns from left to right."""
-    c, text = F.col, F.trim("text")
-    inside = body.join(rows, list(PAGE)).where((c("cy") >= c("from")) & (c("cy") < c("to")) & (text != ""))
-    left = c("cx") < c("so_thua_to") + 15
-    address = ~left & (c("cx") >= c("dia_chi_from") - 10) & (c("cx") < c("dien_tich_rieng_from") - 10) & ~contains_any(F.lower(text), ("diện tích", "thời hạn", "mục đích", "đất bằng", "đất trồng"))
-    area = c("cx").between(c("dien_tich_rieng_from") - 20, c("dien_tich_chung_to") + 30) | ((c("x1") < c("dien_tich_chung_to")) & (c("x2") > c("dien_tich_rieng_from")))
-    purpose = (c("cx") >= c("muc_dich_from") - 10) & (c("cx") < c("thoi_han_from")) & ~text.rlike(DATE) & ~contains_any(c("folded"), ("den ngay",))
-    term = (c("cx") >= c("thoi_han_from")) & (c("cx") < c("nguon_goc_from"))
-    shared = F.greatest(F.lit(0.0), F.least("x2", "nguon_goc_to") - F.greatest("x1", "nguon_goc_from"))
-    origin = (c("cx") >= c("nguon_goc_from")) | (shared >= F.greatest(F.lit(12.0), 0.55 * (c("x2") - c("x1"))))
-    in_row = lambda where, value=text: F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(where, F.lit(False)), F.struct("x1", "ord", "cx", value.alias("t"))))), lambda x: F.struct(x["cx"].alias("cx"), x["t"].alias("t")))
-    grouped = inside.groupBy(*PAGE, "row").agg(in_row(left).alias("left"), in_row(address).alias("address"), in_row(area, area_number(text)).alias("area"), in_row(purpose).alias("purpose"), in_row(term).alias("term"), in_row(origin).alias("origin"), F.max("to_ban_do_to").alias("sheet_edge"))
-    joined = lambda name, sep: F.array_join(F.transform(name, lambda x: x["t"]), sep)
-    grouped = grouped.withColumn("area", F.try_element_at(F.filter(F.transform("area", lambda x: x["t"]), lambda a: a.isNotNull()), F.lit(-1)))
-    return rows.join(grouped, [*PAGE, "row"], "left").select(*PAGE, "row", F.coalesce("area", "anchor").alias("dien_tich"), "sheet_edge", _numbers(c("left"), c("sheet_edge")).alias("numbers"), *[F.coalesce(joined(n, s), F.lit("")).alias(n) for n, s in (("address", ", "), ("purpose", " "), ("term", " "), ("origin", " "))])
-
-
-def _numbers(left: Column, edge: Column) -> Column:
-    """sheet, parcel and glued of a row's left cells: a sheet and parcel in one cell, else two cells, else one by its place; glued is a number of four digits and more, whose sheet may be known from the rows above."""
-    pairs = F.filter(F.transform(left, lambda x: F.split(x["t"], r"[\s/\-._]+")), lambda p: (F.size(p) == 2) & F.forall(p, lambda n: n.rlike(r"^\d{1,4}$")))
-    joint = F.try_element_at(pairs, F.lit(-1))
-    single = F.filter(left, lambda x: x["t"].rlike(r"^\d{1,4}[A-Za-z]?$"))
-    one, two = F.get(single, F.lit(0)), F.get(single, F.lit(1))
-    alone = two.isNull() & one.isNotNull()
-    in_sheet = alone & (one["cx"] <= edge)
-    sheet = F.when(joint.isNotNull(), F.get(joint, F.lit(0))).when(two.isNotNull() | in_sheet, one["t"])
-    parcel = F.when(joint.isNotNull(), F.get(joint, F.lit(1))).when(two.isNotNull(), two["t"]).when(alone & ~in_sheet, one["t"])
-    glued = F.when(joint.isNull(), F.get(F.filter(F.transform(left, lambda x: x["t"]), lambda t: t.rlike(r"^\d{4,}$")), F.lit(0)))
-    return F.struct(sheet.alias("sheet"), parcel.alias("parcel"), glued.alias("glued"))
-
-
 def carry_sheets(rows: Column) -> Column:
     """An array of (sheet, parcel, glued), top to bottom, as (sheet, parcel): a glued number is split at a sheet that is known from above, a missing sheet is the first known one."""
     out = "array<struct<sheet: string, parcel: string>>"
@@ -213,19 +152,18 @@ def extract_parcel_table(tokens: DataFrame) -> DataFrame:
     Only pages of several parcels have tables, and a table of which no row has
     a parcel number is none. An origin that is not a known one is blank.
     """
-    totals = multi_parcel_pages(tokens).where("is_multi").drop("is_multi")
-    placed = _placed(tokens.join(totals.select(*PAGE), list(PAGE), "left_semi"))
-    whole = placed.drop("width", "scale").join(_body(placed), list(PAGE)).join(detect_columns(tokens), list(PAGE))
-    body = whole.where(F.col("cy").between(F.col("top") + 5, F.col("bottom") - 5))
-    cells = _cells(body, _rows(body, totals.select(*PAGE, "total_parcels")))
-    row = F.struct("row", "numbers", "dien_tich", "address", "purpose", "term", "origin")
-    pages = cells.groupBy(*PAGE).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    pages = pages.withColumn("found", carry_sheets(F.transform("rows", lambda r: r["numbers"]))).where(F.exists("found", lambda f: F.coalesce(f["parcel"], F.lit("")) != ""))
-    out = pages.select(*PAGE, F.explode(F.arrays_zip("rows", "found")).alias("z")).select(*PAGE, "z.rows.*", "z.found.sheet", "z.found.parcel")
-    out = out.withColumns({"use": _cell_use(F.col("purpose")), "until": v.v_term(F.col("term")), "from_": v.v_origin(F.col("origin"))})
+    from parcelforge.operators import page_tables as p
+
+    pages = tokens.groupBy(*PAGE).agg(F.collect_list(F.struct(*[F.col(c) if c in ("ord", "text") else F.col(c).cast("double").alias(c) for c in p.TOKEN])).alias("tokens"))
+    kinds = ", ".join(f"{c} {tokens.schema[c].dataType.simpleString()}" for c in PAGE)
+    names = [*PAGE, "row", "sheet", "parcel", "dien_tich", "address", "purpose", "term", "origin", "total_parcels", "total_area"]
+    out = cut_lineage(pages.mapInArrow(lambda batches: p.read_pages(batches, names), f"{kinds}, row int, sheet string, parcel string, dien_tich double, address string, purpose string, term string, origin string, total_parcels int, total_area double"))
+    # a wording's use is worked out once for each wording
+    uses = counted_broadcast(out.select("purpose").distinct()).withColumn("use", _cell_use(F.col("purpose")))
+    out = out.join(uses, "purpose").withColumns({"until": v.v_term(F.col("term")), "from_": v.v_origin(F.col("origin"))})
     blank = lambda c: F.coalesce(c, F.lit(""))
     address = F.regexp_replace(F.regexp_replace("address", r",[\s,]*,", ", "), r"^[\s\-:;,.]+|[\s\-:;,.]+$", "")
-    return out.join(totals, list(PAGE)).select(
+    return out.select(
         *PAGE, F.col("row").alias("stt"), blank(F.col("parcel")).alias("so_thua"), blank(F.col("sheet")).alias("to_ban_do"), address.alias("dia_chi"), "dien_tich", blank(F.coalesce("use.name", "purpose")).alias("muc_dich_su_dung"), blank(F.col("use.code")).alias("ma_muc_dich"),
         F.when(F.col("until.ok"), F.col("until.value")).otherwise(F.col("term")).alias("thoi_han"), blank(F.col("from_.value")).alias("nguon_goc"), blank(F.col("from_.code")).alias("nguon_goc_ky_hieu"), "total_parcels", "total_area",
     )
